@@ -136,7 +136,7 @@ def train(shares: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
     if held.any() and k > 1:
         logit = shares[held] @ logits[:BUCKETS] + bias
         y = labels[held]
-        grid = np.geomspace(0.05, 20, 61)
+        grid = np.geomspace(1, 20, 41)
         losses = [-np.log(np.maximum(_softmax(logit / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(losses))])
         p = _softmax(logit / temperature)

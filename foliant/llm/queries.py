@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, langid, mixing, quality, sharding, simhash
-from foliant.llm.common import crc_mod, table
+from foliant.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, substrings, suffix_tree, tokenfiles
+from foliant.llm.common import crc_mod, keyed, shared_dir, table, text_bytes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,6 +26,33 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.withColumns({"mask_starts": listed("mask_starts"), "mask_ends": listed("mask_ends")})
+
+
+ORACLE_SQL["op2_perspectives"] = r"""
+with said as (
+  select conv_id, coalesce(turn // 128, 0)::bigint as part, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+people as (select distinct conv_id, role as perspective from said where role <> 'system'),
+pieces as (
+  select s.*, p.perspective, s.role = p.perspective as own, s.text || '<|end|>' || chr(10) as body,
+    case when s.role = 'system' then '<|system|>' when s.role = p.perspective then '<|assistant|>' else '<|user:' || s.role || '|>' end || chr(10) as head
+  from said s join people p on s.conv_id is not distinct from p.conv_id),
+placed as (
+  select *, sum(length(head) + length(body)) over w - length(body) as s, sum(length(head) + length(body)) over w as e,
+    row_number() over w as k
+  from pieces window w as (partition by conv_id, perspective, part order by turn nulls first, role, text rows unbounded preceding))
+select conv_id, perspective, part, string_agg(head || body, '' order by k) as rendered,
+  coalesce(string_agg(s::bigint::varchar, ',' order by k) filter (where own), '') as mask_starts,
+  coalesce(string_agg(e::bigint::varchar, ',' order by k) filter (where own), '') as mask_ends,
+  count(*) as n_turns, sum(length(head) + length(body))::bigint as n_chars, coalesce(sum(length(body)) filter (where own), 0)::bigint as n_masked
+from placed group by conv_id, perspective, part
+"""
+
+
 @query
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -64,6 +93,22 @@ from (select *, unnest(generate_series(1, n)) as copy from n where n > 0)
 """
 
 
+@query
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = keyed(table(spark, sf_dir, "documents")).withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
+    texts = rows.select("rid", "held_out", text_bytes("text").alias("body"))
+    model = suffix_tree.fit(texts.where("not held_out").select("body"))
+    scored = suffix_tree.score(texts.select("rid", "body"), model)
+    found = rows.select("rid", "doc_id", "held_out").join(scored, "rid")
+    return found.select("doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op6_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -78,6 +123,13 @@ def op8_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), "language.rejected")
 
 
+@query
+def op9_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}/token-files"
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder)
+    return tokenfiles.read_token_files(spark, folder, with_ids=False)
+
+
 @query
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
