@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import scratch
+
 SYSTEM_NAMES = [".ds_store", "thumbs.db", "desktop.ini"]
 LOW_VALUE_EXTENSIONS = ["tmp", "temp", "bak", "old", "orig", "swp", "log", "ini", "db", "sieve", "core"]
 MEDIA = ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "heic", "mp3", "wav", "flac", "m4a", "mp4", "mkv", "avi", "mov", "mts"]
@@ -88,14 +90,14 @@ def cleanup(files: DataFrame, folders: DataFrame, metadata: DataFrame, depth: in
     A folder goes if it or any ancestor is a system folder or lacks its parent; levels of the tree are walked by
     one join each, at most ``depth`` of them.
     """
-    ok = folders.where(~system_folder()).select("id", "parent_id")
-    alive = ok.where("parent_id is null").select("id")
-    level = alive
+    ok = scratch(folders.where(~system_folder()).select("id", "parent_id"), "folders")
+    level = ok.where("parent_id is null").select("id")
+    alive = level
     for _ in range(depth):
-        level = ok.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
-        alive = alive.unionByName(level)
-        if level.limit(1).count() == 0:
+        level = scratch(ok.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id"), "level")
+        if level.isEmpty():
             break
+        alive = alive.unionByName(level)
     kept_folders = folders.join(alive, "id", "left_semi")
     kept_files = files.where(~system_file()).join(kept_folders.select(F.col("id").alias("folder_id")), "folder_id", "left_semi")
     kept_metadata = metadata.join(kept_files, "file_id", "left_semi")

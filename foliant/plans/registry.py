@@ -28,3 +28,6 @@ def query(name: str, sql: str | None = None):
 
 
 
+
+
+from foliant.plans import inventory  # noqa: E402, F401
