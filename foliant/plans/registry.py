@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None):
 
 
 
-from foliant.plans import golden, ingest, inventory  # noqa: E402, F401
+from foliant.plans import golden, ingest, inventory, temporal, workset  # noqa: E402, F401

@@ -112,6 +112,13 @@ select l.doc_id * 4 + n as review_id, l.doc_id as file_id, case when n = 3 then
 from labels l join files f on f.file_id = l.doc_id cross join (select distinct event_id % 4 as n from events) ns
 where n = 0 or n = 3 or (n = 1 and l.doc_id % 3 = 0)""",
     "chunk_vectors": "select vec_id, cast(floor(vec_id / 2) as bigint) as file_id, vec_id % 2 as ordinal, embedding, label from embeddings",
+    "raw_dates": """
+select file_id, case file_id % 6 when 0 then concat(y, '-', m, '-', d, 'T', h, ':30:15Z') when 1 then concat(y, '-', m, '-', d, 'T', h, ':30:15+02:00') when 2 then concat('D:', y, m, d, h, '3015')
+    when 3 then concat('D:', y, m, d, h, '3015-05', chr(39), '30', chr(39)) when 4 then concat(y, '-', m, '-', d, ' ', h, ':30:15') else concat('on ', d, ' ', m) end as raw
+from (select file_id, cast(2023 + file_id % 3 as varchar(4)) as y, lpad(cast(1 + file_id % 12 as varchar(2)), 2, '0') as m, lpad(cast(1 + file_id % 28 as varchar(2)), 2, '0') as d, lpad(cast(file_id % 24 as varchar(2)), 2, '0') as h from files) x""",
+    "nominations": """
+select event_id, user_id as file_id, case when event_id % 3 = 0 then 'inactive' when event_id % 3 = 1 then 'archive' else 'delete' end as nomination_type,
+  case when event_type = 'error' then 'withdraw' else 'nominate' end as action, 1704067200 + event_id * 601 as created_epoch from events""",
     "jobs": """
 select event_id as job_id, user_id as file_id, case event_type when 'click' then 'done' when 'view' then 'pending' when 'error' then 'failed' when 'signup' then 'ready' else 'abstained' end as status,
   cast(event_id % 5 as int) as priority, 1704067200 + event_id * 13 as requested_epoch, cast(event_id % 4 as int) as attempts, case when event_id % 6 = 0 then 'stale' else 'current' end as content_state
