@@ -102,7 +102,7 @@ from (select distinct event_id % 3 as n from events) p""",
     "reviews": """
 select l.doc_id * 4 + n as review_id, l.doc_id as file_id, case when n = 3 then 'privacy' else 'target' end as review_type,
   case when l.quality = 1 then 'accepted' when l.doc_id % 5 = 0 then 'corrected' else 'rejected' end as decision,
-  concat('cat_', case when n = 1 and l.doc_id % 9 = 0 then 'xx' else f.lang end) as category, concat('fam_', cast(f.folder_id % 7 as varchar(10))) as family,
+  concat('cat_', case when n = 1 and l.doc_id % 9 = 0 then 'xx' else f.lang end) as category, concat('fam_', cast(coalesce(f.folder_id, 0) % 7 as varchar(10))) as family,
   concat('fam_', cast(l.doc_id % 4 as varchar(10))) as source_family,
   case when l.toxic = 1 then 'high' when l.doc_id % 6 = 0 then 'medium' else 'low' end as privacy,
   case when l.doc_id % 7 = 0 then null else concat('/target/', f.lang, '/', f.filename) end as target_path,
