@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None):
 
 
 
-from foliant.plans import classify, golden, ingest, inventory, learning, migration, temporal, workset  # noqa: E402, F401
+from foliant.plans import classify, golden, ingest, inventory, learning, migration, retrieval, temporal, workset  # noqa: E402, F401
