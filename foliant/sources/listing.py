@@ -12,7 +12,7 @@ DOCUMENT_EXTENSIONS = ["doc", "docx", "odt", "rtf", "txt", "md", "pdf", "xls", "
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified_at_fs, size_bytes) of all files below a folder; contents aren't read."""
+    """(path, modified_at_fs, size_bytes) of all files below a folder; contents aren't read. Spark's file source leaves empty files out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select("path", F.unix_timestamp("modificationTime").alias("modified_at_fs"), F.col("length").alias("size_bytes"))
 
