@@ -59,6 +59,23 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], *[f"quality.{c}" for c in quality.COUNTS[5:]])
 
 
+ORACLE_SQL["op3_repetition"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+basic as (select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols from d),
+lines as (select doc_id, line, k, row_number() over (partition by doc_id, line order by k) as seen from (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(generate_series(1, len(string_split(t, chr(10))))) as k from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup_lines as (select doc_id, count(*) as n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::bigint as chars from lines where seen > 1 group by 1),
+places as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as gram from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select unnest([3, 5, 7, 10]) as n) where len(w) >= n)),
+marked as (select doc_id, n, i, count(*) over (partition by doc_id, n, gram) as times, row_number() over (partition by doc_id, n, gram order by i) as seen from places),
+inside as (select distinct doc_id, n, unnest(generate_series(i, i + n - 1)) as k from marked where (n = 3 and times > 1) or (n > 3 and seen > 1)),
+cover as (select doc_id, count(*) filter (n = 3) as repeat_words, sum(length(w[k])) filter (n = 5) as c5, sum(length(w[k])) filter (n = 7) as c7, sum(length(w[k])) filter (n = 10) as c10 from inside join d using (doc_id) group by 1),
+m as (select doc_id, n_words, word_chars, n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(repeat_words, 0) as n_repeat_words, coalesce(l.chars, 0) as dup_line_chars, coalesce(c5, 0)::bigint as dup_5gram_chars, coalesce(c7, 0)::bigint as dup_7gram_chars, coalesce(c10, 0)::bigint as dup_10gram_chars
+  from basic left join dup_lines l using (doc_id) left join cover using (doc_id))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * dup_line_chars <= 30 * word_chars and 100 * dup_5gram_chars <= 15 * word_chars and 100 * dup_7gram_chars <= 13 * word_chars and 100 * dup_10gram_chars <= 10 * word_chars as kept
+from m
+"""
+
+
 @query
 def op4_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(table(spark, sf_dir, "documents"))
