@@ -35,7 +35,6 @@ CROWD = 4096
 #: Bytes that are hashed, or contexts that are sorted, at once.
 HASH_BYTES = 1 << 20
 SORT_BYTES = 4 << 20
-_INVERSE = pow(int(ODD), -1, 1 << 64)
 
 
 # ---------------------------------------------------------------- anchors
@@ -60,16 +59,18 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
 class RunHash:
     """Hashes of any runs of a buffer, by differences of a polynomial's prefix sums."""
 
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
     def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODE, base: int = int(ODD)):
         size = len(data) + 1
-        up = np.full(size, base, np.uint64)
-        up[0] = 1
-        np.cumprod(up, out=up)
-        self.down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        self.down[0] = 1
-        np.cumprod(self.down, out=self.down)
+        have = self._powers.get(base)
+        if have is None or len(have[0]) < size:
+            up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            have = self._powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        self.down = have[1]
         self.prefix = np.zeros(size, np.uint64)
-        np.cumsum(codes[data] * up[:-1], out=self.prefix[1:])
+        np.cumsum(codes[data] * have[0][: size - 1], out=self.prefix[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
