@@ -156,12 +156,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     Only hashed n-gram shares of at most ``sample`` rows (8 KB each) come to the driver.
     """
     rows = labelled.select(text_bytes(text).alias("body"), F.col(f"`{lang}`").cast("string").alias("lang")).where(F.col(f"`{text}`").isNotNull() & F.col("lang").isNotNull())
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(sample).collect())
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(sample).collect()}
+    langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+    quota = max(1, sample // len(langs))
+    # Rows above a language's bound on the hash can't be among its first; the bound leaves twice the quota on average, so
+    # few texts are shuffled however many rows a language has.
+    bounds = rows.sparkSession.createDataFrame([(k, min(1.0, (2 * quota + 40) / n)) for k, n in counts.items()], "lang string, bound double")
     order = F.xxhash64("body", "lang")
-    ranked = rows.withColumn("_h", order).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
-    chosen = ranked.where(F.col("_rank") <= max(1, sample // len(langs))).orderBy("_h").limit(sample)
+    share = F.shiftrightunsigned(order, 11).cast("double") / F.lit(float(1 << 53))
+    near = rows.withColumn("_h", F.shiftrightunsigned(order, 1)).join(F.broadcast(bounds), "lang").where(share < F.col("bound")).drop("bound")
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
+    chosen = ranked.where(F.col("_rank") <= quota).orderBy("_h").limit(sample)
     taken = chosen.select("lang", F.pandas_udf(_share_bytes, T.BinaryType())("body").alias("shares"), "_h").collect()
     taken.sort(key=lambda r: (r["_h"], r.lang))
     index = {x: i for i, x in enumerate(langs)}
