@@ -367,8 +367,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(rid, body) with unique rids -> (rid, low, high): runs of windows that also start earlier."""
     spark = docs.sparkSession
     counted = docs.mapInArrow(lambda rows: _anchor_rows(rows, False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, so that the join below reads two plain shuffles and Spark can split a frequent anchor between tasks.
+    counted = scratch(counted.select("h"), "repeated")
     listed = docs.mapInArrow(lambda rows: _anchor_rows(rows, True), "h long, ch long, rid long, at long")
-    listed = scratch(listed.join(counted.select("h"), "h", "left_semi"), "anchors")
+    listed = scratch(listed.join(counted, "h", "left_semi"), "anchors")
     release(spark)
     folded = scratch(listed.groupBy("h", "ch").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "folded")
     copies = listed.join(folded.where("n > 1").select("h", "ch", "first"), ["h", "ch"]).where("not (rid = first.rid and at = first.at)")
