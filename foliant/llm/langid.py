@@ -2,8 +2,8 @@
 
 A text is the average of the embeddings of its byte n-grams (2 to 4 bytes, letters lower-cased, other
 ASCII as gaps), hashed into ``BUCKETS`` rows. Embeddings and the linear layer are trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows: at most ``SAMPLE`` rows, spread evenly
-over the languages and chosen by a hash of text and label. A fifth of the sample is held back to fit the
+gradient descent in numpy on a bounded sample of labelled rows: at most ``SAMPLE`` different rows, spread
+evenly over the languages and chosen by a hash of text and label. A fifth of the sample is held back to fit the
 temperature of the softmax and the rejection threshold: the score below which no more than ``REJECTED``
 of the rightly named texts lie, and 0.5 at most.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliant.llm.common import batches, pack, text_bytes
+from foliant.llm.common import batches, pack, scratch, text_bytes
 
 BUCKETS = 1 << 12
 DIM = 16
@@ -156,20 +156,29 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     Only hashed n-gram shares of at most ``sample`` rows (8 KB each) come to the driver.
     """
     rows = labelled.select(text_bytes(text).alias("body"), F.col(f"`{lang}`").cast("string").alias("lang")).where(F.col(f"`{text}`").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(sample).collect()}
+    # Copies of a text have one hash and count as one row.
+    rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("body", "lang"), 1))
+    hashes = scratch(rows.select("lang", "_h").distinct(), "hashes")
+    counts = {r.lang: r.n for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(sample).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     quota = max(1, sample // len(langs))
-    # Rows above a language's bound on the hash can't be among its first; the bound leaves twice the quota on average, so
-    # few texts are shuffled however many rows a language has.
-    bounds = rows.sparkSession.createDataFrame([(k, min(1.0, (2 * quota + 40) / n)) for k, n in counts.items()], "lang string, bound double")
-    order = F.xxhash64("body", "lang")
-    share = F.shiftrightunsigned(order, 11).cast("double") / F.lit(float(1 << 53))
-    near = rows.withColumn("_h", F.shiftrightunsigned(order, 1)).join(F.broadcast(bounds), "lang").where(share < F.col("bound")).drop("bound")
-    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
-    chosen = ranked.where(F.col("_rank") <= quota).orderBy("_h").limit(sample)
-    taken = chosen.select("lang", F.pandas_udf(_share_bytes, T.BinaryType())("body").alias("shares"), "_h").collect()
+
+    def below(bounds: dict[str, float]) -> DataFrame:
+        held = hashes.sparkSession.createDataFrame(sorted(bounds.items()), "lang string, bound double")
+        share = F.shiftrightunsigned("_h", 10).cast("double") / F.lit(float(1 << 53))
+        return hashes.join(F.broadcast(held), "lang").where(share < F.col("bound")).drop("bound")
+
+    # Hashes above a language's bound aren't among its first if enough lie below it: twice the quota do on average. A language
+    # for which they don't is ranked as a whole.
+    bounds = {k: min(1.0, (2 * quota + 40) / n) for k, n in counts.items()}
+    passed = {r.lang: r.n for r in below(bounds).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bounds = {k: b if passed.get(k, 0) >= min(quota, counts[k]) else 1.0 for k, b in bounds.items()}
+    ranked = below(bounds).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
+    chosen = ranked.where(F.col("_rank") <= quota).orderBy("_h").limit(sample).select("lang", "_h")
+    texts = rows.join(F.broadcast(chosen), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("body").alias("body"))
+    taken = texts.select("lang", F.pandas_udf(_share_bytes, T.BinaryType())("body").alias("shares"), "_h").collect()
     taken.sort(key=lambda r: (r["_h"], r.lang))
     index = {x: i for i, x in enumerate(langs)}
     taken = [r for r in taken if r.lang in index]

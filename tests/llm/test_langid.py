@@ -35,3 +35,14 @@ def test_without_labels_and_empty(spark):
 
 def test_letters():
     assert langid.has_letter("é".encode()) and langid.has_letter(b"1a") and not langid.has_letter("12 ‚ … €".encode()) and not langid.has_letter(b"")
+
+
+def test_copies_count_once_in_the_sample(spark):
+    many = spark.range(10000).crossJoin(spark.createDataFrame([(" ".join(w), lang) for lang, w in WORDS.items()], "text string, lang string"))
+    few = spark.createDataFrame([(i, t, lang) for i, t, lang in texts(120, 3)], "id long, text string, lang string")
+    for rows in (many, many.unionByName(few)):
+        model = langid.fit(rows)
+        assert model.langs == sorted(WORDS)
+        assert model.predict([" ".join(w).encode() for w in WORDS.values()])[0] == list(WORDS)
+    named = model.predict([t.encode() for _, t, _ in texts(60, 4)])[0]
+    assert sum(a == lang for a, (_, _, lang) in zip(named, texts(60, 4), strict=True)) >= 58
