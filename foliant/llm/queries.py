@@ -28,7 +28,7 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    out = chat.whole_parts(chat.perspectives(table(spark, sf_dir, "conversations")))
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return out.withColumns({"mask_starts": listed("mask_starts"), "mask_ends": listed("mask_ends")})
 

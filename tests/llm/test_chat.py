@@ -38,3 +38,18 @@ def test_native_and_empty(spark):
     out = chat.perspectives(spark.createDataFrame([], SCHEMA))
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_and_repeated_turns_come_in_pieces(spark):
+    rows = [(1, None, "ab"[i % 2], f"null {i:04}", None) for i in range(700)] + [(1, 5, "abc"[i % 3], f"five {i:04}", None) for i in range(500)] + [(None, 7, "a", "same", None)] * 300
+    pieces = chat.perspectives(spark.createDataFrame(rows, SCHEMA))
+    got = pieces.orderBy("part", "piece").collect()
+    assert max(r.n_turns for r in got) <= chat.PART
+    want = brute(rows)
+    assert {k: "".join(r.rendered for r in got if (r.conv_id, r.perspective) == k) for k in want} == {k: text for k, (text, _) in want.items()}
+    whole = chat.whole_parts(pieces).collect()
+    assert len(whole) == len(want)
+    for r in whole:
+        text, mask = want[r.conv_id, r.perspective]
+        assert (r.rendered, list(zip(r.mask_starts, r.mask_ends, strict=True)), r.n_chars) == (text, mask, len(text))
+        assert r.n_masked == sum(b - a for a, b in mask)
