@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant.llm.common import BYTE_CODE, ODD, U64, batches, byte_ngram_hash, keyed, mix64, pack, scratch, text_bytes
 
@@ -33,8 +34,12 @@ SPAN = LENGTH - GRAM + 1
 #: Differing contexts of one anchor that are sorted together.
 CROWD = 4096
 #: Bytes that are hashed, or contexts that are sorted, at once.
-HASH_BYTES = 1 << 20
-SORT_BYTES = 4 << 20
+HASH_BYTES = 1 << 19
+SORT_BYTES = 1 << 20
+#: Starts of windows in a piece of a document; longer documents are cut into pieces that overlap by a window less a byte.
+PIECE = 1 << 18
+#: Rows of a batch that become Python objects at once.
+ROWS = 256
 
 
 # ---------------------------------------------------------------- anchors
@@ -115,14 +120,23 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+def _pieces(body: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    """(row, first byte, bytes) of pieces that hold every window of the texts once."""
+    for i, text in enumerate(body):
+        view = text.as_buffer() if text.is_valid else b""
+        for at in range(0, max(1, len(view) - LENGTH + 1), PIECE):
+            yield i, at, bytes(view[at : at + PIECE + LENGTH - 1])
+
+
 def _anchor_rows(rows: Iterator[pa.RecordBatch], contexts: bool) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         rid, body = _columns(batch, "rid", "body")
         rid = rid.to_numpy()
-        for group in batches(((i, b.as_py()) for i, b in enumerate(body)), HASH_BYTES):
-            doc, h, ch, start, inside, more = anchors([b for _, b in group], contexts)
-            ids = rid[np.array([i for i, _ in group])]
+        for group in batches(_pieces(body), HASH_BYTES):
+            doc, h, ch, start, inside, more = anchors([b for _, _, b in group], contexts)
+            ids = rid[np.array([i for i, _, _ in group])]
             if contexts:
+                start = start + np.array([at for _, at, _ in group], np.int64)[doc]
                 # Window, place of the anchor and further windows in one number: start, then 7 bits each.
                 packed = (start << 14) | (inside << 7) | more
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ch), pa.array(ids[doc]), pa.array(packed)], names=["h", "ch", "rid", "at"])
@@ -280,9 +294,15 @@ def repeats(contexts: list[bytes], rid: np.ndarray, start: np.ndarray, windows:
 # ---------------------------------------------------------------- Spark
 
 
+def _sliced(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _context_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the listed contexts out of each document."""
-    for batch in rows:
+    for batch in _sliced(rows):
         for rid, body, listed in zip(*[c.to_pylist() for c in _columns(batch, "rid", "body", "listed")], strict=True):
             start = [x["at"] >> 14 for x in listed]
             windows = [(x["at"] & 127) + 1 for x in listed]
@@ -337,7 +357,7 @@ def _window_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the marked windows out of each document: what is kept, and the spans removed."""
-    for batch in rows:
+    for batch in _sliced(rows):
         kept, starts, ends = [], [], []
         for body, marks in zip(*[c.to_pylist() for c in _columns(batch, "body", "marks")], strict=True):
             spans: list[list[int]] = []
@@ -388,7 +408,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     windows = scratch(windows, "windows")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = windows.join(least, ["w1", "w2"]).where("not (rid = first.rid and start = first.start)")
-    return marks.unionByName(again.select("rid", F.col("start").alias("low"), F.col("start").alias("high")))
+    return marks.unionByName(_runs(again.select("rid", "start")))
+
+
+def _runs(starts: DataFrame) -> DataFrame:
+    """Distinct (rid, start) -> (rid, low, high): neighbouring starts as one run, cut at multiples of 65,536."""
+    block = F.shiftright("start", 16).alias("block")
+    ranked = starts.select("rid", "start", block).withColumn("island", F.col("start") - F.row_number().over(Window.partitionBy("rid", "block").orderBy("start")))
+    return ranked.groupBy("rid", "block", "island").agg(F.min("start").alias("low"), F.max("start").alias("high")).select("rid", "low", "high")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,3 +83,14 @@ def test_two_stage_order_is_suffix_order():
     for k in range(1, len(order)):
         a, b = strings[k - 1], strings[k]
         assert common[k] == next((i for i in range(100) if a[i] != b[i]), 100)
+
+
+def test_documents_longer_than_a_piece(spark):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdefgh \n") for _ in range(substrings.PIECE + 5_000))
+    texts = [base, "y" + base[70_000:] + base[:150], "z" * 90_000, base[substrings.PIECE - 60 : substrings.PIECE + 60]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kept, spans) in enumerate(brute([t.encode() for t in texts])):
+        assert bytes(found[i].kept) == kept, i
+        assert list(zip(found[i].starts, found[i].ends, strict=True)) == spans, i
