@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def signature(mtime: str = "mtime", size: str = "size_bytes", inode: str = "inode") -> Column:
@@ -39,11 +44,38 @@ def next_root(roots: DataFrame, dirty: DataFrame, turn: int) -> DataFrame:
 
 
 def debounce(events: DataFrame, seconds: int, keys: tuple[str, ...] = ("event", "path"), ts: str = "ts") -> DataFrame:
-    """Accepted times of each key: one at least ``seconds`` after the accepted one before it."""
-    grouped = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(ts).cast("long"))).alias("_ts"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= seconds), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-    return grouped.select(*keys, F.explode(F.aggregate("_ts", start, step, lambda acc: acc["kept"])).alias(ts))
+    """Accepted times of each key: one at least ``seconds`` after the accepted one before it.
+
+    An event that follows the one before it by ``seconds`` or more is accepted whatever came earlier, so a key's events are
+    cut there into runs; runs spread over the tasks and are streamed in order of time, none is held as a whole.
+    """
+    held = events.select(*keys, F.col(ts).cast("long").alias("_ts"))
+    by_key = Window.partitionBy(*keys).orderBy("_ts")
+    gap = F.col("_ts") - F.lag("_ts").over(by_key)
+    runs = held.withColumn("_cut", F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0)).withColumn("_run", F.sum("_cut").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = runs.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_ts")
+    schema = T.StructType([f for f in held.schema if f.name != "_ts"] + [T.StructField(ts, T.LongType())])
+
+    def accepted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0
+        for batch in batches:
+            times, cut = batch["_ts"].to_numpy(), np.append(np.flatnonzero(batch["_cut"].to_numpy()), len(batch))
+            kept = []
+            at = 0
+            for end in cut:
+                # Within a run the next accepted event is the first that is late enough.
+                while at < end:
+                    at += int(np.searchsorted(times[at:end], last + seconds))
+                    if at < end:
+                        kept.append(at)
+                        last = times[at]
+                        at += 1
+                if end < len(batch):
+                    kept.append(end)
+                    last, at = times[end], end + 1
+            yield batch.iloc[kept][list(keys)].assign(**{ts: times[kept]})
+
+    return placed.mapInPandas(accepted, schema)
 
 
 def dirty_roots(events: DataFrame) -> DataFrame:
@@ -54,10 +86,8 @@ def dirty_roots(events: DataFrame) -> DataFrame:
 
 def prioritised(events: DataFrame, realtime: int = 50, polling: int = 10) -> DataFrame:
     """The next batch: up to ``realtime`` realtime events, then up to ``polling`` polled ones, each in order of time."""
-    rank = F.row_number().over(Window.partitionBy("stream").orderBy("ts", "event_id"))
-    ranked = events.withColumn("_rank", rank)
-    out = ranked.where(((F.col("stream") == "realtime") & (F.col("_rank") <= realtime)) | ((F.col("stream") == "polling") & (F.col("_rank") <= polling)))
-    return out.withColumn("priority", F.when(F.col("stream") == "realtime", 0).otherwise(1)).drop("_rank")
+    first = lambda name, n, priority: events.where(F.col("stream") == name).orderBy("ts", "event_id").limit(n).withColumn("priority", F.lit(priority))
+    return first("realtime", realtime, 0).unionByName(first("polling", polling, 1))
 
 
 def latest_per_path(events: DataFrame) -> DataFrame:
@@ -66,24 +96,57 @@ def latest_per_path(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("_e")).select("path", "_e.*")
 
 
+def _moves(last: DataFrame) -> DataFrame:
+    """(old_path, new_path, ts, event_id): where the file at each old path went, moves in a row followed to their end."""
+    later = lambda a, b: F.struct(f"{a}.ts", f"{a}.event_id") > F.struct(f"{b}.ts", f"{b}.event_id")
+    hops = last.where((F.col("event") == "MOVE") & F.col("old_path").isNotNull())
+    hops = hops.groupBy("old_path").agg(F.max_by(F.struct(F.col("path").alias("new_path"), "ts", "event_id"), F.struct("ts", "event_id")).alias("m")).select("old_path", "m.*")
+    while True:
+        joined = hops.alias("a").join(hops.alias("b"), (F.col("a.new_path") == F.col("b.old_path")) & later("b", "a"), "left")
+        if joined.where("b.new_path is not null").isEmpty():
+            return hops
+        hops = joined.select("a.old_path", *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("new_path", "ts", "event_id")])
+
+
 def apply_events(files: DataFrame, events: DataFrame) -> DataFrame:
     """Inventory after a batch: upserts by path, deletions are marks, a later upsert takes the mark away.
 
-    Adds mutation: CREATED, RESTORED, MODIFIED, DELETED, or null where nothing happened. A deletion of an unknown path adds nothing.
+    A MOVE takes the row of an active old path to a path that had no row; if that had one, the old path is marked as
+    deleted and the other updated. Events on the old path before the move are void, later ones meet a free path. Adds
+    mutation: CREATED, RESTORED, MODIFIED, DELETED, RENAMED, MOVED, or null where nothing happened, and old_path of moved rows.
+    A deletion of an unknown path adds nothing. Rows need no file_id: those that a batch creates have none yet.
     """
-    last = latest_per_path(events).select("path", "event", "ts", F.col("size_bytes").alias("_size"), F.col("mtime").alias("_mtime"))
-    both = files.join(last, "path", "full_outer")
+    if "old_path" not in events.columns:
+        events = events.withColumn("old_path", F.lit(None).cast("string"))
+    last = latest_per_path(events).select("path", "event", "ts", "event_id", "old_path", F.col("size_bytes").alias("_size"), F.col("mtime").alias("_mtime"))
+    known = files.select("path", "file_id", "size_bytes", "modified_at_fs", "deleted_epoch")
+    moves = _moves(last).where("old_path <> new_path")
+    moves = moves.join(known.select(F.col("path").alias("new_path"), F.lit(True).alias("_there")), "new_path", "left")
+    moves = moves.join(known.where("deleted_epoch is null").select(F.col("path").alias("old_path"), F.lit(True).alias("_here")), "old_path", "left")
+    taken = moves.where("_here and _there is null").select(F.col("old_path").alias("path"), "new_path")
+    rows = known.join(taken, "path", "left").select(
+        F.coalesce("new_path", "path").alias("path"), "file_id", "size_bytes", "modified_at_fs", "deleted_epoch", F.when(F.col("new_path").isNotNull(), F.col("path")).alias("_from"), F.lit(True).alias("_known")
+    )
+    left = moves.select(F.col("old_path").alias("path"), F.col("ts").alias("_left"), F.col("event_id").alias("_left_id"))
+    void = F.col("_left").isNotNull() & (F.struct("ts", "event_id") <= F.struct("_left", "_left_id"))
+    live = last.join(left, "path", "left").where(~void).drop("_left", "_left_id", "old_path", "event_id")
+    gone_now = moves.where("_here and _there").join(live.select(F.col("path").alias("old_path")), "old_path", "left_anti")
+    live = live.unionByName(gone_now.select(F.col("old_path").alias("path"), F.lit("DELETE").alias("event"), "ts", F.lit(None).cast("long").alias("_size"), F.lit(None).cast("long").alias("_mtime")))
+    both = rows.join(live, "path", "full_outer")
     gone, hit = F.col("event") == "DELETE", F.col("event").isNotNull()
-    known = F.col("file_id").isNotNull()
-    mutation = F.when(~hit, F.lit(None)).when(gone, F.when(known, F.lit("DELETED"))).when(~known, F.lit("CREATED")).when(F.col("deleted_epoch").isNotNull(), F.lit("RESTORED")).otherwise(F.lit("MODIFIED"))
+    present = F.col("_known").isNotNull()
+    mutation = (
+        F.when(~hit, F.lit(None)).when(gone, F.when(present, F.lit("DELETED"))).when(~present, F.lit("CREATED")).when(F.col("_from").isNotNull(), move_class("_from", "path")).when(F.col("deleted_epoch").isNotNull(), F.lit("RESTORED")).otherwise(F.lit("MODIFIED"))
+    )
     upsert = hit & ~gone
-    return both.where(known | upsert).select(
+    return both.where(present | upsert).select(
         "path",
         "file_id",
         F.when(upsert, F.coalesce("_size", "size_bytes")).otherwise(F.col("size_bytes")).alias("size_bytes"),
         F.when(upsert, F.coalesce("_mtime", "modified_at_fs")).otherwise(F.col("modified_at_fs")).alias("modified_at_fs"),
         F.when(upsert, F.lit(None)).when(hit & gone, F.coalesce("deleted_epoch", "ts")).otherwise(F.col("deleted_epoch")).cast("long").alias("deleted_epoch"),
         mutation.alias("mutation"),
+        F.col("_from").alias("old_path"),
     )
 
 

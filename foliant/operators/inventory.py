@@ -84,19 +84,18 @@ def system_file(name: str = "filename") -> Column:
     return c.startswith("~$") | c.like("._%") | c.isin(".DS_Store", "Thumbs.db") | c.rlike(r"\.(tmp|swp|bak)$")
 
 
-def cleanup(files: DataFrame, folders: DataFrame, metadata: DataFrame, depth: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cleanup(files: DataFrame, folders: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files, folders and metadata that survive: no system folders or files, no orphans, no child of a removed row.
 
     A folder goes if it or any ancestor is a system folder or lacks its parent; levels of the tree are walked by
-    one join each, at most ``depth`` of them.
+    one join each until one adds nothing. Folders in a cycle have no root above them, so they are orphans.
     """
     ok = scratch(folders.where(~system_folder()).select("id", "parent_id"), "folders")
-    level = ok.where("parent_id is null").select("id")
+    level = ok.where("parent_id is null").select("id").distinct()
     alive = level
-    for _ in range(depth):
-        level = scratch(ok.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id"), "level")
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        below = ok.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        level = scratch(below.join(alive, "id", "left_anti"), "level")
         alive = alive.unionByName(level)
     kept_folders = folders.join(alive, "id", "left_semi")
     kept_files = files.where(~system_file()).join(kept_folders.select(F.col("id").alias("folder_id")), "folder_id", "left_semi")

@@ -104,7 +104,7 @@ def _(v):
 
 @query("t08_apply_events", f"with {APPLIED} select path, file_id, size_bytes, modified_at_fs, deleted_epoch from applied")
 def _(v):
-    return ops.apply_events(v.known_files, v.stream).drop("mutation")
+    return ops.apply_events(v.known_files, v.stream).drop("mutation", "old_path")
 
 
 @query("t09_mutations", f"with {APPLIED} select mutation, count(*) as n from applied group by 1")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir of the session. Where that is unset, a local session gets a folder of its own; a cluster raises,
+    as its executors couldn't read one of the driver's."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,3 +25,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark knows; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Deletes the files of a table that ``scratch`` wrote, once nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        drop_folder(df.sparkSession, file.rpartition("/")[0])

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliant.operators import ingest
+from foliant.sources.scratch import drop_folder
 
 EVENTS = T.StructType(
     [
@@ -37,12 +38,16 @@ def event_source(spark: SparkSession, folder: str, per_trigger: int = 50) -> Dat
 
 
 class Debouncer(StatefulProcessor):
-    """Passes an event if none of its key was passed in the ``seconds`` before it."""
+    """Passes an event if none of its key was passed in the ``seconds`` before it.
+
+    Once the watermark is ``seconds`` beyond the last passed event, any event that may still come passes: the state is cleared.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("ts", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
@@ -55,15 +60,25 @@ class Debouncer(StatefulProcessor):
                 last = t
         if kept:
             self.last.update((last,))
+            self.handle.registerTimer((last + self.seconds) * 1000)
             yield pd.DataFrame({"event": key[0], "path": key[1], "ts": kept})
 
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and (self.last.get()[0] + self.seconds) * 1000 <= expired.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def debounced(events: DataFrame, seconds: int) -> DataFrame:
-    """(event, path, ts) of the accepted events of a stream; in each batch events are taken in order of time."""
-    return events.groupBy("event", "path").transformWithStateInPandas(Debouncer(seconds), "event string, path string, ts long", "Append", "None")
+def debounced(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(event, path, ts) of the accepted events of a stream; in each batch events are taken in order of time.
+
+    Events that come more than ``late`` behind the newest may be dropped, which is what lets old state go.
+    """
+    stamped = events.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
+    return stamped.groupBy("event", "path").transformWithStateInPandas(Debouncer(seconds), "event string, path string, ts long", "Append", "EventTime")
 
 
 class MissingCounter(StatefulProcessor):
@@ -87,7 +102,10 @@ class MissingCounter(StatefulProcessor):
             if missed >= self.threshold:
                 gone.append(int(sweep))
                 missed = 0
-        self.missed.update((int(missed),))
+        if missed:
+            self.missed.update((int(missed),))
+        else:
+            self.missed.clear()
         if gone:
             yield pd.DataFrame({"path": key[0], "sweep": gone, "event": "DELETE"})
 
@@ -118,11 +136,11 @@ def newest_dead_letters(dead: DataFrame, n: int = 20) -> DataFrame:
     return dead.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
-def ingest_batches(inventory: str, dead: str, audit: str) -> Callable[[DataFrame, int], None]:
+def ingest_batches(inventory: str, dead: str, audit: str, keep: int = 3) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: applies a batch to the inventory, logs mutations, sets bad records aside.
 
     Version n + 1 of the inventory is written from version n under the batch's number, so a replayed batch writes the
-    same files again. Parquet has no MERGE; a version is a snapshot folder ``inventory/v=<n>``.
+    same files again. Parquet has no MERGE; a version is a snapshot folder ``inventory/v=<n>``, and the last ``keep`` stay.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -133,6 +151,8 @@ def ingest_batches(inventory: str, dead: str, audit: str) -> Callable[[DataFrame
         after = ingest.apply_events(before, valid)
         ingest.audit_rows(after).write.mode("overwrite").parquet(f"{audit}/batch={batch_id}")
         after.select("path", "file_id", "size_bytes", "modified_at_fs", "deleted_epoch").write.mode("overwrite").parquet(f"{inventory}/v={batch_id + 1}")
+        if batch_id + 1 >= keep:
+            drop_folder(spark, f"{inventory}/v={batch_id + 1 - keep}")
 
     return apply
 

@@ -50,12 +50,89 @@ def test_hard_links_and_ambiguity_are_not_renames(spark):
     assert found == {"/n/a": ("IDENTITY_MATCHED", "high", 100), "/n/b": ("HARDLINK_DETECTED", "ambiguous", None), "/n/c": ("IDENTITY_AMBIGUOUS", "ambiguous", None), "/n/e": ("IDENTITY_REJECTED", "low", 50)}
 
 
+INVENTORY = "path string, file_id long, size_bytes long, modified_at_fs long, deleted_epoch long"
+BATCH = "event_id long, ts long, path string, old_path string, event string, size_bytes long, mtime long"
+
+
+def applied(spark, files, *batches):
+    """Rows and mutations after each batch."""
+    held, out = spark.createDataFrame(files, INVENTORY), []
+    for batch in batches:
+        rows = ingest.apply_events(held, spark.createDataFrame(batch, BATCH)).collect()
+        out.append({r.path: (r.file_id, r.deleted_epoch, r.mutation) for r in rows})
+        assert len(out[-1]) == len(rows)
+        held = spark.createDataFrame([(r.path, r.file_id, r.size_bytes, r.modified_at_fs, r.deleted_epoch) for r in rows], INVENTORY)
+    return out
+
+
+def test_created_rows_live_on_in_later_batches(spark):
+    one, two, three, four = applied(
+        spark,
+        [("/a", 1, 5, 5, None)],
+        [(1, 1, "/new", None, "CREATE", 8, 8)],
+        [(2, 2, "/a", None, "UPSERT", 6, 6)],
+        [(3, 3, "/new", None, "DELETE", None, None), (4, 3, "/never", None, "DELETE", None, None)],
+        [(5, 4, "/new", None, "UPSERT", 9, 9)],
+    )
+    assert one == {"/a": (1, None, None), "/new": (None, None, "CREATED")}
+    assert two == {"/a": (1, None, "MODIFIED"), "/new": (None, None, None)}
+    assert three == {"/a": (1, None, None), "/new": (None, 3, "DELETED")}
+    assert four == {"/a": (1, None, None), "/new": (None, None, "RESTORED")}
+
+
+def test_moves_take_their_row_along(spark):
+    files = [(f"/d/{c}", i, 5, 5, None) for i, c in enumerate("abcdef", 1)] + [("/d/gone", 9, 5, 5, 7)]
+    found = applied(
+        spark,
+        files,
+        [
+            (1, 1, "/d/a", None, "UPSERT", 6, 6),  # void: the file moves away afterwards
+            (2, 2, "/d/a2", "/d/a", "MOVE", 6, 6),
+            (3, 3, "/e/b", "/d/b", "MOVE", 5, 5),
+            (4, 4, "/d/b", None, "CREATE", 1, 1),  # the path is used again
+            (5, 5, "/x/c1", "/d/c", "MOVE", 5, 5),
+            (6, 6, "/x/c2", "/x/c1", "MOVE", 5, 5),  # moves in a row
+            (7, 7, "/d/e", "/d/d", "MOVE", 5, 5),  # onto a known file
+            (8, 8, "/n/z", "/d/unknown", "MOVE", 5, 5),
+            (9, 9, "/n/y", "/d/gone", "MOVE", 5, 5),
+            (10, 10, "/n/f", "/d/f", "MOVE", 5, 5),
+            (11, 11, "/d/f", "/n/f", "MOVE", 5, 5),  # there and back
+        ],
+    )[0]
+    assert found == {
+        "/d/a2": (1, None, "RENAMED"), "/e/b": (2, None, "MOVED"), "/d/b": (None, None, "CREATED"), "/x/c2": (3, None, "MOVED"), "/d/d": (4, 7, "DELETED"), "/d/e": (5, None, "MODIFIED"),
+        "/n/z": (None, None, "CREATED"), "/n/y": (None, None, "CREATED"), "/d/gone": (9, 7, None), "/d/f": (6, None, "MODIFIED"),
+    }
+
+
+def test_deep_trees_and_cycles_of_folders(spark):
+    chain = [(i, f"/f{i}", i - 1 if i > 1 else None) for i in range(1, 41)]
+    odd = [(100, "/c1", 101), (101, "/c2", 100), (102, "/self", 102), (103, "/lost", 999), (104, "/a/@x", 1), (105, "/a/@x/y", 104), (106, "/f40/@eaDir", 40)]
+    folders = spark.createDataFrame(chain + odd, "id long, path string, parent_id long")
+    files = spark.createDataFrame([(i, i, "a.txt") for i in [*range(1, 41), 100, 102, 103, 105]], "file_id long, folder_id long, filename string")
+    metadata = spark.createDataFrame([(i, i) for i in range(1, 110)], "metadata_id long, file_id long")
+    kept_files, kept_folders, kept_metadata = inventory.cleanup(files, folders, metadata)
+    assert sorted(r.id for r in kept_folders.collect()) == sorted(range(1, 41))
+    assert kept_files.count() == 40 and kept_metadata.count() == 40
+
+
+def test_chunks_of_short_long_and_empty_texts(spark):
+    for n in (0, 1, 75, 76, 600, 601, 675, 676, 1125, 1200, 1201, 3000):
+        words = [f"w{i}" for i in range(n)]
+        got = {r.ordinal: r.passage.split() for r in retrieval.chunk(spark.createDataFrame([(1, "  " + " \n".join(words))], "doc_id long, text string")).collect()}
+        want, at = {}, 0
+        while at < n and (at == 0 or n - at > 75):
+            want[len(want)] = words[at : at + 600]
+            at += 525
+        assert got == want, n
+
+
 def test_events_upsert_restore_and_delete(spark):
     files = spark.createDataFrame([("/a", 1, 5, 5, None), ("/b", 2, 5, 5, 99), ("/c", 3, 5, 5, None)], "path string, file_id long, size_bytes long, modified_at_fs long, deleted_epoch long")
     events = spark.createDataFrame([(1, 1, "/a", "UPSERT", 6, 6), (2, 2, "/a", "DELETE", None, None), (3, 3, "/b", "UPSERT", 7, 7), (4, 4, "/n", "CREATE", 8, 8), (5, 5, "/q", "DELETE", None, None)], "event_id long, ts long, path string, event string, size_bytes long, mtime long")
     after = {r.path: (r.size_bytes, r.deleted_epoch, r.mutation) for r in ingest.apply_events(files, events).collect()}
     assert after == {"/a": (5, 2, "DELETED"), "/b": (7, None, "RESTORED"), "/c": (5, None, None), "/n": (8, None, "CREATED")}
-    again = ingest.apply_events(ingest.apply_events(files, events).drop("mutation"), events)
+    again = ingest.apply_events(ingest.apply_events(files, events).drop("mutation", "old_path"), events)
     assert {r.path: r.size_bytes for r in again.collect()} == {p: s for p, (s, _, _) in after.items()}
 
 
