@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import drop_scratch, scratch, shared_dir  # noqa: F401
+
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
 #: ASCII A-Z to a-z, all other bytes as they are.
@@ -21,29 +22,10 @@ IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 # ---------------------------------------------------------------- scratch
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, so that later stages don't depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes the files of a table that ``scratch`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished phases, which it does for plans that were garbage-collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 # ---------------------------------------------------------------- columns

@@ -17,7 +17,6 @@ A byte goes if it lies in a string of ``LENGTH`` bytes (a window) that also star
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import BYTE_CODE, ODD, U64, batches, byte_ngram_hash, keyed, mix64, pack, scratch, text_bytes
+from foliant.llm.common import BYTE_CODE, ODD, U64, batches, byte_ngram_hash, keyed, mix64, pack, release, scratch, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -377,12 +376,6 @@ def _cut_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*_columns(batch, "rid", "doc_id", "n_bytes"), pa.array(kept, pa.binary()), pa.array(starts, listed), pa.array(ends, listed)], names=["rid", "doc_id", "n_bytes", "kept", "starts", "ends"])
 
 
-def release(spark) -> None:
-    """Lets Spark delete shuffle files of finished phases, which it does for plans that were garbage-collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(rid, body) with unique rids -> (rid, low, high): runs of windows that also start earlier."""
     spark = docs.sparkSession
