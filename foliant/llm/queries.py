@@ -113,9 +113,7 @@ from (select *, unnest(generate_series(1, n)) as copy from n where n > 0)
 @query
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(table(spark, sf_dir, "documents")).withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
-    texts = rows.select("rid", "held_out", text_bytes("text").alias("body"))
-    model = suffix_tree.fit(texts.where("not held_out").select("body"))
-    scored = suffix_tree.score(texts.select("rid", "body"), model)
+    scored, model = suffix_tree.score_texts(rows.select("rid", text_bytes("text").alias("body"), (~F.col("held_out")).alias("train")))
     found = rows.select("rid", "doc_id", "held_out").join(scored, "rid")
     return found.select("doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
