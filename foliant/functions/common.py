@@ -42,3 +42,11 @@ def uuid5(namespace: str, name: Column) -> Column:
 def squeezed(text: Column) -> Column:
     """Text with runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def the_one(rows: DataFrame, *columns: str) -> DataFrame:
+    """The single row of a table; a query over none or several raises when it runs."""
+    kept = F.max(F.struct(*columns)) if columns else F.max(F.struct(*rows.columns))
+    one = rows.agg(kept.alias("_r"), F.count(F.lit(1)).alias("_n"))
+    sound = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("one row was expected, not "), F.col("_n").cast("string"))))
+    return one.select(sound.alias("_r")).select("_r.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,19 +13,55 @@ from pyspark.sql import types as T
 from foliant.functions.common import first_of, latest, round_robin, squeezed, top_per
 from foliant.operators.migration import safe_name
 
-#: Category, family, label and keywords, in order of precedence.
-TAXONOMY = [
-    ("work", "contracts", "Contracts", ["work", "contract"]),
-    ("work", "minutes", "Minutes", ["minutes", "report_2"]),
-    ("study", "notes", "Notes", ["study", "course"]),
-    ("study", "certificates", "Certificates", ["certificate", "report_3"]),
-    ("finance", "invoices", "Invoices", ["finance", "invoice"]),
-    ("finance", "taxes", "Taxes", ["tax", "report_4"]),
-    ("home", "housing", "Housing", ["home", "rent"]),
-    ("archive", "old", "Old papers", ["archive", "backup"]),
-]
-CATEGORIES = list(dict.fromkeys(t[0] for t in TAXONOMY))
-SECRET_WORDS = ["password", "credential", "api key", "report_10"]
+
+
+@dataclass(frozen=True)
+class Taxonomy:
+    """Rule tables of a classification, in order of precedence.
+
+    families: (categories, code, label, keywords); explicit: (code, label, keywords) of families that come first;
+    signals: category -> parts of paths that speak for it; aliases: other names of categories.
+    """
+
+    families: tuple[tuple[tuple[str, ...], str, str, tuple[str, ...]], ...]
+    explicit: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
+    signals: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    aliases: dict[str, str] = field(default_factory=dict)
+    secret_words: tuple[str, ...] = ("password", "passwords", "credentials", "api key", "secret")
+
+    @property
+    def categories(self) -> list[str]:
+        return list(dict.fromkeys(c for t in self.families for c in t[0]))
+
+    @property
+    def codes(self) -> list[str]:
+        return [t[1] for t in self.families]
+
+    def words(self, category: str) -> list[str]:
+        return [w for t in self.families if category in t[0] for w in t[3]]
+
+
+DEFAULT = Taxonomy(
+    families=(
+        (("work",), "contracts", "Contracts", ("contract", "agreement", "assignment letter")),
+        (("work",), "minutes", "Minutes", ("minutes", "meeting notes", "agenda")),
+        (("learning",), "notes", "Notes", ("lecture", "summary", "syllabus")),
+        (("learning", "work"), "certificates", "Certificates", ("certificate", "diploma")),
+        (("finance",), "invoices", "Invoices", ("invoice", "receipt", "order confirmation")),
+        (("finance",), "taxes", "Taxes", ("tax return", "income tax", "annual statement")),
+        (("home", "finance"), "housing", "Housing", ("mortgage", "rent", "energy contract")),
+        (("health",), "medical", "Medical papers", ("medical", "prescription", "referral")),
+    ),
+    explicit=(("resumes", "Resumes", ("resume", "motivation letter")),),
+    signals={"work": ("/work/", "/projects/"), "learning": ("/study/", "/courses/"), "finance": ("/finance/", "/bank/"), "home": ("/home/", "/house/")},
+    aliases={"job": "work", "studies": "learning", "money": "finance"},
+)
+# Fixed values of the course rule: parts of paths and words that mark teaching material.
+COURSE_FOLDER = "notebook"
+COURSE_WORDS = ("python", "data science", "jupyter")
+INTRODUCTION = "introductie"
+INTRODUCTION_WORDS = ("python", "data science", "cursus")
+COURSE_CATEGORY, COURSE_FAMILY, RESUME_FAMILY, DATASET_FAMILY = "learning", "course_material", "resumes", "course_data"
 ZONES = {"active": "Active", "inactive": "Inactive", "needs_review": "Review", "quarantine": "Quarantine"}
 ROOT = "/data/managed"
 
@@ -33,14 +70,14 @@ def evidence(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
+def contains_any(text: Column, words) -> Column:
     out = F.lit(False)
     for w in words:
         out = out | text.contains(w)
     return out
 
 
-def hits(text: Column, words: list[str]) -> Column:
+def hits(text: Column, words) -> Column:
     out = F.lit(0)
     for w in words:
         out = out + text.contains(w).cast("int")
@@ -53,59 +90,95 @@ def _options(df: DataFrame, scored: list[Column], n: int, out: str) -> DataFrame
     return df.withColumn(out, F.array_join(F.transform(best, lambda s: s["name"]), ","))
 
 
-def category_options(rows: DataFrame, current: str, n: int = 4) -> DataFrame:
+def in_path(*parts: str, path: str = "folder_path") -> Column:
+    out = F.lit(False)
+    for x in parts:
+        out = out | F.lower(F.concat(F.lit("/"), F.col(path), F.lit("/"))).contains(x)
+    return out
+
+
+def category_options(rows: DataFrame, current: str, n: int = 4, tax: Taxonomy = DEFAULT) -> DataFrame:
     """The best categories: 20 for its name, 40 and 10 a hit for each family that is hit, 100 for the current one; ties in table order."""
     text = evidence("filename", "folder_path")
     scored = []
-    for i, c in enumerate(CATEGORIES):
+    for i, c in enumerate(tax.categories):
         score = F.when(text.contains(c), 20).otherwise(0) + F.when(F.col(current) == c, 100).otherwise(0)
-        for cat, _, _, words in TAXONOMY:
-            if cat == c:
+        for cats, _, _, words in tax.families:
+            if c in cats:
                 k = hits(text, words)
                 score = score + F.when(k > 0, 40 + 10 * k).otherwise(0)
         scored.append(F.struct((-score).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("name")))
     return _options(rows, scored, n, "options")
 
 
-def family_options(rows: DataFrame, category: str, n: int = 5) -> DataFrame:
+def family_options(rows: DataFrame, category: str, n: int = 5, tax: Taxonomy = DEFAULT) -> DataFrame:
     """The best families: 100 for a family of the category that is hit, 20 for one that isn't, 50 and the hits for others that are."""
     text = evidence("filename", "folder_path")
     scored = []
-    for i, (c, family, _, words) in enumerate(TAXONOMY):
-        k = hits(text, words)
-        score = first_of(((F.col(category) == c) & (k > 0), F.lit(100)), (F.col(category) == c, F.lit(20)), (k > 0, 50 + k), default=0)
-        scored.append(F.struct((-score).alias("s"), F.lit(i).alias("i"), F.lit(family).alias("name")))
+    for i, (cats, code, _, words) in enumerate(tax.families):
+        k, own = hits(text, words), F.col(category).isin(list(cats))
+        score = first_of((own & (k > 0), F.lit(100)), (own, F.lit(20)), (k > 0, 50 + k), default=0)
+        scored.append(F.struct((-score).alias("s"), F.lit(i).alias("i"), F.lit(code).alias("name")))
     return _options(rows, scored, n, "families")
 
 
-def taxonomy_fallback(rows: DataFrame) -> DataFrame:
-    """Family of most hits, then of the longest keyword hit; null without any."""
+def taxonomy_fallback(rows: DataFrame, current: str | None = None, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """Category and family of rows without a category: the family of most hits, then of the longest keyword hit.
+
+    A family of several categories takes the one with most signals in the path, in table order among equals. Adds
+    fallback_category, fallback, fallback_words, fallback_score and fallback_confidence (high from two hits on); null without any hit.
+    """
     text = evidence("filename", "folder_path")
     scored = []
-    for i, (_, family, _, words) in enumerate(TAXONOMY):
-        longest = F.greatest(*[F.when(text.contains(w), len(w)).otherwise(0) for w in words])
-        scored.append(F.struct((-(hits(text, words) * 100 + longest)).alias("s"), F.lit(i).alias("i"), F.lit(family).alias("name")))
-    best = F.array_min(F.array(*scored))
-    return rows.withColumns({"fallback": F.when(best["s"] < 0, best["name"]), "fallback_score": -best["s"]})
+    for i, (cats, code, _, words) in enumerate(tax.families):
+        k = hits(text, words)
+        longest = F.greatest(F.lit(0), *[F.when(text.contains(w), len(w)).otherwise(0) for w in words])
+        signs = [F.struct((-sum([in_path(x).cast("int") for x in tax.signals.get(c, ())], F.lit(0))).alias("s"), F.lit(j).alias("j"), F.lit(c).alias("c")) for j, c in enumerate(cats)]
+        found = F.array_join(F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words])), ",")
+        scored.append(F.struct((-(k * 100 + longest)).alias("s"), F.lit(i).alias("i"), F.lit(code).alias("name"), F.array_min(F.array(*signs))["c"].alias("c"), k.alias("k"), found.alias("words")))
+    missing = F.lit(True) if current is None else F.coalesce(F.col(current), F.lit("")).isin("", "needs_review")
+    r = rows.withColumn("_best", F.array_min(F.array(*scored)))
+    hit = missing & (F.col("_best.s") < 0)
+    of = lambda c: F.when(hit, c)
+    return r.withColumns(
+        {"fallback_category": of(F.col("_best.c")), "fallback": of(F.col("_best.name")), "fallback_words": of(F.col("_best.words")), "fallback_score": of(-F.col("_best.s")), "fallback_confidence": of(F.when(F.col("_best.k") >= 2, "high").otherwise("medium"))}
+    ).drop("_best")
+
+
+def category(rows: DataFrame, accepted: str, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """An accepted category (or what it is an alias of), else course context, else the first keyword rule that holds, else
+    needs_review; with reason and confidence."""
+    text = evidence("filename", "folder_path")
+    given = F.lower(F.trim(F.coalesce(F.col(accepted), F.lit(""))))
+    given = first_of(*[(given == k, v) for k, v in tax.aliases.items()], default=given)
+    known = given.isin(tax.categories)
+    course = (in_path(COURSE_FOLDER) & contains_any(text, COURSE_WORDS)) | (text.contains(INTRODUCTION) & contains_any(text, INTRODUCTION_WORDS))
+    rules = [(contains_any(text, tax.words(c)), c) for c in tax.categories]
+    any_rule = contains_any(text, [w for t in tax.families for w in t[3]])
+    reason = first_of((known, "accepted"), (course, "course_context"), (any_rule, "keyword_rule"), default="insufficient_evidence")
+    return rows.withColumns({"category": first_of((known, given), (course, COURSE_CATEGORY), *rules, default="needs_review"), "category_reason": reason, "category_confidence": first_of((known, "high"), (course | any_rule, "medium"), default="low")})
 
 
-def category(rows: DataFrame, accepted: str) -> DataFrame:
-    """An accepted category, else the first keyword rule that holds, else needs_review; with its reason."""
-    text = evidence("filename", "folder_path")
-    known = F.col(accepted).isin(CATEGORIES)
-    rules = [(contains_any(text, words), c) for c, _, _, words in TAXONOMY]
-    reason = first_of((known, "accepted"), (contains_any(text, [w for t in TAXONOMY for w in t[3]]), "keyword_rule"), default="insufficient_evidence")
-    return rows.withColumns({"category": first_of((known, F.col(accepted)), *rules, default="needs_review"), "category_reason": reason})
+def dataset() -> Column:
+    """Tables that belong to course material."""
+    return (F.lower(F.col("extension")) == "xlsx") & in_path(f"/{COURSE_FOLDER}") & in_path("/data/")
 
 
-def family(rows: DataFrame) -> DataFrame:
-    """First family whose keyword is in name or folder, else general."""
-    text = evidence("filename", "folder_path")
-    return rows.withColumn("family", first_of(*[(contains_any(text, words), f) for _, f, _, words in TAXONOMY], default="general"))
+def family(rows: DataFrame, accepted: str | None = None, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """An accepted family, else course material, a resume by its name's tokens, the explicit rules, the taxonomy, a course's
+    dataset, or general."""
+    text = F.regexp_replace(evidence("filename", "folder_path"), "-", " ")
+    given = F.lower(F.trim(F.coalesce(F.col(accepted), F.lit("")))) if accepted else F.lit("")
+    known = given.isin([*tax.codes, *[t[0] for t in tax.explicit], COURSE_FAMILY, RESUME_FAMILY, DATASET_FAMILY])
+    stem = F.regexp_replace(F.lower("filename"), r"\.[^.]*$", "")
+    resume = F.array_contains(F.split(stem, "[^a-z0-9]+"), "cv") | text.contains("curriculum vitae")
+    rules = [(contains_any(text, words), code) for code, _, words in tax.explicit] + [(contains_any(text, words), code) for _, code, _, words in tax.families]
+    value = first_of((known, given), (in_path(COURSE_FOLDER) & contains_any(text, COURSE_WORDS), COURSE_FAMILY), (resume, RESUME_FAMILY), *rules, (dataset(), DATASET_FAMILY), default="general")
+    return rows.withColumn("family", value)
 
 
-def flags(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"secret": contains_any(evidence("filename", "folder_path"), SECRET_WORDS), "dataset": (F.col("extension") == "xlsx") & F.col("folder_path").contains("/backup/")})
+def flags(rows: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
+    return rows.withColumns({"secret": contains_any(evidence("filename", "folder_path"), tax.secret_words), "dataset": dataset()})
 
 
 def trajectory(rows: DataFrame, marker: str, skipped: list[str]) -> DataFrame:
@@ -116,9 +189,9 @@ def trajectory(rows: DataFrame, marker: str, skipped: list[str]) -> DataFrame:
     return rows.withColumn("trajectory", F.when(at > 0, F.array_join(F.slice(rest, 1, 2), " / ")).otherwise(F.lit("")))
 
 
-def propose_target(rows: DataFrame, accepted: str) -> DataFrame:
+def propose_target(rows: DataFrame, accepted: str, tax: Taxonomy = DEFAULT) -> DataFrame:
     """Zone, category, family and path of each file, with the reason."""
-    r = flags(family(category(rows, accepted)))
+    r = flags(family(category(rows, accepted, tax), tax=tax), tax)
     zone = first_of((F.col("secret"), "quarantine"), (F.col("dataset"), "needs_review"), (F.col("category") == "needs_review", "needs_review"), default="active")
     r = r.withColumn("zone", zone)
     label = first_of(*[(F.col("zone") == k, v) for k, v in ZONES.items()])
@@ -192,46 +265,111 @@ def normalise_filename(rows: DataFrame, proposed: str, current: str) -> DataFram
     return rows.withColumns({"normalised": F.when(clean != "", F.concat(cut, own)), "notes": F.array_join(notes, ",")})
 
 
-def target_conflicts(targets: DataFrame, files: DataFrame, n: int = 10) -> DataFrame:
-    """Active files at the same path as a target, whatever the case, the first ``n`` of each."""
-    other = files.where("deleted_epoch is null").select(F.col("file_id").alias("other_id"), F.lower("path").alias("_low"))
-    return top_per(targets.withColumn("_low", F.lower("target")).join(other, "_low").where("file_id <> other_id"), ["file_id"], ["other_id"], n).select("file_id", "other_id")
-
+def target_conflicts(targets: DataFrame, files: DataFrame, reviews: DataFrame, n: int = 10) -> DataFrame:
+    """(file_id, kind, other_id): what else claims a target path, whatever the case, the first ``n`` of each kind.
 
-#: Words in names and paths that speak for high and medium privacy.
-HIGH_WORDS = ["passport", "medical", "report_11", "finance"]
-MEDIUM_WORDS = ["contract", "invoice", "home"]
-#: Content signals: name and pattern.
-SIGNALS = [("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z]{4}[0-9]{10}\b"), ("nine_digits", r"\b(bsn|ssn)[: ]+[0-9]{9}\b"), ("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}"), ("phone", r"\+[0-9]{2}[ -]?[0-9]{8,10}")]
+    kind active: active files at that path, by id; kind review: accepted reviews of other files that name it, newest first.
+    """
+    low = targets.select("file_id", F.lower("target").alias("_low"))
+    there = files.where("deleted_epoch is null").select(F.col("file_id").alias("_of"), F.col("file_id").alias("other_id"), F.lower("path").alias("_low"), F.lit("active").alias("kind"), F.lit(0).cast("long").alias("_at"))
+    claimed = reviews.where("decision = 'accepted'").select(F.col("file_id").alias("_of"), F.col("review_id").alias("other_id"), F.lower(F.coalesce("target_path", "proposed_path")).alias("_low"), F.lit("review").alias("kind"), F.col("created_epoch").alias("_at"))
+    met = low.join(there.unionByName(claimed), "_low").where("file_id <> _of")
+    order = [F.desc("_at"), F.when(F.col("kind") == "active", F.col("other_id")).otherwise(-F.col("other_id"))]
+    return top_per(met, ["file_id", "kind"], order, n).select("file_id", "kind", "other_id")
+
+
+# Fixed values of the privacy rules: terms of names, paths and labels, words of contents, and patterns.
+HIGH_TERMS = (
+    "api key", "apikey", "bankrekeningnummer", "bsn", "burgerservicenummer", "credential", "diagnose", "diagnosis", "iban", "identiteitskaart", "identity card",
+    "medical", "medisch", "paspoort", "passport", "password", "rekeningnummer", "rijbewijs", "secret", "wachtwoord",
+)
+MEDIUM_TERMS = ("arbeidscontract", "bank", "belasting", "contract", "employment", "inkomen", "insurance", "loon", "polis", "salaris", "salary", "tax", "uitkering", "uwv", "verzekering")
+PERSON_WORDS = ("naam", "adres", "postcode", "woonplaats", "geboortedatum")
+MONEY_WORDS = ("hypotheeknummer", "leningdeel", "hypotheek", "rente", "inkomen", "salaris", "uitkering", "jaaroverzicht")
+IDENTITY_WORDS = ("paspoortnummer", "identiteitsnummer", "rijbewijsnummer")
+IBAN = r"\bnl[0-9]{2}[a-z]{4}[0-9]{10}\b"
+LABELLED_BSN = r"\b(bsn|burgerservicenummer)\b.{0,30}\b[0-9]{9}\b"
+POSTCODE = r"\b[0-9]{4}\s?[a-z]{2}\b"
+SALUTATION = r"\b(de heer|mevrouw|dhr|mw)\b"
 
 
 def content_signals(text: str = "text") -> Column:
-    return F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(name)) for name, p in SIGNALS]))
-
-
-def privacy(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Proposed level with confidence and the terms it rests on: words of name and path, or else content signals."""
-    meta = evidence("filename", "folder_path")
-    word = lambda w: meta.rlike(rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)")
-    found = lambda words: F.array_compact(F.array(*[F.when(word(w), F.lit(w)) for w in words]))
-    r = rows.withColumns({"_h": found(HIGH_WORDS), "_m": found(MEDIUM_WORDS), "_c": content_signals(text)})
-    strong = F.arrays_overlap("_c", F.array(F.lit("iban"), F.lit("nine_digits")))
-    level = first_of(((F.size("_h") > 0) | strong, "high"), ((F.size("_m") > 0) | (F.size("_c") > 0), "medium"), default="low")
-    confidence = first_of(((F.size("_h") > 0) & (F.size("_c") > 0), "high"), ((F.size("_h") + F.size("_m") + F.size("_c")) > 0, "medium"), default="low")
-    terms = F.concat("_h", "_m")
-    return r.withColumns({"privacy": level, "privacy_confidence": confidence, "privacy_terms": F.array_join(F.when(F.size(terms) > 0, terms).otherwise(F.col("_c")), ",")}).drop("_h", "_m", "_c")
-
-
-def effective_privacy(proposed: DataFrame, reviews: DataFrame) -> DataFrame:
-    """A person's latest label, else high where the content says so, else the proposal; with its source."""
+    """What in a text makes it highly private, sorted: identifiers, or personal together with financial details."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    money = contains_any(low, MONEY_WORDS)
+    # Patterns are tried last: most texts fail the plain words first.
+    person = (hits(low, PERSON_WORDS) >= 2) | low.rlike(POSTCODE) | low.rlike(SALUTATION)
+    account = F.when(low.contains("bankrekeningnummer"), "bankrekeningnummer").when(low.contains("rekeningnummer"), "rekeningnummer")
+    found = [
+        account,
+        F.when((low.contains("bsn") | low.contains("burgerservicenummer")) & low.rlike(LABELLED_BSN), "bsn"),
+        F.when(low.contains("burgerservicenummer"), "burgerservicenummer"),
+        F.when(low.rlike(IBAN), "iban"),
+        F.when(contains_any(low, IDENTITY_WORDS), "identity_number"),
+        F.when(money & person, "personal_financial_data"),
+    ]
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def privacy(rows: DataFrame, text: str = "text", labels: tuple[str, ...] = (), sensitivity: str | None = None, high: tuple[str, ...] = HIGH_TERMS, medium: tuple[str, ...] = MEDIUM_TERMS) -> DataFrame:
+    """Proposed level with confidence, reason and signals. Without evidence the level is medium, never low.
+
+    High by a high term in name, path or ``labels``, a content signal, or an existing sensitivity 'highly_sensitive';
+    medium by a medium term or 'personal' or 'sensitive'; low by 'normal'.
+    """
+    meta = evidence("filename", "folder_path", *labels, *([sensitivity] if sensitivity else []))
+    found = lambda terms: F.array_sort(F.array_distinct(F.regexp_extract_all(meta, F.lit(r"(?U)(?<!\w)(" + "|".join(terms) + r")(?!\w)"), F.lit(1))))
+    was = F.lower(F.coalesce(F.col(sensitivity), F.lit(""))) if sensitivity else F.lit("")
+    # The one-element explode stores the arrays, so that each pattern is run once for a row.
+    r = rows.select("*", was.alias("_was"), F.explode(F.array(F.struct(found(high).alias("h"), found(medium).alias("m"), content_signals(text).alias("c")))).alias("_f"))
+    some = lambda c: F.size(f"_f.{c}") > 0
+    is_high = some("h") | some("c") | (F.col("_was") == "highly_sensitive")
+    is_medium = some("m") | F.col("_was").isin("personal", "sensitive")
+    normal = F.col("_was") == "normal"
+    old = F.array(F.concat(F.lit("existing:"), F.col("_was")))
+    signals = F.when(is_high, F.when(some("h"), F.col("_f.h")).when(some("c"), F.col("_f.c")).otherwise(old)).when(is_medium, F.when(some("m"), F.col("_f.m")).otherwise(old)).when(normal, old).otherwise(F.array().cast("array<string>"))
+    return r.withColumns(
+        {
+            "privacy": first_of((is_high, "high"), (is_medium, "medium"), (normal, "low"), default="medium"),
+            "privacy_confidence": first_of((is_high, "high"), (is_medium | normal, "medium"), default="low"),
+            "privacy_reason": first_of((is_high, "high_signal"), (is_medium, "personal_or_financial"), (normal, "existing_normal"), default="no_evidence"),
+            "privacy_terms": F.array_join(signals, ","),
+        }
+    ).drop("_f", "_was")
+
+
+def effective_privacy(proposed: DataFrame, reviews: DataFrame, content: DataFrame) -> DataFrame:
+    """(file_id, level, confidence, source): a person's latest label, else high where stored content evidence says so, else the proposal.
+
+    content: (file_id, content_privacy, content_confidence), one row for a file at most.
+    """
     said = latest(reviews.where("review_type = 'privacy'").select("file_id", F.col("privacy").alias("label"), "created_epoch", "review_id"), ["file_id"], ["created_epoch", "review_id"]).select("file_id", "label")
-    r = proposed.join(said, "file_id", "left")
-    return r.select("file_id", F.coalesce("label", "privacy").alias("level"), F.when(F.col("label").isNotNull(), "human").otherwise("proposal").alias("source"))
+    r = proposed.join(said, "file_id", "left").join(content, "file_id", "left")
+    human, stored = F.col("label").isNotNull(), F.lower(F.coalesce("content_privacy", F.lit(""))) == "high"
+    return r.select(
+        "file_id",
+        first_of((human, F.col("label")), (stored, "high"), default=F.col("privacy")).alias("level"),
+        first_of((human, "high"), (stored, F.coalesce(F.nullif(F.lower("content_confidence"), F.lit("")), F.lit("high"))), default=F.col("privacy_confidence")).alias("confidence"),
+        first_of((human, "human"), (stored, "content"), default="proposal").alias("source"),
+    )
+
+
+# What the end of a name may say about language, copy, date, year and reference number, taken off in this order.
+NAME_ENDINGS = (
+    r"\s*[-_ ]\s*(en|nl|engels|nederlands)\s*$",
+    r"\s*[\[(](kopie|copy)?\s*[0-9]+[\])]\s*$",
+    r"\s*[-_ ]\s*(kopie|copy)\s*[0-9]*\s*$",
+    r"[-_ ]+[0-9]{1,2}[.\-_][0-9]{1,2}[.\-_][0-9]{2,4}\s*$",
+    r"[-_ ]+[0-9]{4}[.\-_][0-9]{1,2}[.\-_][0-9]{1,2}\s*$",
+    r"[-_ ]+[0-9]{8}\s*$",
+    r"[-_ ]+(19|20)[0-9]{2}\s*$",
+    r"[-_ ]+[0-9]{6,}\s*$",
+)
 
 
 def identity_name(filename: Column) -> Column:
-    """What copies and versions of a document's name have in common."""
-    c = F.lower(F.regexp_replace(filename, r"\.[^.]+$", ""))
-    for pattern in (r"\(\d+\)$", r"\b(copy|kopie|final|draft)\b", r"\bv\d+\b", r"\d{4}-\d{2}-\d{2}", r"[_\-.]+"):
-        c = F.regexp_replace(c, pattern, " ")
-    return squeezed(c)
+    """What copies, versions and translations of a document's name have in common: no extension, no ``NAME_ENDINGS``, words only."""
+    c = F.lower(F.regexp_replace(filename, r"(?<=.)\.[^.]+$", ""))
+    for pattern in NAME_ENDINGS:
+        c = F.regexp_replace(c, pattern, "")
+    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.common import first_of, latest, top_per, uuid5
+from foliant.functions.common import first_of, latest, the_one, top_per, uuid5
 from foliant.operators.classify import identity_name, normalise_target
 
 ORDER = ["created_epoch", "review_id"]
@@ -111,17 +111,25 @@ def apply_context(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def similar_proposals(files: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Category of each file by a strict majority of accepted peers of the same name identity, else a conflict.
+    """Category and family of each file without an accepted review, by the accepted reviews of files of the same name identity.
 
-    Peers are counted by (identity, category) before they meet the files, so a common identity costs one row per category.
+    The judgment with most votes is proposed if no other has as many, else the reviews conflict. score is 1.0 if an accepted
+    name is the same but for its extension, else 0.95. Only pdf, docx and xlsx with an identity of five characters
+    or more take part. Votes are counted by (identity, judgment) before they meet the files.
     """
-    peers = targets(reviews).where("decision = 'accepted'").select(identity_name(F.col("filename")).alias("identity"), "category", "file_id")
-    votes = peers.groupBy("identity", "category").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("identity").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "category"))), 1, 2).alias("b"), F.sum("votes").alias("peers"))
+    stem = lambda c: F.lower(F.regexp_replace(c, r"(?<=.)\.[^.]+$", ""))
+    able = lambda df: df.where(F.lower("extension").isin("pdf", "docx", "xlsx")).withColumns({"identity": identity_name(F.col("filename")), "stem": stem("filename")}).where(F.length("identity") >= 5)
+    accepted = able(targets(reviews).where("decision = 'accepted' and category is not null and family is not null"))
+    votes = accepted.groupBy("identity", "category", "family").agg(F.count("*").alias("votes"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "category", "family")))  # judgments of one name are few
+    best = votes.groupBy("identity").agg(F.slice(ranked, 1, 2).alias("b"), F.sum("votes").alias("reviews"), F.count("*").alias("judgments"))
     top, second = F.col("b")[0], F.get("b", F.lit(1))
-    strict = second.isNull() | (top["v"] < second["v"])
-    rated = best.select("identity", "peers", F.when(strict, top["category"]).alias("category"), F.when(strict, "proposed").otherwise("conflict").alias("status"), F.when(second.isNull(), 1.0).otherwise(0.95).alias("score"))
-    return files.where("deleted_epoch is null").select("file_id", identity_name(F.col("filename")).alias("identity")).join(rated, "identity").select("file_id", "category", "status", "peers", F.when(F.col("status") == "proposed", F.col("score")).alias("score"))
+    clear = second.isNull() | (top["v"] < second["v"])
+    rated = best.select("identity", "reviews", (-top["v"]).alias("support"), (F.col("judgments") > 1).alias("conflicting"), F.when(clear, top["category"]).alias("category"), F.when(clear, top["family"]).alias("family"), F.when(clear, "proposed").otherwise("conflict").alias("status"))
+    stems = accepted.select("stem").distinct().withColumn("_same", F.lit(True))
+    open_ = able(files.where("deleted_epoch is null")).join(accepted.select("file_id"), "file_id", "left_anti")
+    rows = open_.select("file_id", "identity", "stem").join(rated, "identity").join(stems, "stem", "left")
+    return rows.select("file_id", "category", "family", "status", "support", "reviews", F.round(F.col("support") / F.col("reviews"), 2).alias("support_ratio"), "conflicting", F.when(F.col("_same"), 1.0).otherwise(0.95).alias("score"))
 
 
 def revalidate(citations: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -135,19 +143,24 @@ def revalidate(citations: DataFrame, reviews: DataFrame) -> DataFrame:
     return out.withColumn("valid", 2 * F.col("agree") > F.col("cited"))
 
 
-def examples(files: DataFrame, reviews: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` accepted reviews that share most words of their name with each file; words shared by all are matched like any.
+def examples(files: DataFrame, reviews: DataFrame, n: int = 3, words: str = "letters", newest: int = 100) -> DataFrame:
+    """The ``n`` reviews that share most terms of their name with each file, older ones first among equals: (file_id, review_id, shared, place).
 
-    Files and reviews are first reduced to distinct names, so that copies of a name don't multiply pairs.
+    Only the ``newest`` accepted reviews count: they are one row, which meets all files. Terms have three characters or
+    more; ``words``: 'letters' cuts names at anything but a-z and 0-9 and leaves a file's own reviews out of the newest, 'spaces' cuts at white
+    space and underscores and takes the newest of other files.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda s: (F.length(s) >= 2) & ~s.isin("report", "pdf", "docx", "xlsx", "txt")))
-    names = files.select("filename").distinct().select("filename", F.explode(words("filename")).alias("word"))
-    accepted = targets(reviews).where("decision = 'accepted'")
-    said = accepted.select("review_id", "created_epoch", F.explode(words("filename")).alias("word"))
-    # Of the reviews of one word only the newest n can be among a name's best n by (shared, created, id) for single words; names share few.
-    shared = names.join(said, "word").groupBy("filename", "review_id", "created_epoch").agg(F.count("*").alias("shared"))
-    best = top_per(shared, ["filename"], [F.desc("shared"), F.desc("created_epoch"), F.desc("review_id")], n, "place")
-    return files.select("file_id", "filename").join(best, "filename").select("file_id", "review_id", "shared", F.col("place").cast("long").alias("place"))
+    cut = (lambda c: F.split(F.lower(c), "[^a-z0-9]+")) if words == "letters" else (lambda c: F.split(F.regexp_replace(F.lower(c), "_", " "), r"\s+"))
+    terms = lambda c: F.array_distinct(F.filter(cut(c), lambda t: F.length(t) > 2))
+    accepted = targets(reviews).where("decision = 'accepted' and category is not null and family is not null")
+    # A file has one latest target review at most, so one more than wanted is enough where its own is left out.
+    last = accepted.orderBy(F.desc("created_epoch"), F.desc("review_id")).limit(newest + (words != "letters"))
+    held = last.agg(F.reverse(F.array_sort(F.collect_list(F.struct("created_epoch", "review_id", "file_id", terms("filename").alias("terms"))))).alias("_held"))
+    rows = files.select("file_id", terms("filename").alias("_terms")).join(F.broadcast(held))  # one row
+    others = F.filter("_held", lambda h: h["file_id"] != F.col("file_id"))
+    rated = F.transform(F.slice(others, 1, newest), lambda h: F.struct((-F.size(F.array_intersect(h["terms"], F.col("_terms")))).alias("s"), h["created_epoch"].alias("c"), h["file_id"].alias("f"), h["review_id"].alias("review_id")))
+    best = rows.select("file_id", F.posexplode(F.slice(F.array_sort(rated), 1, n)).alias("place", "b"))
+    return best.select("file_id", "b.review_id", (-F.col("b.s")).alias("shared"), (F.col("place") + 1).cast("long").alias("place"))
 
 
 def rule_context(rules: DataFrame, n: int = 10) -> DataFrame:
@@ -187,9 +200,12 @@ def accepted_proposals(proposals: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nomination_events(requests: DataFrame, current: DataFrame, policy: DataFrame) -> DataFrame:
-    """Outcome of requests to nominate or withdraw against the latest nominations, with the date of the next review."""
+    """Outcome of requests to nominate or withdraw against the latest nominations, with the date of the next review.
+
+    policy: one row; none or several raise when the query runs.
+    """
     last = current.select("file_id", "nomination_type", F.col("action").alias("_now"))
-    rows = requests.join(last, ["file_id", "nomination_type"], "left").crossJoin(F.broadcast(policy.select("review_days").limit(1)))
+    rows = requests.join(last, ["file_id", "nomination_type"], "left").join(F.broadcast(the_one(policy, "review_days")))
     outcome = first_of(((F.col("action") == "withdraw") & ~F.coalesce(F.col("_now") == "nominate", F.lit(False)), "nothing_to_withdraw"), ((F.col("action") == "nominate") & F.coalesce(F.col("_now") == "nominate", F.lit(False)), "already_nominated"), default="recorded")
     return rows.withColumn("outcome", outcome).select("request_id", "file_id", "nomination_type", "action", "outcome", F.when((F.col("outcome") == "recorded") & (F.col("action") == "nominate"), F.col("created_epoch") + F.col("review_days") * 86400).alias("review_epoch"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.common import first_of, latest, top_per, uuid5
+from foliant.functions.common import first_of, latest, the_one, top_per, uuid5
 from foliant.operators.golden import KEY
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -37,7 +37,7 @@ def workset(golden: DataFrame, profile: DataFrame, policy: DataFrame, as_of: int
     """Status and reason of every golden file in scope: active, inactive or to review."""
     scope = golden.where(F.col("extension").isin(extensions) & F.col("path").startswith(root + "/")).select("file_id", "path", "extension", "modified_at_fs")
     # One row for each policy code; the work-set has one.
-    rows = scope.join(profile.withColumnRenamed("for_file", "file_id"), "file_id", "left").crossJoin(F.broadcast(policy.limit(1)))
+    rows = scope.join(profile.withColumnRenamed("for_file", "file_id"), "file_id", "left").join(F.broadcast(the_one(policy)))
     low = F.lit("low")
     rows = rows.withColumn("_a", last_activity(("modified_epoch", "source_metadata_modified", F.coalesce("modified_confidence", low)), ("created_epoch", "source_metadata_created", F.coalesce("created_confidence", low)), ("modified_at_fs", "filesystem_mtime", low)))
     at, cut = F.col("_a.at"), months_before(as_of, F.col("months"))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import learning as ops
+from foliant.operators.classify import NAME_ENDINGS
 from foliant.operators import workset
 from foliant.plans.registry import query
 from foliant.plans.workset import CURRENT, LATEST_NOM
 from foliant.sources.fixtures import AS_OF
 
 LR = "lr as (select * from reviews qualify row_number() over (partition by file_id, review_type order by created_epoch desc, review_id desc) = 1), t as (select * from lr where review_type = 'target')"
-IDENT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(filename, '\.[^.]+$', '')), '\(\d+\)$', ' ', 'g'), '\b(copy|kopie|final|draft)\b', ' ', 'g'), '\bv\d+\b', ' ', 'g'), '\d{4}-\d{2}-\d{2}', ' ', 'g'), '[_\-.]+', ' ', 'g'), '\s+', ' ', 'g'))"
+STEM = r"lower(regexp_replace(filename, '(.)\.[^.]+$', '\1'))"
+IDENT = STEM
+for _ending in NAME_ENDINGS:
+    IDENT = f"regexp_replace({IDENT}, '{_ending}', '')"
+IDENT = f"trim(regexp_replace({IDENT}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _uuid(name: str) -> str:
@@ -91,11 +96,17 @@ def _(v):
     return ops.apply_context(v.files, ops.context_rules(v.reviews))
 
 
-@query("l13_similar", f"""with {LR}, pe as (select {IDENT} as identity, category from t where decision = 'accepted'), vo as (select identity, category, count(*) as votes from pe group by 1, 2), rk as (select *, row_number() over (partition by identity order by votes desc, category) as k, sum(votes) over (partition by identity)::bigint as peers from vo),
-b as (select a.identity, a.peers, c.votes is null or a.votes > c.votes as strict, c.votes is null as alone, a.category from rk a left join rk c on c.identity = a.identity and c.k = 2 where a.k = 1)
-select f.file_id, case when strict then category end as category, case when strict then 'proposed' else 'conflict' end as status, peers, case when strict and alone then 1.0::double when strict then 0.95::double end as score from (select file_id, {IDENT} as identity from files where deleted_epoch is null) f join b using (identity)""")
+def _able(rows: str, extra: str = "") -> str:
+    return f"(select *, {IDENT} as identity, {STEM} as stem from {rows} where lower(extension) in ('pdf', 'docx', 'xlsx') {extra})"
+
+
+@query("l13_similar", f"""with {LR}, ac as (select * from {_able("t", "and decision = 'accepted' and category is not null and family is not null")} where length(identity) >= 5), vo as (select identity, category, family, count(*) as votes from ac group by all),
+rk as (select *, row_number() over (partition by identity order by votes desc, category, family) as k, sum(votes) over (partition by identity)::bigint as reviews, count(*) over (partition by identity) > 1 as conflicting from vo),
+b as (select a.*, c.votes is null or a.votes > c.votes as clear from rk a left join rk c on c.identity = a.identity and c.k = 2 where a.k = 1)
+select f.file_id, case when clear then category end as category, case when clear then b.family end as family, case when clear then 'proposed' else 'conflict' end as status, votes as support, reviews, round(votes / reviews, 2) as support_ratio, conflicting, case when stem in (select stem from ac) then 1.0::double else 0.95::double end as score
+from {_able("named_files", "and deleted_epoch is null and file_id not in (select file_id from ac)")} f join b using (identity) where length(f.identity) >= 5""")
 def _(v):
-    return ops.similar_proposals(v.files, v.reviews)
+    return ops.similar_proposals(v.named_files, v.reviews)
 
 
 CITED = "select file_id, min(category) as category, collect_list(review_id) as review_ids from reviews where review_type = 'target' group by file_id"
@@ -106,11 +117,22 @@ def _(v):
     return ops.revalidate(v.spark.sql(CITED.replace("from reviews", "from {reviews}"), reviews=v.reviews), v.reviews)
 
 
-@query("l15_examples", f"""with {LR}, n as (select distinct file_id, filename, unnest(regexp_split_to_array(lower(filename), '[^a-z0-9]+')) as word from files), s as (select distinct review_id, created_epoch, unnest(regexp_split_to_array(lower(filename), '[^a-z0-9]+')) as word from t where decision = 'accepted'),
-c as (select file_id, review_id, created_epoch, count(*) as shared from n join s using (word) where length(word) >= 2 and word not in ('report', 'pdf', 'docx', 'xlsx', 'txt') group by 1, 2, 3)
-select file_id, review_id, shared, row_number() over (partition by file_id order by shared desc, created_epoch desc, review_id desc) as place from c qualify place <= 3""")
+def _examples(cut: str, limit: int) -> str:
+    terms = f"list_distinct(list_filter({cut}, lambda x: length(x) > 2))"
+    return f"""with {LR}, ac as (select review_id, file_id, created_epoch, {terms} as terms from t where decision = 'accepted' and category is not null and family is not null order by created_epoch desc, review_id desc limit {limit}),
+p as (select f.file_id, a.review_id, a.file_id as af, a.created_epoch, len(list_intersect(a.terms, f.terms)) as shared from (select file_id, {terms} as terms from named_files) f join ac a on a.file_id <> f.file_id),
+q as (select * from p qualify row_number() over (partition by file_id order by created_epoch desc, review_id desc) <= 100)
+select file_id, review_id, shared::int as shared, row_number() over (partition by file_id order by shared desc, created_epoch, af, review_id) as place from q qualify place <= 3"""
+
+
+@query("l15_examples", _examples("regexp_split_to_array(lower(filename), '[^a-z0-9]+')", 100))
+def _(v):
+    return ops.examples(v.named_files, v.reviews)
+
+
+@query("l15b_examples_by_spaces", _examples(r"regexp_split_to_array(replace(lower(filename), '_', ' '), '\s+')", 101))
 def _(v):
-    return ops.examples(v.files, v.reviews)
+    return ops.examples(v.named_files, v.reviews, words="spaces")
 
 
 @query("l16_rule_context", f"with {RULES} select source_family, category, family, support from cf where confidence in ('medium', 'high') order by support desc, source_family, category, family limit 10")

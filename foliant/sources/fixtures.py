@@ -78,6 +78,19 @@ select e.event_id, e.event_id as ts, f.path, f.file_id, f.folder_path, f.filenam
   case when e.event_id % 3 = 0 then 'realtime' else 'polling' end as stream, cast(floor(e.event_id / 250) as bigint) as session_id,
   case when e.event_id % 211 = 0 then cast(null as bigint) else f.size_bytes end as size_bytes, f.modified_at_fs + e.event_id as mtime
 from events e join files f on f.file_id = e.user_id""",
+    "named_files": """
+select file_id, folder_id, extension, size_bytes, content_sha256, modified_at_fs, deleted_epoch, lang,
+  concat(folder_path, case file_id % 23 when 1 then '/Notebook/data' when 2 then '/notebook' when 3 then '/study/courses' else '' end) as folder_path,
+  concat(case file_id % 19 when 1 then 'CV-' when 2 then 'python ' when 3 then 'Introductie cursus ' when 4 then 'api key ' when 5 then 'bank-' when 6 then 'salary tax ' when 7 then 'curriculum-vitae ' else '' end, regexp_replace(filename, '[.][a-z]+$', ''),
+    case file_id % 17 when 1 then ' (kopie 2)' when 2 then '_nl' when 3 then '-2024-03-05' when 4 then ' 12.04.2025' when 5 then '_20240305' when 6 then ' 2023' when 7 then '-123456789' when 8 then ' - copy 3' when 9 then ' Engels' else '' end, '.', extension) as filename,
+  concat('fam_', cast(file_id % 9 as varchar(4))) as document_family,
+  case file_id % 11 when 0 then 'normal' when 1 then 'personal' when 2 then 'highly_sensitive' when 3 then 'Sensitive' end as sensitivity
+from files""",
+    "private_texts": """
+select f.file_id, f.filename, f.folder_path, f.document_family, f.sensitivity,
+  concat(case f.file_id % 31 when 1 then 'Rekening NL12ABCD0123456789 ' when 2 then 'BSN nummer: 123456789 ' when 3 then 'Uw burgerservicenummer ' when 4 then 'Bankrekeningnummer ' when 5 then 'rekeningnummer 12 ' when 6 then 'Paspoortnummer X1 '
+    when 7 then 'Naam en adres, salaris ' when 8 then 'Hypotheek, 2135 NJ plaats ' when 9 then 'De heer X ontvangt rente ' when 10 then 'Naam en adres ' when 11 then 'Hypotheek ' when 12 then 'mevrouw ' else '' end, d.text) as text
+from named_files f join documents d on d.doc_id = f.file_id""",
     "known_files": "select path, file_id, size_bytes, modified_at_fs, deleted_epoch from files where file_id % 3 <> 0",
     "persisted_groups": "select content_sha256, size_bytes, min(file_id) as golden_file_id, count(*) as member_count from files where content_sha256 is not null and size_bytes > 0 and file_id % 2 = 0 group by content_sha256, size_bytes",
     "evidence": """
