@@ -50,3 +50,11 @@ def the_one(rows: DataFrame, *columns: str) -> DataFrame:
     one = rows.agg(kept.alias("_r"), F.count(F.lit(1)).alias("_n"))
     sound = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("one row was expected, not "), F.col("_n").cast("string"))))
     return one.select(sound.alias("_r")).select("_r.*")
+
+
+def contains_any(text: Column, words) -> Column:
+    """Whether a text holds one of the words, anywhere."""
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out

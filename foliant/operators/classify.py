@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.common import first_of, latest, round_robin, squeezed, top_per
+from foliant.functions.common import contains_any, first_of, latest, round_robin, squeezed, top_per
 from foliant.operators.migration import safe_name
 
 
@@ -70,13 +70,6 @@ def evidence(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
 
 
-def contains_any(text: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
-
-
 def hits(text: Column, words) -> Column:
     out = F.lit(0)
     for w in words:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.operators import outputs as checks
 from foliant.operators import retrieval as ops
+from foliant.operators.classify import DEFAULT
 from foliant.plans.registry import query
 
 WORDS = r"w as (select doc_id, text, case when trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' then [] else string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') end as w from documents)"
@@ -182,31 +184,107 @@ def _(v):
     return ops.prompts(_top(v), v.documents.select(F.col("doc_id").alias("file_id"), F.col("text").alias("passage")))
 
 
-OUTPUTS = """select conv_id * 1000 + turn as output_id, case conv_id % 7 when 0 then '{"answer": "see [S1] and [S2]", "citations": ["S1", "S2"], "confidence": "high"}' when 1 then '{"answer": "see [S1]", "citations": ["S9"], "confidence": "low"}' when 2 then 'not json' when 3 then '{"answer": " ", "citations": ["S1"], "confidence": "low"}'
-  when 4 then '{"answer": "plain", "citations": ["S1"], "confidence": "low"}' when 5 then '{"answer": "see [S3]", "citations": ["S3"], "confidence": "sure"}' else '{"abstained": true}' end as content from conversations where role = 'assistant'"""
+def _cases(contents: list[str]) -> str:
+    """Outputs of all files, each with one of the contents; FID stands for the file's id."""
+    cases = " ".join(f"when {i} then '{c}'" for i, c in enumerate(contents))
+    return f"select file_id as output_id, file_id, filename, case file_id % 4 when 0 then 'active' when 1 then 'inactive' when 2 then 'needs_review' end as workset_status, replace(case cast(floor(file_id / 2) as bigint) % {len(contents)} {cases} end, 'FID', cast(file_id as varchar(20))) as content from files"
 
 
-@query("q17_answers", f"""select output_id, case when not json_valid(content) then 'not_a_json_object' when coalesce((content::json->>'abstained')::boolean, false) then 'model_abstained' when trim(coalesce(content::json->>'answer', '')) = '' then 'missing_answer' when coalesce(json_array_length(content::json, '$.citations'), 0) = 0 then 'missing_citations'
-  when len(list_filter((content::json->'citations')::varchar[], lambda c: c not in ('S1', 'S2', 'S3'))) > 0 then 'unknown_citation' when len(list_filter((content::json->'citations')::varchar[], lambda c: not contains(content::json->>'answer', '[' || c || ']'))) > 0 then 'citation_marker_missing'
-  when coalesce(content::json->>'confidence', '') not in ('low', 'medium', 'high') then 'invalid_confidence' else 'grounded_answer' end as reason from (select output_id, case when json_valid(content) then content else 'x' end as content from ({OUTPUTS}))""")
+def _outputs(v, contents):
+    """The same rows as ``_cases``."""
+    content = F.element_at(F.array(*[F.lit(c) for c in contents]), (F.floor(F.col("file_id") / 2) % len(contents) + 1).cast("int"))
+    k = F.col("file_id") % 4
+    status = F.when(k == 0, "active").when(k == 1, "inactive").when(k == 2, "needs_review")
+    return v.files.select(F.col("file_id").alias("output_id"), "file_id", "filename", status.alias("workset_status"), F.replace(content, F.lit("FID"), F.col("file_id").cast("string")).alias("content"))
+
+
+ANSWERS = [
+    '{"answer": " see [S1] and [S2] ", "citations": ["S1", "S2", "S1"], "confidence": "high"}', '{"answer": "see [S1]", "citations": ["S9"], "confidence": "low"}', "not json", '["a list"]', '{"answer": " ", "citations": ["S1"], "confidence": "low"}', '{"answer": 5}',
+    '{"answer": "plain", "citations": ["S1"], "confidence": "low"}', '{"answer": "see [S3]", "citations": ["S3"], "confidence": "sure"}', '{"abstained": true}', '{"reason": "no source fits", "abstained": true}', '{"answer": "none", "citations": "S1"}', '{"answer": "see [S2]", "reason": "in S2", "citations": ["S2"], "confidence": "low"}',
+]
+
+
+@query("q17_answers", f"""with o as (select output_id, case when json_valid(content) then content::json end as j from ({_cases(ANSWERS)})), t as (select output_id, j, json_type(j) as k, case when json_type(j, '$.answer') = 'VARCHAR' then j->>'$.answer' end as said, case when json_type(j, '$.citations') = 'ARRAY' then (j->'$.citations')::varchar[] end as cited, j->>'$.confidence' as sure, nullif(j->>'$.reason', '') as own from o),
+p as (select *, case when j is null then 'not_json' when k <> 'OBJECT' then 'not_an_object' when json_type(j, '$.abstained') = 'BOOLEAN' and j->>'$.abstained' = 'true' then coalesce(own, 'model_abstained') when coalesce(trim(said), '') = '' then 'missing_answer' when coalesce(len(cited), 0) = 0 then 'missing_citations'
+  when len(list_filter(cited, lambda c: c not in ('S1', 'S2', 'S3'))) > 0 then 'unknown_citation' when len(list_filter(cited, lambda c: not contains(said, '[' || c || ']'))) > 0 then 'citation_marker_missing' when coalesce(sure, '') not in ('low', 'medium', 'high') then 'invalid_confidence' end as problem from t)
+select output_id, problem is not null as abstained, coalesce(problem, own, 'grounded_answer') as reason, case when problem is null then array_to_string(list_sort(list_distinct(cited)), ',') else '' end as citations, case when problem is null then sure else 'low' end as confidence from p""")
 def _(v):
-    out = v.conversations.where("role = 'assistant'")
-    cases = ['{"answer": "see [S1] and [S2]", "citations": ["S1", "S2"], "confidence": "high"}', '{"answer": "see [S1]", "citations": ["S9"], "confidence": "low"}', "not json", '{"answer": " ", "citations": ["S1"], "confidence": "low"}', '{"answer": "plain", "citations": ["S1"], "confidence": "low"}', '{"answer": "see [S3]", "citations": ["S3"], "confidence": "sure"}', '{"abstained": true}']
-    content = F.element_at(F.array(*[F.lit(c) for c in cases]), (F.col("conv_id") % 7 + 1).cast("int"))
-    return ops.check_answers(out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("output_id"), content.alias("content")))
+    return checks.check_answers(_outputs(v, ANSWERS))
+
+
+def _classified(**changed) -> str:
+    base = {"file_id": "FID", "category": '"home"', "lifecycle": '"active_candidate"', "confidence": '"high"', "sensitivity": '"normal"', "document_type": '"letter"', "document_family": '"Plain Letters"', "reason": '"clear"', "topics": '["one", " ", "two"]', "sensitivity_signals": '["none"]'}
+    return "{" + ", ".join(f'"{k}": {x}' for k, x in ({**base, **changed}).items() if x is not None) + "}"
+
+
+CLASSES = [
+    _classified(), _classified(document_type='"Factuur"', category='"work"'), _classified(topics='["riolering", "memo"]'), _classified(sensitivity_signals='["health"]'), _classified(sensitivity_signals='["none", "health"]'), _classified(sensitivity_signals='["odd"]'), _classified(sensitivity_signals="[]"), _classified(topics='"one"'),
+    _classified(topics='["a", "b", "c", "d", "e", "f"]'), _classified(reason='" "'), _classified(category='"other"'), _classified(lifecycle='"needs_review"'), _classified(lifecycle='"x"'), _classified(category='"x"'), _classified(confidence='"sure"'), _classified(file_id="5"), "[]", "broken", _classified(document_family='"!!"', reason='"over de bsn"'), _classified(sensitivity_signals='["address"]'),
+    _classified(document_type='"newsletter"', topics='["vacature"]'), _classified(document_type='"CV_2020"', sensitivity='"sensitive"', confidence='"low"'),
+]
+_NAMED = "lower(dt || ' ' || df || ' ' || array_to_string(topics, ' '))"
+_SLUG = "coalesce(nullif(trim(regexp_replace(lower(df), '[^a-z0-9]+', '_', 'g'), '_')[1:80], ''), 'unclassified')"
+
+
+def _or(of, words):
+    return "(" + " or ".join(f"contains({of}, '{w}')" for w in words) + ")"
+
+
+def _and(of, words):
+    return "(" + " and ".join(f"contains({of}, '{w}')" for w in words) + ")"
+
+
+@query("q18_proposals", rf"""with o as (select *, case when json_valid(content) then content::json end as j from ({_cases(CLASSES)})),
+t as (select output_id, file_id, filename, j, j->>'$.category' as cat, j->>'$.lifecycle' as life, j->>'$.confidence' as sure, j->>'$.sensitivity' as sens, j->>'$.document_type' as dt, j->>'$.document_family' as df, j->>'$.reason' as why, case when json_type(j, '$.topics') = 'ARRAY' then (j->'$.topics')::varchar[] end as tp, case when json_type(j, '$.sensitivity_signals') = 'ARRAY' then (j->'$.sensitivity_signals')::varchar[] end as sg from o),
+p as (select *, list_filter(list_transform(tp, lambda x: trim(x)), lambda x: x <> '') as topics, case when j is null then 'not_json' when json_type(j) <> 'OBJECT' or coalesce((j->>'$.file_id')::bigint, 0) <> file_id then 'file_id_mismatch' when coalesce(cat, '') not in ({", ".join(f"'{c}'" for c in checks.CLASS_CATEGORIES)}) then 'invalid_category' when coalesce(life, '') not in ({", ".join(f"'{c}'" for c in checks.CLASS_LIFECYCLES)}) then 'invalid_lifecycle'
+  when coalesce(sure, '') not in ('low', 'medium', 'high') or coalesce(sens, '') not in ('normal', 'personal', 'sensitive', 'highly_sensitive') then 'invalid_confidence_or_sensitivity' when trim(coalesce(dt, '')) = '' or trim(coalesce(df, '')) = '' or trim(coalesce(why, '')) = '' then 'missing_required_text' when tp is null or len(tp) > 5 then 'invalid_topics'
+  when sg is null or len(sg) = 0 or len(list_filter(sg, lambda x: x not in ({", ".join(f"'{c}'" for c in checks.SIGNALS)}))) > 0 then 'invalid_sensitivity_signals' when list_contains(sg, 'none') and len(list_distinct(sg)) > 1 then 'conflicting_sensitivity_signals' end as problem from t),
+c as (select *, case {" ".join(f"when {_or(_NAMED, w)} then '{c}'" for c, w in checks.CATEGORY_TERMS)} else cat end as ncat, case {" ".join(f"when {_and(_NAMED, w)} then '{c}'" for w, c in checks.FAMILY_TERMS)} else {_SLUG} end as nfam, lower(filename || ' ' || dt || ' ' || df || ' ' || why || ' ' || array_to_string(topics, ' ')) as ev from p),
+f as (select *, case when list_has_any(sg, ['identity', 'government_identifier', 'health']) or {_or("ev", checks.FLOOR_TERMS["highly_sensitive"])} then 3 when list_contains(sg, 'financial') or ncat = 'finance' or {_or("ev", checks.FLOOR_TERMS["sensitive"])} then 2 when len(list_filter(sg, lambda x: x <> 'none')) > 0 or {_or("ev", checks.FLOOR_TERMS["personal"])} then 1 else 0 end as floor, list_position(['normal', 'personal', 'sensitive', 'highly_sensitive'], sens) - 1 as lv from c),
+g as (select *, case when floor > lv then ['normal', 'personal', 'sensitive', 'highly_sensitive'][floor + 1] else sens end as nsens from f),
+h as (select *, list_filter([case when ncat <> cat then 'category:' || cat || '->' || ncat end, case when nfam <> {_SLUG} then 'family:' || {_SLUG} || '->' || nfam end, case when nsens <> sens then 'sensitivity:' || sens || '->' || nsens end], lambda x: x is not null) as notes from g),
+k as (select *, case when ncat = 'other' or nfam = 'unknown' then 'low' when len(notes) > 0 or life = 'needs_review' then 'medium' else 'high' end as cap, list_position(['low', 'medium', 'high'], sure) as sl from h),
+m as (select *, case when list_position(['low', 'medium', 'high'], cap) < sl then cap else sure end as nsure from k)
+select output_id, case when problem is null then 'classified' else 'needs_review' end as status, case when problem is null then ncat else 'other' end as category, case when problem is null then nfam else 'unknown' end as family, case when problem is null then life else 'needs_review' end as lifecycle, case when problem is null then nsens else 'personal' end as sensitivity, case when problem is null then nsure else 'low' end as confidence,
+  case when problem is null then concat_ws('/', case life {" ".join(f"when '{k}' then '{x}'" for k, x in checks.CLASS_LIFECYCLES.items())} end, case ncat {" ".join(f"when '{k}' then '{x}'" for k, x in checks.CLASS_CATEGORIES.items())} end, nfam, filename) else 'Review/Unclassified' end as path,
+  case when problem is null then array_to_string(list_concat(notes, case when nsure <> sure then ['confidence:' || sure || '->' || nsure] else [] end), ',') else '' end as warnings, case when problem is null then trim(why) else problem end as reason from m""")
+def _(v):
+    return checks.check_classifications(_outputs(v, CLASSES))
+
+
+def _proposal(**changed) -> str:
+    base = {"file_id": "FID", "category_code": '"work"', "family_code": '"contracts"', "lifecycle": '"active"', "privacy_advice": '"low"', "confidence": '"High"', "relation_kind": '"export"', "related_file_ids": "[3, 1, 3]", "reason": '" De inhoud van het contract "'}
+    return "{" + ", ".join(f'"{k}": {x}' for k, x in ({**base, **changed}).items() if x is not None) + "}"
+
+
+PROPOSALS = [
+    _proposal(), _proposal(category_code='"home"'), _proposal(category_code='"work"', family_code='"housing"'), _proposal(family_code='"nothing"'), _proposal(category_code="null"), _proposal(confidence='"very high"', relation_kind='"Related"'), _proposal(confidence='"maybe"', relation_kind='"odd"'), _proposal(confidence="null", relation_kind=None, related_file_ids=None), _proposal(relation_kind='""'),
+    _proposal(related_file_ids='["x"]'), _proposal(related_file_ids="[1, 2, 3, 4, 5, 6]"), _proposal(related_file_ids='"1"'), _proposal(reason='"The file is related because this data is current"'), _proposal(reason='" "'), _proposal(reason="7"), _proposal(lifecycle='"archive"'), _proposal(lifecycle='"gone"'), _proposal(privacy_advice='"none"'), _proposal(file_id="5"), '{"file_id": FID, "abstained": true}', "nothing", "[]",
+    _proposal(category_code='"home"', lifecycle='"needs_review"', reason='"The lange inhoud ' + "woord " * 90 + '"'), _proposal(reason='"the van het and de data"'),
+]
+_FAMS = {code: cats for cats, code, _, _ in DEFAULT.families}
+
+
+def _map(value: str, names: dict[str, str]) -> str:
+    return f"case {value} " + " ".join(f"when '{k}' then '{x}'" for k, x in names.items()) + f" else {value} end"
 
 
-PROPOSED = """select file_id as output_id, file_id, case file_id % 11 when 0 then 'broken' else concat('{"file_id": ', cast(case when file_id % 8 = 0 then file_id + 1 else file_id end as varchar(20)), ', "category": "', case file_id % 4 when 0 then 'Job' when 1 then 'study' when 2 then 'money ' else 'other' end, '", "sensitivity": "', case when file_id % 3 = 0 then 'medium' else 'low' end, '", "confidence": ', case when file_id % 5 = 0 then '0.99' else '0.7' end, '}') end as content from files"""
-FLOOR = "select file_id, case when file_id % 6 = 0 then 'high' else 'low' end as sensitivity from files"
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("q18_proposals", f"""with o as ({PROPOSED}), f as ({FLOOR}), x as (select output_id, o.file_id, f.sensitivity as fl, case when json_valid(content) then content::json end as j from o left join f using (file_id)),
-y as (select *, case lower(trim(j->>'category')) when 'job' then 'work' when 'money' then 'finance' else lower(trim(j->>'category')) end as c, coalesce(j->>'sensitivity', 'low') as s, (j->>'confidence')::double as k from x),
-z as (select *, coalesce(c in ('work', 'study', 'finance'), false) as known, (case fl when 'high' then 3 else 1 end) > (case s when 'high' then 3 when 'medium' then 2 else 1 end) as raised from y)
-select output_id, case when known then c else 'needs_review' end as category, case when raised then fl else s end as sensitivity, least(k, 0.95::double) as confidence, array_to_string(list_filter([case when j is null then 'invalid_json' end, case when (j->>'file_id')::bigint <> file_id then 'wrong_file' end, case when not known then 'unknown_category' end, case when raised then 'sensitivity_raised' end, case when k > 0.95 then 'confidence_capped' end], lambda w: w is not null), ',') as warnings from z""")
+@query("q19_proposals", rf"""with o as (select *, case when json_valid(content) then content::json end as j from ({_cases(PROPOSALS)})),
+t as (select *, case when json_type(j, '$.reason') = 'VARCHAR' then j->>'$.reason' end as why, j->>'$.category_code' as cat, j->>'$.family_code' as fam, j->>'$.lifecycle' as life, j->>'$.privacy_advice' as priv, lower(coalesce(j->>'$.confidence', '')) as c0, coalesce(nullif(lower(coalesce(j->>'$.relation_kind', '')), ''), 'none') as r0, json_type(j, '$.related_file_ids') as rk, case when json_type(j, '$.related_file_ids') = 'ARRAY' then (j->'$.related_file_ids')::varchar[] end as rel from o),
+u as (select *, case fam {" ".join(f"when '{f}' then {_listed(c)}" for f, c in _FAMS.items())} end as allowed, {_map("c0", checks.CONFIDENCE_ALIASES)} as c1, {_map("r0", checks.RELATION_ALIASES)} as r1, list_distinct(list_transform(regexp_split_to_array(why, '\s+'), lambda w: lower(trim(w, '.,:;!?()[]')))) as words, list_transform(rel, lambda x: try_cast(x as bigint)) as nums from t),
+p as (select *, list_contains(allowed, cat) as fits, case when j is null then 'not_json' when json_type(j) <> 'OBJECT' or coalesce((j->>'$.file_id')::bigint, 0) <> file_id then 'file_id_mismatch' when json_type(j, '$.abstained') = 'BOOLEAN' and j->>'$.abstained' = 'true' then coalesce(why, 'model_abstained') when coalesce(cat, '') not in ({", ".join(f"'{c}'" for c in DEFAULT.categories)}) or allowed is null then 'unknown_taxonomy_value' when not list_contains(allowed, cat) and len(allowed) <> 1 then 'incompatible_category_and_family'
+  when coalesce(life, '') not in ('active', 'archive', 'needs_review') or coalesce(priv, '') not in ('low', 'medium', 'high') then 'invalid_lifecycle_or_privacy' when coalesce(trim(why), '') = '' or length(why) > 600 then 'invalid_reason' when len(list_intersect(words, {_listed(checks.FOREIGN_WORDS)})) >= 2 and len(list_intersect(words, {_listed(checks.FOREIGN_WORDS)})) > len(list_intersect(words, {_listed(checks.WANTED_WORDS)})) then 'reason_in_other_language'
+  when rk is not null and (rk <> 'ARRAY' or len(rel) > 5 or len(list_filter(nums, lambda x: x is null)) > 0) then 'invalid_related_files' end as problem from u),
+q as (select *, case when fits then cat else allowed[1] end as own, case workset_status when 'active' then 'active' when 'inactive' then 'archive' when 'needs_review' then 'needs_review' end as expected, case when c1 in ('low', 'medium', 'high') then c1 else 'low' end as sure, case when r1 in ({", ".join(f"'{c}'" for c in checks.RELATIONS)}) then r1 else 'none' end as link from p),
+r as (select *, coalesce(expected <> life, false) as guarded, case when own <> cat then trim(why)[1:480] || ' [category ' || cat || ' -> ' || own || ' by family contract]' else trim(why) end as w1 from q)
+select output_id, case when problem is null then 'ready' else 'abstained' end as status, case when problem is null then own end as category, case when problem is null then fam end as family, case when problem is null then case when guarded then expected else life end else 'needs_review' end as lifecycle, case when problem is null then priv end as privacy, case when problem is null then case when (own <> cat or guarded) and sure = 'high' then 'medium' else sure end else 'low' end as confidence, case when problem is null then link else 'none' end as relation,
+  case when problem is null then array_to_string(list_sort(list_distinct(coalesce(nums, []))), ',') else '' end as related, case when problem is null then case when guarded then trim(trim(w1)[1:430]) || ' [lifecycle ' || life || ' -> ' || expected || ' by work-set policy]' else w1 end else problem end as reason from r""")
 def _(v):
-    outputs = v.spark.sql("select file_id as output_id, file_id, case when file_id % 11 = 0 then 'broken' else to_json(named_struct('file_id', if(file_id % 8 = 0, file_id + 1, file_id), 'category', element_at(array('Job', 'study', 'money ', 'other'), cast(file_id % 4 + 1 as int)), 'sensitivity', if(file_id % 3 = 0, 'medium', 'low'), 'confidence', if(file_id % 5 = 0, 0.99D, 0.7D))) end as content from {files}", files=v.files)
-    return ops.check_proposals(outputs, ["work", "study", "finance"], v.spark.sql(FLOOR.replace("from files", "from {files}"), files=v.files))
+    return checks.check_proposals(_outputs(v, PROPOSALS))
 
 
 @query("q20_run_plan", f"""with {PLAN}, r as (select 'run-' || (doc_id % 5) as run, state from pl), c as (select run, count(*) as items, count(*) filter (state = 'planned') as planned, count(*) filter (state = 'no_text') as empty from r group by 1)
