@@ -62,7 +62,8 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 def whole_parts(pieces: DataFrame, conv: str = "conv_id") -> DataFrame:
     """The rows of ``perspectives`` with one row for each part: its pieces joined in order, masks from the part's start.
 
-    Such a row holds all that was said under its turn numbers, however much that is.
+    ``first_char`` is where the part begins in the whole rendering, which is the parts joined in order, for dialogues of any
+    length. Such a row holds all that was said under its turn numbers, however much that is.
     """
     key = [f"`{conv}`", "perspective", "part"]
     before = F.sum("n_chars").over(Window.partitionBy(*key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
@@ -70,8 +71,10 @@ def whole_parts(pieces: DataFrame, conv: str = "conv_id") -> DataFrame:
     moved = moved.withColumns({c: F.transform(c, lambda x: x + F.col("before")) for c in ("mask_starts", "mask_ends")})
     held = F.sort_array(F.collect_list(F.struct("piece", "rendered", "mask_starts", "mask_ends"))).alias("held")
     joined = moved.groupBy(*key).agg(held, *[F.sum(c).alias(c) for c in ("n_turns", "n_chars", "n_masked")])
+    earlier = F.sum("n_chars").over(Window.partitionBy(*key[:2]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return joined.select(
         *key,
+        F.coalesce(earlier, F.lit(0)).alias("first_char"),
         F.array_join("held.rendered", "").alias("rendered"),
         F.flatten("held.mask_starts").alias("mask_starts"),
         F.flatten("held.mask_ends").alias("mask_ends"),

@@ -114,6 +114,7 @@ def train(shares: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
     k = len(langs)
     held = np.arange(len(labels)) % 5 == 4 if len(labels) >= 20 else np.zeros(len(labels), bool)
     x, y = shares[~held], labels[~held]
+    most = int(np.bincount(y).max())
     embed = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
     layer = np.zeros((DIM, k), np.float32)
     bias = np.zeros(k, np.float32)
@@ -121,8 +122,9 @@ def train(shares: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
     scale = np.float32(SCALE)
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
-        order = rng.permutation(len(y))
-        for i in range(0, len(y), BATCH):
+        # Every language gives equally many rows to an epoch; those of small ones come round again.
+        order = rng.permutation(np.concatenate([np.resize(rng.permutation(np.flatnonzero(y == c)), most) for c in range(k) if (y == c).any()]))
+        for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
             hidden = x[at] @ embed * scale
             wrong = (_softmax(hidden @ layer + bias) - one_hot[y[at]]) / len(at)
@@ -153,13 +155,14 @@ def _share_bytes(texts: pd.Series) -> pd.Series:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Model of (text, lang) rows; null texts and labels are left out. Without rows it knows no language.
 
-    Only hashed n-gram shares of at most ``sample`` rows (8 KB each) come to the driver.
+    Only hashed n-gram shares of at most ``sample`` rows (8 KB each) come to the driver; so at most ``sample`` languages are learned, those
+    with most different rows, and none of the more frequent ones is left out.
     """
     rows = labelled.select(text_bytes(text).alias("body"), F.col(f"`{lang}`").cast("string").alias("lang")).where(F.col(f"`{text}`").isNotNull() & F.col("lang").isNotNull())
     # Copies of a text have one hash and count as one row.
     rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("body", "lang"), 1))
     hashes = scratch(rows.select("lang", "_h").distinct(), "hashes")
-    counts = {r.lang: r.n for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(sample).collect()}
+    counts = {r.lang: r.n for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.common import scratch
+
 SEED = "mix-1"
 #: Largest mean that is inverted in one go.
 PIECE = 16.0
@@ -75,31 +77,57 @@ def rates(docs: DataFrame, weights: dict | None = None, source: str = "source",
     return found.select("_source", "rows", "rate", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int").alias("pieces"))
 
 
+#: Rows of one identity that are numbered in one task.
+CHUNK = 1024
+
+
+def identified(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``_id``, a text that no two rows share: the key where it is unique and not null.
+
+    Of null and repeated keys, the id is the key, a hash of the whole row and a number among equal rows. Equal rows are counted, so
+    that one of them travels, and spread over the tasks again in chunks.
+    """
+    name = F.col(f"`{key}`").cast("string")
+    unclear = docs.groupBy(name.alias("_k")).agg(F.count(F.lit(1)).alias("n")).where("_k is null or n > 1").select("_k")
+    if unclear.isEmpty():
+        return docs.withColumn("_id", name)
+    unclear = scratch(unclear, "unclear")
+    meets = name.eqNullSafe(F.col("_k"))
+    clear = docs.join(unclear, meets, "left_anti").withColumn("_id", name)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    equal = docs.join(unclear, meets, "left_semi").select(row.alias("_row")).withColumn("_h", F.sha2(F.to_json("_row"), 256))
+    equal = equal.groupBy("_h").agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n")).select("_row.*", "_h", "_n")
+    equal = scratch(equal, "equal")
+    chunks = equal.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK)))).repartition("_h", "_c")
+    rows = chunks.withColumn("_i", F.explode(F.sequence(F.col("_c") * CHUNK, F.least(F.col("_n"), (F.col("_c") + 1) * CHUNK) - 1)))
+    ident = F.concat_ws("#", F.coalesce(name, F.lit("")), "_h", F.col("_i").cast("string"))
+    return clear.unionByName(rows.withColumn("_id", ident).drop("_h", "_n", "_c", "_i"))
+
+
 def replicate(docs: DataFrame, weights: dict | None = None, key: str = "doc_id", source: str = "source", seed: str = SEED, size: float = 1.0) -> DataFrame:
-    """``docs`` with ``copy`` int (1 to the document's count) and ``shuffle_key`` long, one row per copy, in shuffled order.
+    """``docs`` with ``copy`` int (1 to the row's count) and ``shuffle_key`` long, one row per copy, in shuffled order.
 
-    Documents whose count is 0 don't appear. The expected rows of a source are its weight's share. A null
-    key hashes as the empty text, so such rows share one count; repeated rows are counted one by one and have
-    equal counts. An empty table gives an empty table. Columns named like the results are replaced.
+    Rows whose count is 0 don't appear. The expected rows of a source are its weight's share. Null keys and repeated
+    rows draw a count and a place for each row (see ``identified``). An empty table gives an empty table. Columns named like the results
+    are replaced.
     """
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rated = rates(docs, weights, source, size).cache()
+    rated = scratch(rates(docs, weights, source, size), "rates")
     few = rated.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rated = rated.select("_source", "rate", "pieces")
-    keyed = docs.select(*[f"`{c}`" for c in names]).withColumn("_source", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
+    keyed = identified(docs.select(*[f"`{c}`" for c in names]), key).withColumn("_source", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
     joined = keyed.join(F.broadcast(rated) if few else rated, "_source")
     count = F.pandas_udf(_counts, T.LongType())
-    ident = F.col(f"`{key}`")
-    single = joined.where("pieces = 1").withColumn("_n", count(uniform(ident, seed), F.col("rate")))
-    names_n = [*[f"`{c}`" for c in names], "_n"]
-    # The draw of each piece is made on the document's key alone; texts don't travel with the pieces.
-    many = joined.where("pieces > 1").select("_source", ident.alias("_key"), "rate", "pieces").distinct()
-    pieces = many.select("_source", "_key", "rate", "pieces", F.explode(F.sequence(F.lit(1), F.col("pieces"))).alias("_piece"))
-    drawn = pieces.withColumn("_n", count(uniform(F.concat_ws(":", F.coalesce(F.col("_key").cast("string"), F.lit("")), F.col("_piece").cast("string")), seed), F.col("rate") / F.col("pieces")))
-    summed = drawn.groupBy("_source", "_key").agg(F.sum("_n").alias("_n")).select(F.col("_source").alias("_s"), "_key", "_n")
-    several = joined.where("pieces > 1").join(summed, (F.col("_source") == F.col("_s")) & ident.eqNullSafe(F.col("_key"))).select(*names_n)
+    single = joined.where("pieces = 1").withColumn("_n", count(uniform(F.col("_id"), seed), F.col("rate")))
+    names_n = [*[f"`{c}`" for c in names], "_id", "_n"]
+    # The draw of each piece is made on the row's id alone; texts don't travel with the pieces.
+    many = joined.where("pieces > 1").select("_id", "rate", "pieces")
+    pieces = many.select("_id", "rate", "pieces", F.explode(F.sequence(F.lit(1), F.col("pieces"))).alias("_piece"))
+    drawn = pieces.withColumn("_n", count(uniform(F.concat_ws(":", "_id", F.col("_piece").cast("string")), seed), F.col("rate") / F.col("pieces")))
+    summed = drawn.groupBy("_id").agg(F.sum("_n").alias("_n"))
+    several = joined.where("pieces > 1").join(summed, "_id").select(*names_n)
     counted = single.select(*names_n).unionByName(several)
     copies = counted.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("")), F.col("copy").cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long")
-    shuffled = copies.withColumn("shuffle_key", order)
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", "_id", F.col("copy").cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long")
+    shuffled = copies.withColumn("shuffle_key", order).drop("_id")
     return shuffled.repartitionByRange("shuffle_key", "copy").sortWithinPartitions("shuffle_key", "copy")

@@ -45,7 +45,7 @@ placed as (
   select *, sum(length(head) + length(body)) over w - length(body) as s, sum(length(head) + length(body)) over w as e,
     row_number() over w as k
   from pieces window w as (partition by conv_id, perspective, part order by turn nulls first, role, text rows unbounded preceding))
-select conv_id, perspective, part, string_agg(head || body, '' order by k) as rendered,
+select conv_id, perspective, part, coalesce(sum(sum(length(head) + length(body))) over (partition by conv_id, perspective order by part rows between unbounded preceding and 1 preceding), 0)::bigint as first_char, string_agg(head || body, '' order by k) as rendered,
   coalesce(string_agg(s::bigint::varchar, ',' order by k) filter (where own), '') as mask_starts,
   coalesce(string_agg(e::bigint::varchar, ',' order by k) filter (where own), '') as mask_ends,
   count(*) as n_turns, sum(length(head) + length(body))::bigint as n_chars, coalesce(sum(length(body)) filter (where own), 0)::bigint as n_masked

@@ -4,7 +4,7 @@ Ids are coded in blocks that are reset and checksummed on their own. In a block,
 and the two ids before (order 2) each predict the id that followed them last. One of the two is proposed;
 whether it is right is coded with a probability that a logistic mixer draws from the confidence of the
 order-2 prediction, that of the order-1 prediction, and the recent hits. If it is wrong, the id is coded
-by adaptive order-0 frequencies of its high and low byte. All arithmetic is on integers, so a block decodes
+by adaptive order-0 frequencies of its high and low byte, each by itself: order 0 stands behind the mixer, not in it. All arithmetic is on integers, so a block decodes
 alike on every machine.
 
 Blocks don't depend on each other, so many are coded side by side: a numpy array holds one number for
@@ -186,9 +186,11 @@ class _Decoder:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payload of each block of ids below 65,536; blocks may differ in length, none is empty."""
+    """Payload of each block of ids below 65,536, larger ones raise; blocks may differ in length, none is empty."""
     if not blocks:
         return []
+    if max(int(b.max()) for b in blocks) >= 1 << 16:
+        raise ValueError("the range coder takes ids below 65,536")
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
     ids = np.zeros((sizes[0], len(blocks)), np.int64)

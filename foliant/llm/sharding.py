@@ -88,7 +88,8 @@ def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id", order: tuple[s
 
     placed = rows.select(*[f"`{c}`" for c in names], spot.alias("_spot"))
     placed = placed.withColumn("_arc", F.pandas_udf(arcs, T.IntegerType())("_spot"))
-    placed = placed.withColumn("_cell", (F.col("_spot") % CELLS).cast("int"))
+    # Rows of one key share an arc, but not a cell unless they are equal in the ``order`` columns too.
+    placed = placed.withColumn("_cell", F.pmod(F.xxhash64("_spot", *[F.col(f"`{c}`") for c in order]), F.lit(CELLS)).cast("int"))
     sizes = sorted((r["_arc"], r["_cell"], r["n"]) for r in placed.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("n")).collect())
     counts: dict[int, int] = {}
     first_of_cell = []

@@ -87,6 +87,8 @@ def near_links(fps: DataFrame) -> DataFrame:
     table = listed.join(crowded, ["seg", "code"], "left_anti").select("seg", "code", F.col("fp").alias("other"))
     table = table.unionByName(crowded.withColumn("other", F.lit(None).cast("long")))
     probes = [F.struct(F.lit(s).alias("seg"), c.alias("code")) for s, seg in enumerate(_segments(fp)) for c in _ball(seg, SEGMENT_BITS)]
+    # The 66 probes of a fingerprint are made in all tasks, however few hold the fingerprints.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     probed = fps.select("fp", F.explode(F.array(*probes)).alias("p")).select("fp", "p.seg", "p.code")
     found = probed.join(table, ["seg", "code"]).select("fp", "other")
     found = scratch(found.where("other is null or (fp < other and bit_count(fp ^ other) <= 2)").distinct(), "found")
@@ -116,16 +118,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classed = near_classes(prints)
     least = classed.groupBy("fp_root").agg(F.min(key).alias("component_id"))
     return classed.join(least, "fp_root").select(key, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are the first of their component.
-
-    First is the least key (null last), then the row written first; of repeated rows one stays.
-    """
-    names = docs.columns
-    held = scratch(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")).select("doc", fingerprint(f"doc.`{text}`").alias("fp"), F.monotonically_increasing_id().alias("row")), "held")
-    classed = near_classes(held.select("fp", "row", F.col(f"doc.`{key}`").cast("long").alias("key")))
-    first = classed.groupBy("fp_root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"))
-    kept = held.join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
-    return kept.select([F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -31,7 +31,11 @@ def test_long_dialogues_come_in_parts(spark):
     rows = [(1, i, "ab"[i % 2], f"turn {i}", None) for i in range(400)]
     got = chat.perspectives(spark.createDataFrame(rows, SCHEMA)).orderBy("part").collect()
     assert len(got) == 8
-    assert "".join(r.rendered for r in got if r.perspective == "a") == brute(rows)[1, "a"][0]
+    want, mask = brute(rows)[1, "a"]
+    assert "".join(r.rendered for r in got if r.perspective == "a") == want
+    whole = [r for r in chat.whole_parts(chat.perspectives(spark.createDataFrame(rows, SCHEMA))).orderBy("part").collect() if r.perspective == "a"]
+    assert all(want[r.first_char : r.first_char + r.n_chars] == r.rendered for r in whole)
+    assert [(r.first_char + a, r.first_char + b) for r in whole for a, b in zip(r.mask_starts, r.mask_ends, strict=True)] == mask
 
 
 def test_native_and_empty(spark):

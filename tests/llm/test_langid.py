@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from foliant.llm import langid, queries
 
 WORDS = {"en": ["the", "and", "with", "this", "shall", "running"], "de": ["der", "und", "nicht", "straße", "können", "schön"], "fr": ["le", "être", "avec", "où", "français", "nous"]}
@@ -46,3 +48,47 @@ def test_copies_count_once_in_the_sample(spark):
         assert model.predict([" ".join(w).encode() for w in WORDS.values()])[0] == list(WORDS)
     named = model.predict([t.encode() for _, t, _ in texts(60, 4)])[0]
     assert sum(a == lang for a, (_, _, lang) in zip(named, texts(60, 4), strict=True)) >= 58
+
+
+def brute_logits(model, text):
+    """Language scores of a text from the model's weights, n-gram by n-gram."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text) + b"    "
+    total, n = np.zeros(len(model.langs)), 0
+    for size in langid.SIZES:
+        for i in range(len(data) - size + 1):
+            gram = data[i : i + size]
+            # The last places belong to the gap between texts; a gap by itself is no n-gram.
+            if i >= len(data) - 4 or gram == b" " * size:
+                continue
+            code = int.from_bytes(gram, "little")
+            bucket = ((code * 2654435761 + size * 40503) & 0xFFFFFFFF) >> 20
+            total, n = total + model.logits[bucket], n + 1
+    return (total / max(1, n) + model.bias) / model.temperature
+
+
+def test_predictions_equal_the_weights_summed_one_by_one(spark):
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i, t, lang in texts(300, 6)], "id long, text string, lang string"))
+    cases = [t.encode() for _, t, _ in texts(40, 7)] + [b"", b"a", "ß".encode(), b"the" * 50_000, b"1 2 3", "être où".encode()]
+    langs, scores = model.predict(cases)
+    for text, lang, score in zip(cases, langs, scores, strict=True):
+        if not langid.has_letter(text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logit = brute_logits(model, text)
+        p = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 1e-5
+
+
+def test_one_repeated_and_one_varied_language(spark):
+    german = spark.range(60_000).selectExpr("'der und nicht straße können schön' as text", "'de' as lang")
+    english = spark.createDataFrame([(" ".join(random.Random(i).choices(WORDS["en"], k=30)) + f" word{i}", "en") for i in range(300)], "text string, lang string")
+    for rows in (german, german.unionByName(english)):
+        assert "de" in langid.fit(rows).langs
+    model = langid.fit(german.unionByName(english))
+    assert model.predict(["der und nicht straße".encode(), b"this running and the"])[0] == ["de", "en"]
+
+
+def test_more_labels_than_the_sample_holds(spark):
+    rows = [(f"text {i} {k}", f"l{i:04}") for i in range(70) for k in range(1 + (i == 69))]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=50)
+    assert len(model.langs) == 50 and "l0069" in model.langs

@@ -23,19 +23,33 @@ def brute_count(doc, rate, pieces):
 
 
 def test_counts_equal_inverting_one_by_one(spark):
-    rows = [(i, "big" if i % 3 else f"s{i % 5}", f"t{i}", "c") for i in range(900)] + [(5000, "one", "rare", "c"), (None, None, None, None), (7, "big", "t7", "c")]
+    rows = [(i, "big" if i % 3 else f"s{i % 5}", f"t{i}", "c") for i in range(900)] + [(5000, "one", "rare", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copy string")
     got = mixing.replicate(docs).collect()
-    sizes = Counter(r[1] or "" for r in rows)
+    sizes = Counter(r[1] for r in rows)
     want = Counter()
     for doc, source, _, _ in rows:
-        rate = len(rows) / len(sizes) / sizes[source or ""]
-        n = brute_count("" if doc is None else doc, rate, max(1, math.ceil(rate / mixing.PIECE)))
+        rate = len(rows) / len(sizes) / sizes[source]
+        n = brute_count(doc, rate, max(1, math.ceil(rate / mixing.PIECE)))
         want.update((doc, k) for k in range(1, n + 1))
     assert Counter((r.doc_id, r["copy"]) for r in got) == want
     assert [r.shuffle_key for r in got] == sorted(r.shuffle_key for r in got)
 
 
+def test_null_and_repeated_rows_draw_one_by_one(spark):
+    hot = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "'a' as source", "'same' as text")
+    rest = spark.range(20_000).selectExpr("id % 500 as doc_id", "'b' as source", "cast(id % 2000 as string) as text")
+    more = spark.range(2_000).selectExpr("id + 1000 as doc_id", "cast(null as string) as source", "'one' as text")
+    docs = hot.unionByName(rest).unionByName(more)
+    assert mixing.identified(docs, "doc_id").select("_id").distinct().count() == 62_000
+    out = mixing.replicate(docs)
+    shares = Counter(r.source for r in out.select("source").collect())
+    assert all(abs(shares[s] - 62_000 / 3) < 0.02 * 62_000 / 3 + 300 for s in ("a", "b", None))
+    sizes = [r["count"] for r in out.repartitionByRange(8, "shuffle_key").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    assert mixing.replicate(docs, weights={"a": 30.0}, size=0.5).count() > 0
+
+
 def test_means_and_weights(spark):
     u = (np.arange(200_000) + 0.5) / 200_000
     for mean in (0.0, 0.1, 1.5, 15.9):

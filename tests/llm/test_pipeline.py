@@ -1,12 +1,12 @@
 from collections import Counter
 
 import corpus_pipeline
-from foliant.llm import decontaminate, simhash
+from foliant.llm import decontaminate, neardup
 from foliant.llm.common import scratch
 
 from test_decontaminate import brute as brute_overlap
 from test_langid import texts
-from test_simhash import brute_components, brute_print
+from test_neardup import brute_first
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, language string"
 
@@ -27,9 +27,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         steps[name] = sorted((tuple(r) for r in docs.select("doc_id", "text", "source").collect()), key=str)
     named = steps["language_id"]
     assert {2001, 2002}.isdisjoint(r[0] for r in named) and len(named) >= len(rows) - 8
-    prints = [(d, brute_print(t)) for d, t, _ in named]
-    want = sorted(set(brute_components(prints)))
-    assert sorted(r[0] for r in steps["near_duplicates"]) == want
+    assert sorted(r[0] for r in steps["near_duplicates"]) == brute_first([(d, t) for d, t, _ in named])
     clean = [r for r in steps["near_duplicates"] if not brute_overlap(r[1], [(1, item)])[3]]
     assert steps["decontamination"] == clean and 2000 not in {r[0] for r in clean}
     mixed = Counter(r[0] for r in steps["mixing"])
@@ -47,4 +45,4 @@ def test_empty_table(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixing", "sharding"]
-    assert simhash.RADIUS == 2 and decontaminate.PERCENT == 5
+    assert (neardup.WORDS, neardup.SIMILARITY) == (5, 0.8) and decontaminate.PERCENT == 5

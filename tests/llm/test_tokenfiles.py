@@ -64,3 +64,8 @@ def test_damage_is_noticed(spark):
         list(tokenfiles._decoded(iter([Batch()])))
     with pytest.raises(ValueError, match="cut short"):
         rangecoder.unpack_blocks(bytes(run[:-1]))
+
+
+def test_ids_beyond_two_bytes_are_refused():
+    with pytest.raises(ValueError, match="65,536"):
+        rangecoder.encode_blocks([np.array([1, 65_536], np.uint32)])
