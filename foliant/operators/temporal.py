@@ -103,22 +103,40 @@ def canonical(evidence: DataFrame, as_of: int) -> DataFrame:
     """Canonical evidence of each (file, date type): earliest created, latest modified day, then the more precise and certain."""
     rows = judged(evidence, as_of).where("excluded is null").withColumns({"_c": confidence_rank(), "_s": _rank("source_type", CANONICAL_RANK, 0), "_sign": F.when(F.col("date_type") == "created", 1).otherwise(-1)})
     order = [F.col("_sign") * F.col("day"), F.col("date_only").cast("int"), (~F.col("zoned")).cast("int"), -F.col("_c"), -F.col("_s"), F.col("_sign") * F.col("value_epoch"), F.col("evidence_id")]
-    return top_per(rows, ["file_id", "date_type"], order, 1).select("file_id", "date_type", "evidence_id", "value_epoch", "source_type", "date_only")
+    return top_per(rows, ["file_id", "date_type"], order, 1).select("file_id", "date_type", "evidence_id", "value_epoch", "source_type", "date_only", "zoned")
 
 
-def impact(files: DataFrame, evidence: DataFrame, as_of: int, window: int) -> DataFrame:
-    """What the canonical choice does to a file's activity: issue, status and whether it differs from the profile's."""
-    pick = lambda kind: F.max(F.when(F.col("date_type") == kind, F.col("value_epoch"))).alias(f"new_{kind}")
-    chosen = canonical(evidence, as_of).groupBy("file_id").agg(pick("created"), pick("modified"))
+def impact(files: DataFrame, evidence: DataFrame, as_of: int, months: int) -> DataFrame:
+    """What the canonical choice does to a file's activity, beside what the profile says.
+
+    issue: created after modified (or ambiguous, where only one of them has a zone). A material conflict of sources is sensitive if
+    credible dates lie before and within the window of ``months`` and the file system's date isn't within it itself; only then, or with a
+    created date after the modified one, is the file to review. created_changed and modified_changed: the canonical value isn't the profile's.
+    """
+    pick = lambda kind, c, name: F.max(F.when(F.col("date_type") == kind, F.col(c))).alias(name)
+    chosen = canonical(evidence, as_of).groupBy("file_id").agg(pick("created", "value_epoch", "new_created"), pick("modified", "value_epoch", "new_modified"), pick("created", "zoned", "_cz"), pick("modified", "zoned", "_mz"))
+    cut = F.unix_timestamp(F.timestamp_seconds(F.lit(as_of)) - F.make_ym_interval(F.lit(0), F.lit(months)))
+    credible = judged(evidence, as_of).where("excluded is null").groupBy("file_id").agg(F.bool_or(F.col("value_epoch") < cut).alias("_before"), F.bool_or((F.col("value_epoch") >= cut) & (F.col("value_epoch") <= as_of)).alias("_within"))
     old = profile(files, evidence).select(F.col("for_file").alias("file_id"), "created_epoch", "modified_epoch", "created_conflict", "modified_conflict")
-    rows = files.where("deleted_epoch is null").select("file_id", "modified_at_fs").join(chosen, "file_id", "left").join(old, "file_id", "left")
-    best, cut = F.greatest("new_modified", "new_created", "modified_at_fs"), as_of - window
-    before = F.greatest("modified_epoch", "created_epoch", "modified_at_fs")
-    state = lambda at: first_of((at.isNull() | (at > as_of), "needs_review"), (at >= cut, "active"), default="inactive")
+    rows = files.where("deleted_epoch is null").select("file_id", "modified_at_fs").join(chosen, "file_id", "left").join(credible, "file_id", "left").join(old, "file_id", "left")
+    past = lambda c: F.when(F.col(c) <= as_of, F.col(c))
     conflict = F.coalesce(F.col("created_conflict") | F.col("modified_conflict"), F.lit(False))
-    issue = first_of((F.col("new_created") > F.col("new_modified"), "created_after_modified"), (conflict, "conflicting_sources"), default="none")
-    out = rows.select("file_id", issue.alias("issue"), best.alias("activity_epoch"), first_of((conflict, "needs_review"), default=state(before)).alias("status_before"), state(best).alias("status"))
-    return out.withColumn("changed", F.col("status") != F.col("status_before"))
+    recent = F.coalesce((F.col("modified_at_fs") >= cut) & (F.col("modified_at_fs") <= as_of), F.lit(False))
+    sensitive = conflict & ~recent & F.coalesce(F.col("_before") & F.col("_within"), F.lit(False))
+    late = F.coalesce(F.col("new_created") > F.col("new_modified"), F.lit(False))
+    issue = first_of((late & (F.col("_cz") == F.col("_mz")), "created_after_modified"), (late, "chronology_timezone_ambiguous"), default="none")
+    best = F.greatest(past("new_modified"), past("new_created"), past("modified_at_fs"))
+    rows = rows.withColumns({"issue": issue, "conflict_effect": first_of((sensitive, "decision_sensitive"), (conflict, "decision_invariant"), default="none"), "activity_epoch": best})
+    active = F.col("activity_epoch") >= cut
+    review = (F.col("issue") == "created_after_modified") | (F.col("conflict_effect") == "decision_sensitive") | F.col("activity_epoch").isNull()
+    reason = first_of(
+        (F.col("issue") == "created_after_modified", "created_after_modified"), (F.col("conflict_effect") == "decision_sensitive", "decision_sensitive_conflict"), (F.col("activity_epoch").isNull(), "insufficient_evidence"), (active, "activity_within_window"), (F.col("conflict_effect") != "none", "inactive_despite_conflict"), default="activity_outside_window"
+    )
+    before = F.greatest("modified_epoch", "created_epoch", "modified_at_fs")
+    was = first_of((conflict | before.isNull() | (before > as_of), "needs_review"), (before >= cut, "active"), default="inactive")
+    out = rows.withColumns({"status_before": was, "status": first_of((review, "needs_review"), (active, "active"), default="inactive"), "reason": reason})
+    changed = lambda kind: ~F.col(f"new_{kind}").eqNullSafe(F.col(f"{kind}_epoch"))
+    return out.select("file_id", "issue", "conflict_effect", "activity_epoch", "status_before", "status", "reason", changed("created").alias("created_changed"), changed("modified").alias("modified_changed"), (F.col("status") != F.col("status_before")).alias("changed"))
 
 
 def text_dates(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -107,6 +107,34 @@ def _(v):
     return ops.apply_events(v.known_files, v.stream).drop("mutation", "old_path")
 
 
+#: Events of two batches: moves of known files (onto new and onto known paths), then creations, deletions and returns.
+BATCHES = """select 0 as batch, file_id as event_id, file_id as ts, case when file_id % 5 = 1 then concat(folder_path, '/renamed ', filename) when file_id % 5 = 2 then concat('/data/elsewhere/', cast(file_id as varchar(20)), filename) else path end as path,
+  case when file_id % 5 in (1, 2) then path end as old_path, case when file_id % 5 in (1, 2) then 'MOVE' when file_id % 5 = 3 then 'DELETE' else 'UPSERT' end as event, size_bytes + 1 as size_bytes, modified_at_fs + 1 as mtime from files
+union all select 1, file_id + 10000000, file_id + 10000000, case when file_id % 5 = 2 then concat('/data/elsewhere/', cast(file_id as varchar(20)), filename) else path end, cast(null as varchar(400)), case when file_id % 3 = 0 then 'DELETE' else 'UPSERT' end, size_bytes + 2, modified_at_fs + 2 from files where file_id % 4 <> 1"""
+
+
+def _batches(v):
+    held = v.known_files
+    for k in (0, 1):
+        events = v.spark.sql(BATCHES.replace("from files", "from {files}"), files=v.files).where(F.col("batch") == k).drop("batch")
+        after = ops.apply_events(held, events)
+        held = after.drop("mutation", "old_path")
+    return after
+
+
+# Ids and paths are unique, and no move's target is an old path of another, so each move stands for itself.
+@query("t08b_two_batches", f"""with ev as ({BATCHES}), e0 as (select * from ev where batch = 0), e1 as (select * from ev where batch = 1),
+mv as (select k.path as old_path, e.path as new_path from e0 e join known_files k on k.path = e.old_path where e.event = 'MOVE' and k.deleted_epoch is null),
+k1 as (select coalesce(m.new_path, k.path) as path, k.file_id, k.size_bytes, k.modified_at_fs, k.deleted_epoch, m.old_path, true as known from known_files k left join mv m on m.old_path = k.path),
+a0 as (select coalesce(k.path, e.path) as path, k.file_id, case when e.event <> 'DELETE' then e.size_bytes else k.size_bytes end as s, k.size_bytes as s0, case when e.event <> 'DELETE' then e.mtime else k.modified_at_fs end as m, k.modified_at_fs as m0, e.event, case when e.event is null then k.deleted_epoch when e.event = 'DELETE' then coalesce(k.deleted_epoch, e.ts) end as deleted_epoch, k.known from k1 k full join e0 e on e.path = k.path),
+b0 as (select path, file_id, coalesce(s, s0) as size_bytes, coalesce(m, m0) as modified_at_fs, deleted_epoch, true as known from a0 where known or event <> 'DELETE'),
+a1 as (select coalesce(k.path, e.path) as path, k.file_id, case when e.event <> 'DELETE' then coalesce(e.size_bytes, k.size_bytes) else k.size_bytes end as size_bytes, case when e.event <> 'DELETE' then coalesce(e.mtime, k.modified_at_fs) else k.modified_at_fs end as modified_at_fs, case when e.event is null then k.deleted_epoch when e.event = 'DELETE' then coalesce(k.deleted_epoch, e.ts) end as deleted_epoch,
+  case when e.event is null then null when e.event = 'DELETE' then 'DELETED' when k.known is null then 'CREATED' when k.deleted_epoch is not null then 'RESTORED' else 'MODIFIED' end as mutation, k.known, e.event from b0 k full join e1 e on e.path = k.path)
+select path, file_id, size_bytes, modified_at_fs, deleted_epoch, mutation from a1 where known or event <> 'DELETE'""")
+def _(v):
+    return _batches(v).drop("old_path")
+
+
 @query("t09_mutations", f"with {APPLIED} select mutation, count(*) as n from applied group by 1")
 def _(v):
     return ops.apply_events(v.known_files, v.stream).groupBy("mutation").agg(F.count("*").alias("n"))
@@ -117,7 +145,7 @@ def _(v):
     return v.stream.where("old_path is not null").select("event_id", ops.move_class().alias("move"))
 
 
-ARRIVALS = "select concat('/data/new/', filename, cast(file_id as varchar(20))) as path, filesystem_device, inode, size_bytes, modified_at_fs + case when file_id % 6 = 0 then 5 else 0 end as modified_at_fs, case when file_id % 4 = 0 then 'other' else hash_content end as hash_content from files where file_id % 3 = 1"
+ARRIVALS = "select concat('/data/new/', filename, cast(file_id as varchar(20))) as path, filesystem_device, inode, size_bytes, modified_at_fs + case when file_id % 6 = 0 then 5 else 0 end as modified_at_fs, case when file_id % 4 = 0 then 'other' else hash_content end as hash_content from files"
 
 
 @query("t11_identity", f"""with a as ({ARRIVALS}), p as (select a.path, f.file_id, s.path is null as missing, 50 + case when a.size_bytes = f.size_bytes then 10 else 0 end + case when a.modified_at_fs = f.modified_at_fs then 10 else 0 end + case when a.hash_content = f.hash_content then 30 else 0 end as points

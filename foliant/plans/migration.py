@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from foliant.functions.common import latest
 from foliant.operators import migration as ops
 from foliant.plans.registry import query
-from foliant.plans.workset import LIFE, _life
-from foliant.operators import workset
+from foliant.plans.workset import REVIEWED, _path_review
 
-RULES = r"""ru as (select *, case when regexp_matches(path, '(?i)(^|/)(@eaDir|#recycle|__pycache__|node_modules|\.git|\.cache|cache|tmp|temp)(/|$)') or extension in ('tmp', 'temp', 'part', 'swp', 'lock') then 'system_or_temporary'
+RULES = r"""ru as (select *, case when regexp_matches(path, '(?i)(^|/)(@eaDir|#recycle|\$recycle\.bin|__pycache__|node_modules|\.git|\.cache|cache|tmp|temp)(/|$)') or extension in ('tmp', 'temp', 'part', 'swp', 'lock') then 'system_or_temporary'
   when extension in ('key', 'pem') then 'secret' when extension in ('exe', 'dll') then 'software_or_system_artifact' when extension in ('doc', 'docx', 'txt', 'pdf', 'xls', 'xlsx') then 'personal_document_candidate' when extension in ('jpg', 'mp3') then 'personal_media_candidate' when extension = 'zip' then 'archive_review' else 'unknown' end as category,
-  case when regexp_matches(path, '(?i)(^|/)(finance|bank|medical)(/|$)') or regexp_matches(filename, '(?i)(tax|passport|report_1[0-4])') then 'sensitive' else 'normal' end as sensitivity from files where deleted_epoch is null and path is not null),
+  case when regexp_matches(path, '(?i)(^|/)(finance|bank|medical)(/|$)') or regexp_matches(filename, '(?i)(tax|passport|report_10|report_11|report_12)') then 'sensitive' else 'normal' end as sensitivity from files where deleted_epoch is null and path is not null),
 fr as (select *, case when category in ('system_or_temporary', 'secret', 'software_or_system_artifact') then 'excluded' when coalesce(hash_content, '') = '' then 'review_required' when category in ('personal_document_candidate', 'personal_media_candidate') then 'candidate' else 'review_required' end as action,
   case when coalesce(hash_content, '') = '' then 'UNHASHED:' || file_id else hash_content || ':' || coalesce(size_bytes::varchar, 'NULL') end as content_key from ru)"""
 INV = f"""{RULES}, gr as (select content_key, min(hash_content) as hash_content, min(size_bytes) as size_bytes, list_distinct(list(category)) as cs, bool_or(sensitivity = 'sensitive') as s, bool_or(action = 'excluded') as x, bool_or(action = 'review_required') as r, count(*) as copies,
@@ -22,23 +21,29 @@ inv as (select content_key, hash_content, size_bytes, case when list_contains(cs
 REV = f"{INV}, rv as (select *, case when category = 'personal_document_candidate' or regexp_extract(path, '\\.([^./]+)$', 1) in ('doc', 'docx', 'txt', 'pdf', 'xls', 'xlsx') then 'personal_document' when category = 'system_or_temporary' then 'project_or_technical' else 'manual_review' end as review_class from inv)"
 PROP = f"""{REV}, pr as (select *, case when coalesce(hash_content, '') = '' then 'manual_review' when review_class = 'personal_document' and sensitivity = 'sensitive' then 'document_sensitive' when review_class = 'personal_document' then 'document_standard' when review_class = 'project_or_technical' then 'retain_project_technical' else 'manual_review' end as proposal,
   case when coalesce(hash_content, '') = '' then 'blocked_missing_hash' when review_class = 'personal_document' then 'ready_for_copy_plan' when review_class = 'project_or_technical' then 'retain_in_source' else 'manual_classification_required' end as readiness from rv)"""
-PLAN = rf"""{PROP}, pb as (select *, case when contains(lower(paths), '/finance/') then 'sensitive/finance' when contains(lower(paths), '/study/') then 'documents/study' when contains(lower(paths), '/work/') then 'documents/work' when contains(lower(paths), '/home/') then 'documents/home' else 'documents/unsorted' end as bucket from pr where proposal in ('document_standard', 'document_sensitive')),
-pc as (select *, list_sort(list_transform(list_filter(string_split(paths, '|'), lambda p: starts_with(p, '/data/')), lambda p: struct_pack(d := len(string_split(p[7:], '/')), l := length(p[7:]), p := p[7:])), 'DESC')[1].p as best from pb),
-pd as (select *, string_split(best, '/') as parts, coalesce(list_position(list_transform(string_split(best, '/')[:-2], lambda s: lower(s)), split_part(bucket, '/', 2)), 0) as pos from pc),
-pl as (select * exclude (parts, pos, best), '/target/' || bucket || '/' || array_to_string(list_transform(parts[pos + 1:], lambda s: regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '_+', '_', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')), '/') as target, case when bucket = 'documents/unsorted' then 'manual_target_review' else 'copy_candidate' end as copy_action from pd)"""
+PLAN = rf"""{PROP}, pb as (select *, case when contains(lower(paths), '/study/') and ends_with(lower(path), '.docx') then 'projects' when contains(lower(paths), '/finance/') then 'sensitive/finance' when contains(lower(paths), '/study/') then 'documents/study' when contains(lower(paths), '/work/') then 'documents/work' when contains(lower(paths), '/home/') then 'documents/home' else 'documents/unsorted' end as bucket from pr where proposal in ('document_standard', 'document_sensitive')),
+pq as (select *, list_transform(string_split(paths, '|'), lambda p: string_split(case when starts_with(p, '/data/') then p[7:] else regexp_extract(p, '[^/]*$') end, '/')) as cuts from pb),
+pc as (select *, list_sort(list_filter(list_transform(cuts, lambda c: struct_pack(o := case when c[1] = 'src1' then 0 else 1 end, d := len(case when c[1] = 'src1' then c[2:] else c end), l := length(array_to_string(case when c[1] = 'src1' then c[2:] else c end, '/')), parts := case when c[1] = 'src1' then c[2:] else c end)), lambda x: x.d > 0), 'DESC')[1].parts as parts from pq),
+pd as (select *, coalesce(list_position(list_transform(parts[:-2], lambda s: lower(s)), split_part(bucket, '/', 2)), 0) as pos from pc),
+pl as (select * exclude (parts, pos, cuts), '/target/' || bucket || '/' || array_to_string(list_transform(parts[pos + 1:], lambda s: regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '_+', '_', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')), '/') as target, case bucket when 'projects' then 'retain_project_technical' when 'documents/unsorted' then 'manual_target_review' else 'copy_candidate' end as copy_action,
+  case when starts_with(bucket, 'sensitive/') then 'blocked_sensitive_policy' else 'not_yet_authorized' end as semantic_scope from pd)"""
+#: Words of the given names that stand for sensitive ones.
+WORDS = ("tax", "passport", "report_10", "report_11", "report_12")
 
 
 def _inv(v):
-    return ops.content_inventory(v.files, "/data/src0")
+    return ops.content_inventory(v.files, "/data/src0", WORDS)
 
 
 def _plan(v):
-    return ops.copy_plan(ops.proposal(ops.review_class(_inv(v))), "/target")
+    # Documents in study folders stand for project files, the first source for a wrapper folder.
+    rule = F.contains(F.lower("paths"), F.lit("/study/")) & F.endswith(F.lower("path"), F.lit(".docx"))
+    return ops.copy_plan(ops.proposal(ops.review_class(_inv(v))), "/target", wrapper="src1", technical_rule=rule)
 
 
 @query("m01_file_rules", f"with {RULES} select file_id, category, sensitivity, action, content_key from fr")
 def _(v):
-    return ops.file_rules(v.files).select("file_id", "category", "sensitivity", "action", "content_key")
+    return ops.file_rules(v.files, words=WORDS).select("file_id", "category", "sensitivity", "action", "content_key")
 
 
 @query("m02_content_inventory", f"with {INV} select * from inv")
@@ -61,9 +66,9 @@ def _(v):
     return ops.proposal(ops.review_class(_inv(v))).select("file_id", "proposal", "readiness")
 
 
-@query("m06_copy_plan", f"with {PLAN} select file_id, bucket, target, copy_action from pl")
+@query("m06_copy_plan", f"with {PLAN} select file_id, bucket, target, copy_action, semantic_scope from pl")
 def _(v):
-    return _plan(v).select("file_id", "bucket", "target", "copy_action")
+    return _plan(v).select("file_id", "bucket", "target", "copy_action", "semantic_scope")
 
 
 CROWD = "select file_id, hash_content, size_bytes, path, concat('/target/', case when file_id % 2 = 0 then 'Report_' else 'report_' end, cast(cast(floor(file_id / 12) as bigint) as varchar(20)), '.', extension) as target from files where hash_content is not null"
@@ -90,16 +95,22 @@ def _(v):
     return ops.classification_inventory(v.persisted_groups, v.files)
 
 
-TERM_ROWS = ", ".join(f"('{c}', '{t}')" for c, ts in ops.TERMS.items() for t in ts)
-CLASS = f"""tm(category, term) as (values {TERM_ROWS}), fl as (select f.file_id, d.text, f.filename, f.folder_path from files f join documents d on d.doc_id = f.file_id),
-wd as (select distinct file_id, 5 as w, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) as term from fl union all select distinct file_id, 2, unnest(regexp_split_to_array(lower(filename), '[^a-z0-9]+')) from fl union all select distinct file_id, 1, unnest(regexp_split_to_array(lower(folder_path), '[^a-z0-9]+')) from fl),
-sc as (select file_id, category, sum(w)::bigint as score from wd join tm using (term) group by 1, 2), rk as (select *, row_number() over (partition by file_id order by score desc, category) as k from sc),
-cl as (select f.file_id, coalesce(a.category, 'unknown') as category, coalesce(a.score, 0) as score, coalesce(a.score - coalesce(b.score, 0), 0) as margin, case when a.score is null then 'none' when a.score >= 10 and a.score - coalesce(b.score, 0) >= 5 then 'high' when a.score - coalesce(b.score, 0) > 0 then 'medium' else 'low' end as confidence
-  from fl f left join rk a on a.file_id = f.file_id and a.k = 1 left join rk b on b.file_id = f.file_id and b.k = 2)"""
+#: Words of the invented texts, names and folders, by category.
+TERMS = {"documents/study": ("the", "study", "report", "of the"), "documents/work": ("and", "work", "der", "in the"), "sensitive/finance": ("finance", "les", "tax"), "documents/home": ("home", "las", "und", "de la")}
+TERM_ROWS = ", ".join(f"('{c}', '{t}', {i})" for c, ts in TERMS.items() for i, t in enumerate(ts))
+_CUT = r"regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+')"
+CLASS = f"""tm(category, term, place) as (values {TERM_ROWS}), fl as (select f.file_id, d.text, f.filename, f.folder_path from files f join documents d on d.doc_id = f.file_id),
+wd as (select file_id, 1 as f, 5 as w, {_CUT.format("text")} as words from fl union all select file_id, 2, 2, {_CUT.format("filename")} from fl union all select file_id, 3, 1, {_CUT.format("folder_path")} from fl),
+ws as (select file_id, f, w, words, ' ' || array_to_string(words, ' ') || ' ' as line from wd),
+ht as (select file_id, f, w, category, term, place from ws join tm on contains(line, ' ' || term || ' ')),
+sc as (select f.file_id, c.category, coalesce(sum(w), 0)::int as score, coalesce(string_agg(term, ',' order by place) filter (f = 1), '-') as a, coalesce(string_agg(term, ',' order by place) filter (f = 2), '-') as b, coalesce(string_agg(term, ',' order by place) filter (f = 3), '-') as c from fl f cross join (select distinct category from tm) c left join ht h on h.file_id = f.file_id and h.category = c.category group by 1, 2),
+rk as (select *, row_number() over (partition by file_id order by score desc, category) as k from sc),
+cl as (select a.file_id, case when a.score = 0 then 'documents/unsorted' else a.category end as category, a.score, a.score - b.score as margin, case when a.score = 0 then 'low' when a.score >= 10 and a.score - b.score >= 3 then 'high' when a.score > b.score then 'medium' else 'low' end as confidence, case when a.score = 0 then 'no signals' else 'text=' || a.a || '; filename=' || a.b || '; folder_path=' || a.c end as reasons
+  from rk a join rk b on b.file_id = a.file_id and b.k = 2 where a.k = 1)"""
 
 
 def _classified(v):
-    return ops.classify_content(v.files.join(v.documents.select(F.col("doc_id").alias("file_id"), "text"), "file_id"))
+    return ops.classify_content(v.files.join(v.documents.select(F.col("doc_id").alias("file_id"), "text"), "file_id"), TERMS)
 
 
 @query("m10_classify_content", f"with {CLASS} select * from cl")
@@ -115,7 +126,7 @@ def _(v):
     return ops.extraction_states(v.spark.sql(STATS.replace("from documents", "from {documents}"), documents=v.documents)).select("file_id", "state")
 
 
-@query("m12_classification_plan", rf"""with {CLASS}, p as (select c.*, f.hash_content, case when confidence = 'high' then 'proposed' when category = 'unknown' then 'manual_classification' else 'review_required' end as review_status, '/target/' || category || '/' || filename as target from cl c join files f using (file_id) where deleted_epoch is null and hash_content is not null),
+@query("m12_classification_plan", rf"""with {CLASS}, p as (select c.*, f.hash_content, case when confidence = 'high' then 'proposed' when category = 'documents/unsorted' then 'manual_classification' else 'review_required' end as review_status, '/target/' || category || '/' || filename as target from cl c join files f using (file_id) where deleted_epoch is null and hash_content is not null),
 x as (select lower(target) as lo, count(distinct hash_content) > 1 as crowded from p group by 1)
 select file_id, review_status, case when crowded then regexp_replace(target, '(\.[^./]+)?$', '') || '__' || hash_content[:8] || regexp_extract(target, '(\.[^./]+)$', 1) else target end as target, case when crowded then 'resolved_hash_suffix' else 'clear' end as collision from p join x on lo = lower(target)""")
 def _(v):
@@ -138,14 +149,12 @@ def _(v):
     return latest(rows, ["file_id"], ["event_id"]).select("file_id", "status").join(rows.groupBy("file_id").agg(F.count("*").alias("events")), "file_id")
 
 
-@query("m15_path_repairs", f"""with {LIFE}, r as (select file_id, arg_max(struct_pack(d := decision, t := target_path), created_epoch * 1000000 + review_id) as x from reviews where review_type = 'target' group by 1),
-z as (select file_id, x.d as d, x.t as old_path, '/' || case lifecycle when 'active' then 'active' when 'inactive' then 'archive' else 'review' end || regexp_replace(x.t, '^/[^/]+', '') as new_path from r left join life using (file_id))
-select file_id, old_path, new_path, sha256(concat_ws('|', 'repair', file_id::varchar, new_path)) as event_key from z where d = 'accepted' and old_path <> new_path""")
+@query("m15_path_repairs", f"with {REVIEWED} select file_id, stored_path as old_path, aligned_path as new_path, sha256(concat_ws('|', 'repair', file_id::varchar, aligned_path)) as event_key from pv where needs_correction and decision = 'accepted'")
 def _(v):
-    return ops.path_repairs(workset.path_review(v.files, v.reviews, _life(v)))
+    return ops.path_repairs(_path_review(v))
 
 
-MOVES = "select file_id, path, case when file_id % 11 = 0 then size_bytes + 1 else size_bytes end as size_bytes, case when file_id % 7 = 0 then 'x' else content_sha256 end as content_sha256, case file_id % 5 when 0 then path when 1 then concat('/elsewhere/', filename) else concat('/data/moved/', filename) end as target from files where file_id % 2 = 0"
+MOVES = "select file_id, path, case when file_id % 11 = 0 then size_bytes + 1 else size_bytes end as size_bytes, case when file_id % 7 = 0 then 'x' else content_sha256 end as content_sha256, case file_id % 5 when 0 then path when 1 then concat('/elsewhere/', filename) else concat('/data/moved/', filename) end as target from files"
 
 
 @query("m16_preconditions", f"""with p as ({MOVES}), t as (select distinct lower(path) as lo from files where deleted_epoch is null)

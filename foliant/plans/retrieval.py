@@ -70,7 +70,7 @@ def _(v):
     return ops.pilot_selection(v.files, [F.col("folder_path")], 60)
 
 
-LISTED = "select file_id, case when file_id % 4 = 0 then 'pending' else 'approved' end as approval, case when file_id % 9 = 0 then size_bytes + 1 else size_bytes end as size_bytes, content_sha256 from files where file_id % 2 = 0"
+LISTED = "select file_id, case when file_id % 4 = 0 then 'pending' else 'approved' end as approval, case when file_id % 9 = 0 then size_bytes + 1 else size_bytes end as size_bytes, content_sha256 from files"
 
 
 @query("q08_manifest_check", f"""with m as ({LISTED}) select m.file_id, array_to_string(list_filter([case when approval <> 'approved' then 'not_approved' end, case when f.deleted_epoch is not null then 'gone' end, case when f.size_bytes is distinct from m.size_bytes or f.content_sha256 is distinct from m.content_sha256 then 'changed' end, case when g.golden_file_id is null then 'not_golden' end], lambda x: x is not null), ',') as codes

@@ -62,25 +62,30 @@ def _(v):
 
 @query("e05_canonical", f"with {CAN} select file_id, date_type, evidence_id, value_epoch, source_type, date_only from can")
 def _(v):
-    return ops.canonical(v.evidence, AS_OF)
+    return ops.canonical(v.evidence, AS_OF).drop("zoned")
 
 
-IMPACT = f"""{PROFILE}, prof as ({_pivot("status = 'material_conflict'")}), {CAN}, ch as (select file_id, max(value_epoch) filter (date_type = 'created') as nc, max(value_epoch) filter (date_type = 'modified') as nm from can group by 1),
-r as (select f.file_id, nc, nm, greatest(nm, nc, f.modified_at_fs) as best, greatest(p.modified_epoch, p.created_epoch, f.modified_at_fs) as was, coalesce(p.created_conflict or p.modified_conflict, false) as conflict
-  from files f left join ch using (file_id) left join prof p on p.for_file = f.file_id where f.deleted_epoch is null),
-imp as (select file_id, case when nc > nm then 'created_after_modified' when conflict then 'conflicting_sources' else 'none' end as issue, best as activity_epoch,
-  case when conflict then 'needs_review' when was is null or was > {AS_OF} then 'needs_review' when was >= {AS_OF} - 31536000 then 'active' else 'inactive' end as status_before,
-  case when best is null or best > {AS_OF} then 'needs_review' when best >= {AS_OF} - 31536000 then 'active' else 'inactive' end as status from r)"""
+CUT = f"epoch(make_timestamp({AS_OF}::bigint * 1000000) - to_months(12))::bigint"
+IMPACT = f"""{PROFILE}, prof as ({_pivot("status = 'material_conflict'")}), {CAN}, ch as (select file_id, max(value_epoch) filter (date_type = 'created') as nc, max(value_epoch) filter (date_type = 'modified') as nm, bool_or(zoned) filter (date_type = 'created') as cz, bool_or(zoned) filter (date_type = 'modified') as mz from can group by 1),
+cr as (select file_id, bool_or(value_epoch < {CUT}) as bef, bool_or(value_epoch between {CUT} and {AS_OF}) as wit from ok group by 1),
+r as (select f.file_id, nc, nm, coalesce(nc > nm, false) as late, cz = mz as sure, greatest(case when nm <= {AS_OF} then nm end, case when nc <= {AS_OF} then nc end, case when f.modified_at_fs <= {AS_OF} then f.modified_at_fs end) as best, greatest(p.modified_epoch, p.created_epoch, f.modified_at_fs) as was, coalesce(p.created_conflict or p.modified_conflict, false) as conflict,
+  coalesce(f.modified_at_fs between {CUT} and {AS_OF}, false) as recent, coalesce(bef and wit, false) as both_, p.created_epoch as oc, p.modified_epoch as om from files f left join ch using (file_id) left join cr using (file_id) left join prof p on p.for_file = f.file_id where f.deleted_epoch is null),
+s as (select *, case when late and sure then 'created_after_modified' when late then 'chronology_timezone_ambiguous' else 'none' end as issue, case when conflict and not recent and both_ then 'decision_sensitive' when conflict then 'decision_invariant' else 'none' end as conflict_effect from r),
+imp as (select file_id, issue, conflict_effect, best as activity_epoch, case when conflict or was is null or was > {AS_OF} then 'needs_review' when was >= {CUT} then 'active' else 'inactive' end as status_before,
+  case when issue = 'created_after_modified' or conflict_effect = 'decision_sensitive' or best is null then 'needs_review' when best >= {CUT} then 'active' else 'inactive' end as status,
+  case when issue = 'created_after_modified' then 'created_after_modified' when conflict_effect = 'decision_sensitive' then 'decision_sensitive_conflict' when best is null then 'insufficient_evidence' when best >= {CUT} then 'activity_within_window' when conflict then 'inactive_despite_conflict' else 'activity_outside_window' end as reason,
+  nc is distinct from oc as created_changed, nm is distinct from om as modified_changed from s)"""
 
 
 @query("e06_impact", f"with {IMPACT} select *, status <> status_before as changed from imp")
 def _(v):
-    return ops.impact(v.files, v.evidence, AS_OF, 365 * 86400)
+    return ops.impact(v.files, v.evidence, AS_OF, 12)
 
 
-@query("e07_impact_summary", f"with {IMPACT} select issue, status, count(*) as files, count(*) filter (status <> status_before) as changed from imp group by 1, 2")
+@query("e07_impact_summary", f"with {IMPACT} select issue, status, count(*) as files, count(*) filter (status <> status_before) as changed, count(*) filter (created_changed) as created_changed, count(*) filter (modified_changed) as modified_changed, count(*) filter (conflict_effect = 'decision_sensitive') as sensitive from imp group by 1, 2")
 def _(v):
-    return ops.impact(v.files, v.evidence, AS_OF, 365 * 86400).groupBy("issue", "status").agg(F.count("*").alias("files"), F.count_if("changed").alias("changed"))
+    counts = [F.count("*").alias("files"), *[F.count_if(c).alias(c) for c in ("changed", "created_changed", "modified_changed")], F.count_if(F.col("conflict_effect") == "decision_sensitive").alias("sensitive")]
+    return ops.impact(v.files, v.evidence, AS_OF, 12).groupBy("issue", "status").agg(*counts)
 
 
 DATED = "select doc_id, case when doc_id % 3 = 0 then concat(text, ' on 2024-0', cast(1 + doc_id % 9 as varchar(2)), '-11, 3/4/2021 and 12.10.2020 ') else text end as text from documents"

@@ -98,11 +98,18 @@ TARGETS = "select review_id, file_id, review_type, decision, category, replace(t
 LIFECYCLE = "case lifecycle when 'inactive' then 'archive' else lifecycle end"
 
 
-@query("w08_path_review", f"""with {LIFE}, tg as ({TARGETS}), cl as ({CLASSIFIED}), nw as ({NEWEST}), r as (select file_id, arg_max(struct_pack(d := decision, t := target_path, p := proposed_path, c := category), created_epoch * 1000000 + review_id) as x from tg where review_type = 'target' group by 1),
+REVIEWED = f"""{LIFE}, tg as ({TARGETS}), cl as ({CLASSIFIED}), nw as ({NEWEST}), r as (select file_id, arg_max(struct_pack(d := decision, t := target_path, p := proposed_path, c := category), created_epoch * 1000000 + review_id) as x from tg where review_type = 'target' group by 1),
 n as (select w.file_id, arg_max(suggested_path, nw.created_epoch * 1000000 + proposal_id) as newest from nw join files w on w.file_id = nw.file_id and w.content_sha256 = nw.content_sha256 group by 1),
-z as (select l.file_id, {LIFECYCLE} as lifecycle, x.d as decision, cl.category, cl.family, x.c as corrected_category, coalesce(x.t, x.p, cl.suggested_path, n.newest) as stored_path, '/store/' || case {LIFECYCLE} when 'active' then 'active' when 'archive' then 'archive' else 'review' end || '/' as start from life l left join r using (file_id) left join cl using (file_id) left join n using (file_id))
-select * exclude (start), case when regexp_matches(stored_path, '^/store/(active|archive|review)/') then start || regexp_replace(stored_path, '^/store/(active|archive|review)/', '') else stored_path end as aligned_path, coalesce(regexp_matches(stored_path, '^/store/(active|archive|review)/') and not starts_with(stored_path, start), false) as needs_correction from z""")
+z as (select l.file_id, {LIFECYCLE} as lifecycle, x.d as decision, cl.category, cl.family, x.c as corrected_category, coalesce(x.t, x.p, cl.suggested_path, n.newest) as stored_path, '/store/' || case {LIFECYCLE} when 'active' then 'active' when 'archive' then 'archive' else 'review' end || '/' as start from life l left join r using (file_id) left join cl using (file_id) left join n using (file_id)),
+pv as (select * exclude (start), case when regexp_matches(stored_path, '^/store/(active|archive|review)/') then start || regexp_replace(stored_path, '^/store/(active|archive|review)/', '') else stored_path end as aligned_path, coalesce(regexp_matches(stored_path, '^/store/(active|archive|review)/') and not starts_with(stored_path, start), false) as needs_correction from z)"""
+
+
+@query("w08_path_review", f"with {REVIEWED} select * from pv")
 def _(v):
+    return _path_review(v)
+
+
+def _path_review(v):
     sql = lambda q, **t: v.spark.sql(re.sub(r"\b(from|join) (files|events|reviews)\b", r"\1 {\2}", q), **t)
     life = _life(v).select("file_id", F.when(F.col("lifecycle") == "inactive", "archive").otherwise(F.col("lifecycle")).alias("lifecycle")).join(v.files.select("file_id", "content_sha256"), "file_id")
     return ops.path_review(life, sql(TARGETS, reviews=v.reviews), sql(CLASSIFIED, files=v.files), sql(NEWEST, files=v.files, events=v.events), "/store")
