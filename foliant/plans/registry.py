@@ -27,7 +27,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-
-
-
-from foliant.plans import classify, golden, ingest, inventory, learning, migration, retrieval, temporal, workset  # noqa: E402, F401
+from foliant.plans import classify, golden, ingest, inventory, learning, migration, retrieval, sources, temporal, workset  # noqa: E402, F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLAIN = ("txt", "md", "csv")
-PARTS = {"docx": "word/document.xml", "xlsx": "xl/sharedStrings.xml", "pptx": "ppt/slides/slide1.xml"}
+#: Parts of office files that hold text: the body; shared strings, then strings written in cells; every slide.
+PARTS = {"docx": r"word/document\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml", "pptx": r"ppt/slides/slide\d+\.xml"}
 STATS = "path string, size_bytes long, characters long, words long, status string"
 DATES = "path string, date_type string, raw string"
 _NAMES = {"created": "{http://purl.org/dc/terms/}created", "modified": "{http://purl.org/dc/terms/}modified"}
@@ -33,10 +35,13 @@ def text_of(path: str, content: bytes) -> tuple[str | None, str]:
     elif kind in PARTS:
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                root = ElementTree.fromstring(archive.read(PARTS[kind]))
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                names = [n for n in archive.namelist() if re.fullmatch(PARTS[kind], n)]
+                roots = [ElementTree.fromstring(archive.read(n)) for n in sorted(names, key=lambda n: (n.count("/"), len(n), n))]
+        except (zipfile.BadZipFile, ElementTree.ParseError):
             return None, "error"
-        text = " ".join(e.text for e in root.iter() if e.tag.rpartition("}")[2] == "t" and e.text)
+        if not roots and kind != "xlsx":
+            return None, "error"
+        text = " ".join(e.text for root in roots for e in root.iter() if e.tag.rpartition("}")[2] == "t" and e.text)
     else:
         return None, "needs_ocr" if kind in ("pdf", "jpg", "png", "tif") else "skipped"
     return text, "extracted" if text.strip() else "no_text"

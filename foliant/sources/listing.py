@@ -79,5 +79,29 @@ MANIFEST = T.StructType(
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(version, file_id, approval, path), one row for each listed file of JSON manifests."""
-    docs = spark.read.option("multiLine", True).schema(MANIFEST).json(path)
+    return _listed(spark.read.option("multiLine", True).schema(MANIFEST).json(path))
+
+
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one manifest in each line."""
+    return _listed(spark.read.schema(MANIFEST).json(path))
+
+
+def _listed(docs: DataFrame) -> DataFrame:
     return docs.select("version", F.explode("files").alias("f")).select("version", "f.*")
+
+
+def read_table(spark: SparkSession, url: str, table: str, split_by: str | None = None, parts: int = 8, options: dict[str, str] | None = None) -> DataFrame:
+    """A table of a relational database over JDBC, read in ``parts`` ranges of the whole-number column ``split_by``, whose bounds are asked for first."""
+    reader = spark.read.format("jdbc").options(url=url, **(options or {}))
+    if not split_by:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("dbtable", f'(select min("{split_by}") as "low", max("{split_by}") as "high" from {table}) bounds').load().first()
+    if low is None:
+        return reader.option("dbtable", table).load()
+    return reader.options(dbtable=table, partitionColumn=split_by, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts)).load()
+
+
+def write_table(df: DataFrame, url: str, table: str, mode: str = "error", parts: int = 8, options: dict[str, str] | None = None) -> None:
+    """Writes a table of a relational database over JDBC, over ``parts`` connections at most."""
+    df.write.format("jdbc").options(url=url, dbtable=table, numPartitions=str(parts), **(options or {})).mode(mode).save()

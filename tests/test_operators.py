@@ -249,3 +249,28 @@ def test_files_are_listed_and_read(spark, tmp_path):
     stats = {r.path.rsplit("/", 1)[1]: (r.words, r.status) for r in extract.text_stats(files).collect()}
     assert stats == {"a.txt": (2, "extracted"), "b.pdf": (0, "needs_ocr"), "c.docx": (3, "extracted"), "d.docx": (0, "error")}
     assert [(r.date_type, r.raw) for r in extract.office_dates(files).collect()] == [("created", "2024-01-02T03:04:05Z")]
+
+
+def test_relational_tables_are_read_in_ranges(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(100).selectExpr("id as file_id", "concat('n', id) as name")
+    listing.write_table(rows, url, "files", parts=2, options=options)
+    found = listing.read_table(spark, url, "files", "file_id", parts=4, options=options)
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted((r[0], r[1]) for r in found.collect()) == [(i, f"n{i}") for i in range(100)]
+    assert listing.read_table(spark, url, "files", options=options).count() == 100
+
+
+def test_every_slide_and_inline_string_is_read():
+    def archive(parts):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return held.getvalue()
+
+    slides = archive({f"ppt/slides/slide{i}.xml": f"<a xmlns:a='a'><a:t>slide {i}</a:t></a>" for i in (10, 2, 1)})
+    assert extract.text_of("x.pptx", slides) == ("slide 1 slide 2 slide 10", "extracted")
+    sheets = archive({"xl/sharedStrings.xml": "<s><si><t>shared</t></si></s>", "xl/worksheets/sheet1.xml": "<w><c><is><t>inline</t></is></c><c><v>5</v></c></w>"})
+    assert extract.text_of("x.xlsx", sheets) == ("shared inline", "extracted")
+    assert extract.text_of("x.docx", archive({"other.xml": "<a/>"})) == (None, "error") and extract.text_of("x.xlsx", archive({"other.xml": "<a/>"})) == ("", "no_text")
