@@ -123,12 +123,17 @@ b as (select query_id, file_id, max(similarity) as similarity from sm group by 1
 def _(v):
     # Each chunk of a source document is a query of its own; documents take their best pair, so eleven files of each chunk are enough.
     rows = v.chunk_vectors.where("file_id % 100 = 0")
-    sources = rows.select((F.col("file_id") * 2 + F.col("ordinal")).alias("query_id"), "embedding")
-    hits = ops.top_files(sources, v.chunk_vectors, 11).withColumn("source", F.floor(F.col("query_id") / 2)).where("source <> file_id")
+    sources = rows.select(F.xxhash64("file_id", "ordinal").alias("query_id"), F.col("file_id").alias("source"), "embedding")
+    hits = ops.top_files(sources, v.chunk_vectors, 11).join(sources.select("query_id", "source"), "query_id").where("source <> file_id")
     best = hits.groupBy(F.col("source").alias("query_id"), "file_id").agg(F.max("similarity").alias("similarity"))
     return ops.top_per(best, ["query_id"], [F.desc("similarity"), "file_id"], 10)
 
 
+@query("q12b_neighbours")
+def _(v):
+    return ops.neighbours(v.chunk_vectors.where("file_id % 100 = 0"), v.chunk_vectors, 10)
+
+
 JUDGED = "jd as (select q.vec_id as query_id, c.file_id, max(case when c.label = q.label then 2 when c.label = q.label + 1 then 1 else 0 end) as grade from embeddings q cross join chunk_vectors c where q.vec_id % 100 = 0 group by 1, 2)"
 
 

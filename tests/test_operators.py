@@ -1,8 +1,11 @@
 """Small fixtures for each family; whole-table results are held against SQL in test_queries.py."""
 
+import difflib
 import io
+import random
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.functions.common import uuid5
@@ -274,3 +277,45 @@ def test_every_slide_and_inline_string_is_read():
     sheets = archive({"xl/sharedStrings.xml": "<s><si><t>shared</t></si></s>", "xl/worksheets/sheet1.xml": "<w><c><is><t>inline</t></is></c><c><v>5</v></c></w>"})
     assert extract.text_of("x.xlsx", sheets) == ("shared inline", "extracted")
     assert extract.text_of("x.docx", archive({"other.xml": "<a/>"})) == (None, "error") and extract.text_of("x.xlsx", archive({"other.xml": "<a/>"})) == ("", "no_text")
+
+
+def test_neighbours_find_nine_of_ten_and_all_with_all_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    vectors = centres[rng.integers(0, 30, 1500)] + 0.6 * rng.normal(size=(1500, 16))
+    chunks = spark.createDataFrame([(i // 2, i % 2, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, 0, [0.0] * 16)], "file_id long, ordinal int, embedding array<double>")
+    queries = chunks.where("file_id % 10 = 0")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    score = np.round(unit @ unit.T, 6)
+    want = {}
+    for q in range(0, 750, 10):
+        best = {f: max(score[a, b] for a in (2 * q, 2 * q + 1) for b in (2 * f, 2 * f + 1)) for f in range(750) if f != q}
+        want[q] = sorted(best, key=lambda f: (-best[f], f))[:5]
+    for probes, least in ((32, 1.0), (10, 0.9)):
+        got = {}
+        for r in retrieval.neighbours(queries, chunks, 5, cells=32, probes=probes).collect():
+            got.setdefault(r.file_id, set()).add(r.other_id)
+        assert sum(len(got[q] & set(w)) for q, w in want.items()) >= least * sum(map(len, want.values()))
+    assert retrieval.neighbours(queries, chunks.limit(0), 5).count() == 0
+
+
+def test_close_paths_equal_brute_force(spark):
+    rnd = random.Random(3)
+    names = ["alpha", "alphas", "Alpha", "beta-one", "beta_one", "gamma", "gamme"]
+    known = sorted({"/" + "/".join(rnd.choice(names) for _ in range(rnd.randint(1, 4))) for _ in range(80)})
+    entered = [(i, "/" + "/".join(rnd.choice([*names, "delta"]) for _ in range(rnd.randint(1, 4)))) for i in range(60)]
+    want = {}
+    for i, path in entered:
+        found = []
+        for other in known:
+            a, b = path.split("/"), other.split("/")
+            differ = [k for k in range(len(a)) if a[k] != b[k]] if len(a) == len(b) else []
+            if len(differ) == 1:
+                x, y = a[differ[0]].lower(), b[differ[0]].lower()
+                ratio = 2.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+                if ratio >= 0.84:
+                    found.append((-ratio, other))
+        if found:
+            want[i] = (min(found)[1], min(1.0, -min(found)[0]))
+    got = classify.close_paths(spark.createDataFrame(entered, "file_id long, path string"), spark.createDataFrame([(k,) for k in known], "path string"))
+    assert {r.file_id: (r.suggestion, r.similarity) for r in got.collect()} == want and len(want) > 5
