@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.common import first_of, latest, the_one, top_per, uuid5
@@ -48,9 +50,12 @@ def family_candidates(reviews: DataFrame, support: int = 3) -> DataFrame:
 def correction_rules(reviews: DataFrame) -> DataFrame:
     """(source family, category, family) of all accepted and corrected reviews: support, paths, conflict and the first five files."""
     rows = reviews.where("review_type = 'target' and decision <> 'rejected' and family is not null")
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("source_family", "category", "family").orderBy(*ORDER)))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= 5, F.struct("_k", "file_id")))), lambda s: s["file_id"].cast("string")), ",")
-    rules = ranked.groupBy("source_family", "category", "family").agg(F.count("*").alias("support"), F.countDistinct("target_path").alias("paths"), first.alias("examples"))
+    keys = ["source_family", "category", "family"]
+    # The limit on the rank is applied before the shuffle.
+    five = top_per(rows.select(*keys, "file_id", *[c for c in ORDER if isinstance(c, str)]), keys, ORDER, 5, "_k").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "file_id"))), lambda s: s["file_id"].cast("string")), ",").alias("examples"))
+    rules = rows.groupBy(*keys).agg(F.count("*").alias("support"), F.countDistinct("target_path").alias("paths"))
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    rules = rules.alias("a").join(five.alias("b"), same).select("a.*", "b.examples")
     return rules.withColumn("confidence", first_of((F.col("paths") > 1, "conflict"), (F.col("support") >= 3, "high"), (F.col("support") == 2, "medium"), default="low"))
 
 

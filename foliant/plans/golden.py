@@ -35,7 +35,7 @@ def _(v):
 
 
 @query("g04_manifest", f"""with {CAND}, m as (select c.*, p.golden_file_id as existing_id, exists (select 1 from cand x where x.content_sha256 = c.content_sha256 and x.size_bytes = c.size_bytes and x.file_id = p.golden_file_id) as member,
-  coalesce((select string_agg(r.file_id::varchar, ',' order by r.rk) from ranked r where r.content_sha256 = c.content_sha256 and r.size_bytes = c.size_bytes and r.rk > 1), '') as alternatives
+  coalesce((select string_agg(r.file_id::varchar, ',' order by r.rk) from ranked r where r.content_sha256 = c.content_sha256 and r.size_bytes = c.size_bytes and r.rk between 2 and 11), '') as alternatives
   from chosen c left join persisted_groups p on p.content_sha256 = c.content_sha256 and p.size_bytes = c.size_bytes),
 n as (select *, case when existing_id is null then 'new_proposal' when not member then 'persisted_golden_outside_assessment_scope' when existing_id = golden_file_id then 'unchanged' else 'golden_change_review' end as change from m)
 select * exclude (member), case when change = 'golden_change_review' then 'persisted_golden_would_change' when change = 'persisted_golden_outside_assessment_scope' then change when comparison = 'low' then 'deterministic_tiebreak_between_exact_copies'
@@ -44,6 +44,11 @@ def _(v):
     return ops.manifest(v.files, v.persisted_groups)
 
 
+@query("g04b_alternatives", f"with {CAND} select r.content_sha256, r.size_bytes, r.file_id, r.score, c.golden_file_id from ranked r join chosen c on c.content_sha256 = r.content_sha256 and c.size_bytes = r.size_bytes where r.rk > 1")
+def _(v):
+    return ops.alternatives(v.files)
+
+
 @query("g05_regroup_events", f"""with {CAND}, t as (select distinct content_sha256, size_bytes from files where file_id % 4 = 1 and content_sha256 is not null)
 select * from (select content_sha256, size_bytes, o.golden_file_id as old_id, n.golden_file_id as new_id, case when o.golden_file_id is null then 'GOLDEN_RECORD_SELECTED' when n.golden_file_id is null then 'GROUP_REMOVED' when o.golden_file_id <> n.golden_file_id then 'GOLDEN_RECORD_CHANGED' end as event
   from t left join persisted_groups o using (content_sha256, size_bytes) left join chosen n using (content_sha256, size_bytes) where o.golden_file_id is not null or n.golden_file_id is not null) where event is not null""")
