@@ -123,7 +123,7 @@ def similar_proposals(files: DataFrame, reviews: DataFrame) -> DataFrame:
     or more take part. Votes are counted by (identity, judgment) before they meet the files.
     """
     stem = lambda c: F.lower(F.regexp_replace(c, r"(?<=.)\.[^.]+$", ""))
-    able = lambda df: df.where(F.lower("extension").isin("pdf", "docx", "xlsx")).withColumns({"identity": identity_name(F.col("filename")), "stem": stem("filename")}).where(F.length("identity") >= 5)
+    able = lambda df: df.where(F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).isin("pdf", "docx", "xlsx")).withColumns({"identity": identity_name(F.col("filename")), "stem": stem("filename")}).where(F.length("identity") >= 5)
     accepted = able(targets(reviews).where("decision = 'accepted' and category is not null and family is not null"))
     votes = accepted.groupBy("identity", "category", "family").agg(F.count("*").alias("votes"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "category", "family")))  # judgments of one name are few

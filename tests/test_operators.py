@@ -171,10 +171,11 @@ def reviews(spark, *rows):
 
 
 def test_conflicting_reviews_are_not_reused_and_the_latest_counts(spark):
-    said = reviews(spark, (1, 1, "target", "accepted", "work", "f", "s", None, "/t/w/a", "plan v1.pdf", "/a/plan v1.pdf", 1), (2, 2, "target", "accepted", "home", "f", "s", None, "/t/h/a", "plan (2).pdf", "/b/plan (2).pdf", 2), (3, 3, "target", "rejected", "home", "f", "s", None, None, "memo.pdf", "/b/memo.pdf", 2), (4, 3, "target", "accepted", "work", "f", "s", None, "/t/w/m", "memo.pdf", "/b/memo.pdf", 3))
-    files = spark.createDataFrame([(10, "plan-final.pdf", None), (11, "memo copy.pdf", None), (12, "other.pdf", None)], "file_id long, filename string, deleted_epoch long")
+    said = reviews(spark, (1, 1, "target", "accepted", "work", "f", "s", None, "/t/w/a", "planning (1).pdf", "/a/p", 1), (2, 2, "target", "accepted", "home", "f", "s", None, "/t/h/a", "planning (2).pdf", "/b/p", 2), (3, 3, "target", "rejected", "home", "f", "s", None, None, "minutes.pdf", "/b/m", 2), (4, 3, "target", "accepted", "work", "f", "s", None, "/t/w/m", "minutes.pdf", "/b/m", 3))
+    names = ["Planning 2023.pdf", "minutes - copy.pdf", "minutes.docx", "other.pdf", "minutes.txt", "minutes_20240101 NL.xlsx"]
+    files = spark.createDataFrame([(10 + i, n, None) for i, n in enumerate(names)] + [(3, "minutes.pdf", None)], "file_id long, filename string, deleted_epoch long")
     found = {r.file_id: (r.status, r.category, r.score) for r in learning.similar_proposals(files, said).collect()}
-    assert found == {10: ("conflict", None, None), 11: ("proposed", "work", 1.0)}
+    assert found == {10: ("conflict", None, 0.95), 11: ("proposed", "work", 0.95), 12: ("proposed", "work", 1.0), 15: ("proposed", "work", 0.95)}
     assert {r.review_id for r in learning.latest_reviews(said).collect()} == {1, 2, 4}
 
 
