@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, substrings, suffix_tree, tokenfiles
-from foliant.llm.common import crc_mod, keyed, shared_dir, table, text_bytes
+from foliant.llm import alignment, chat, decontaminate, langid, mixing, quality, sharding, simhash, substrings, suffix_tree, tokenfiles
+from foliant.llm.common import crc_mod, keyed, scratch, shared_dir, table, text_bytes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -171,3 +171,12 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit,
   sha256(coalesce(t.ids, '')) as items_sha256, coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(d.w) as contaminated
 from doc d left join words h using (doc_id) left join items t using (doc_id)
 """
+
+
+@query
+def op13_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return alignment.with_counts(scratch(groups.withColumn("groups_sha256", digest).drop("groups"), "aligned")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
