@@ -10,11 +10,11 @@ token that goes on over it. So texts divide there first, and each distinct segme
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import scratch, text_bytes
 
-#: Segments that a worker keeps, and their characters.
-KEPT_SEGMENTS, KEPT_CHARACTERS = 150_000, 4_000_000
+#: Segments that a worker keeps, their characters, and those of the longest that outlives others.
+KEPT_SEGMENTS, KEPT_CHARACTERS, LONGEST_KEPT = 400_000, 8_000_000, 200
 #: Characters of texts that are cut into segments at once.
 AT_ONCE = 400_000
 #: Different id pairs of the corpus that are broadcast (17 bytes each); beyond, documents meet their pairs by a join.
@@ -43,32 +43,45 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def shared_cuts(a: list[int], b: list[int]) -> list[int]:
-    """Ends that two sorted lists of token ends share, in order; the last end of both is one. Divide and conquer.
+def shared_cuts(a: np.ndarray, b: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Ends that two sorted arrays of token ends share, in order; the last end of both is one. Divide and conquer.
 
-    An interval is cut at the shared end that is nearest to the middle of its shorter side, counted in tokens.
+    An interval is cut at the shared end that is nearest to the middle of its shorter side, counted in tokens; all intervals
+    are searched side by side. ``first``: shared ends that are known already, in order.
     """
-    cuts: list[int] = []
-    open_ = [(0, len(a) - 1, 0, len(b) - 1)]
-    while open_:
-        a0, a1, b0, b1 = open_.pop()
-        if a0 == a1 or b0 == b1:  # one token on a side: no end inside
-            cuts.append(a[a1])
-            continue
-        x, x0, x1, y, y0, y1 = (a, a0, a1, b, b0, b1) if a1 - a0 <= b1 - b0 else (b, b0, b1, a, a0, a1)
-        middle = (x0 + x1 - 1) // 2
-        for step in range(x1 - x0 + 1):
-            i = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-            if not x0 <= i < x1:
-                continue
-            j = bisect_left(y, x[i], y0, y1)
-            if j < y1 and y[j] == x[i]:
-                i, j = (i, j) if x is a else (j, i)
-                open_ += [(i + 1, a1, j + 1, b1), (a0, i, b0, j)]
-                break
-        else:
-            cuts.append(a[a1])
-    return cuts
+    known = np.empty(0, np.int64) if not len(a) else a[-1:] if first is None or not len(first) else first if first[-1] == a[-1] else np.append(first, a[-1])
+    # Tokens from x0 to x1 of one side and y0 to y1 of the other, both with the interval's shared last end.
+    a1, b1 = np.searchsorted(a, known), np.searchsorted(b, known)
+    a0, b0 = (np.concatenate(([0], x[:-1] + 1)) for x in (a1, b1))
+    cuts = [known]
+    while len(a0):
+        inner = (a0 < a1) & (b0 < b1)
+        a0, a1, b0, b1 = a0[inner], a1[inner], b0[inner], b1[inner]
+        swap = a1 - a0 > b1 - b0
+        open_, step = np.arange(len(a0)), 0
+        at_a, at_b = np.full(len(a0), -1), np.full(len(a0), -1)
+        size = np.where(swap, b1 - b0, a1 - a0)
+        middle = np.where(swap, b0 + b1 - 1, a0 + a1 - 1) // 2
+        while len(open_):
+            i = middle[open_] + (step + 1) // 2 * (1 if step % 2 else -1)
+            swapped = swap[open_]
+            low, high = np.where(swapped, b0[open_], a0[open_]), np.where(swapped, b1[open_], a1[open_])
+            ok = (i >= low) & (i < high)
+            i = np.where(ok, i, low)
+            end = np.where(swapped, b[np.minimum(i, len(b) - 1)], a[np.minimum(i, len(a) - 1)])
+            j = np.where(swapped, np.searchsorted(a, end), np.searchsorted(b, end))
+            other = np.where(swapped, a[np.minimum(j, len(a) - 1)], b[np.minimum(j, len(b) - 1)])
+            hit = ok & (other == end)
+            at_a[open_[hit]] = np.where(swapped, j, i)[hit]
+            at_b[open_[hit]] = np.where(swapped, i, j)[hit]
+            step += 1
+            open_ = open_[~hit & (step <= size[open_])]
+        found = at_a >= 0
+        a0, a1, b0, b1, at_a, at_b = (x[found] for x in (a0, a1, b0, b1, at_a, at_b))
+        cuts.append(a[at_a])
+        a0, a1 = np.concatenate((a0, at_a + 1)), np.concatenate((at_a, a1))
+        b0, b1 = np.concatenate((b0, at_b + 1)), np.concatenate((at_b, b1))
+    return np.sort(np.concatenate(cuts))
 
 
 class Growing:
@@ -105,8 +118,9 @@ class Segments:
             self.bytes_a[i] = bytes(of_char[c] for c in entry) if all(c in of_char for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        #: Else texts are one segment each.
-        self.divides = not any(re.search(rb"[^ ] ", x) for x in [*self.bytes_a, *self.bytes_b])
+        # A splits texts by the byte-level pattern, where a space begins a token; no piece of B goes on over one. Else texts are one segment each.
+        before = json.loads(self.a.to_str()).get("pre_tokenizer") or {}
+        self.divides = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any(re.search(rb"[^ ] ", x) for x in self.bytes_b)
         self.len_a, self.len_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
         self.clear()
 
@@ -118,9 +132,26 @@ class Segments:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.held = 0
         self.groups: list[str | None] = []
-        self.counts, self.first, self.links = Growing(np.int64, 4), Growing(np.int64), Growing(np.uint64)
+        self.held = 0
+        self.counts, self.first, self.links, self.seen = Growing(np.int64, 4), Growing(np.int64), Growing(np.uint64), Growing(np.int64)
+
+    def make_room(self) -> None:
+        """Forgets all segments but the most frequent ones of those that came more than once."""
+        seen = self.seen.data[: self.seen.size]
+        often = max(2, int(np.partition(seen, -(KEPT_SEGMENTS // 3))[-(KEPT_SEGMENTS // 3)]) + 1 if len(seen) > KEPT_SEGMENTS // 3 else 2)
+        kept = [(s, self.groups[i], i) for s, i in self.number.items() if seen[i] >= often and len(s) <= LONGEST_KEPT]
+        counts, first, links = self.counts.data, self.first.data, self.links.data
+        self.clear()
+        at = np.array([i for _, _, i in kept], np.int64)
+        self.number.update((s, k) for k, (s, _, _) in enumerate(kept))
+        self.groups = [g for _, g, _ in kept]
+        self.held = sum(map(len, self.number))
+        n = counts[at, 3]
+        self.counts.extend(counts[at])
+        self.first.extend(np.cumsum(n) - n)
+        self.links.extend(links[spread(first[at], n)])
+        self.seen.extend(np.ones(len(at), np.int64))
 
     def cut(self, text: str) -> list[str]:
         """Segments of a text, each without the space before it; the text follows a space itself."""
@@ -132,37 +163,56 @@ class Segments:
         return [first[1:], *rest]
 
     def learn(self, segments: Iterable[str]) -> None:
-        """Encodes segments that the store hasn't got, and cuts each at the ends that both sides share."""
+        """Encodes segments that the store hasn't got, and cuts them at the ends that both sides share."""
         new = [s for s in segments if s not in self.number]
         if not new:
             return
-        ids_a = [e.ids for e in self.a.encode_batch([f" {s}" for s in new], add_special_tokens=False)]
+        bodies = [b" " + s.encode() for s in new]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {s}" for s in new], add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
-        counts, good_a, good_b = [], [], []
-        for s, a, b in zip(new, ids_a, ids_b, strict=True):
-            in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(in_a) == b" " + s.encode() == b"".join(in_b):
-                groups = grouped(a, b, list(accumulate(map(len, in_a))), list(accumulate(map(len, in_b))))
-                n_groups = groups.count(";") + 1
-                counts.append((len(a), len(b), n_groups, len(a) + len(b) - n_groups))
-                self.groups.append(groups)
-                good_a += a
-                good_b += b
-            else:
-                counts.append((0, 0, 0, 0))
-                self.groups.append(None)
-            self.held += len(s)
+        flat = [list(chain.from_iterable(ids)) for ids in (ids_a, ids_b)]
+        whole = b"".join(bodies)
+        if all(b"".join([of[i] for i in ids]) == whole for of, ids in zip((self.bytes_a, self.bytes_b), flat, strict=True)) and self._sizes_agree(bodies, (ids_a, ids_b), flat):
+            same = [True] * len(new)
+        else:
+            same = [b"".join([self.bytes_a[i] for i in a]) == body == b"".join([self.bytes_b[i] for i in b]) for body, a, b in zip(bodies, ids_a, ids_b, strict=True)]
+            flat = [[i for ids, ok in zip(side, same, strict=True) if ok for i in ids] for side in (ids_a, ids_b)]
+        # All that can be aligned side by side: ends of segments are shared ones.
+        size = np.cumsum([len(body) for body, ok in zip(bodies, same, strict=True) if ok])
+        a, b = (np.array(ids, np.int64) for ids in flat)
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        cuts = shared_cuts(ends_a, ends_b, size)
+        groups = grouped(a, b, np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1)
+        last = np.concatenate(([0], np.searchsorted(cuts, size) + 1)) if len(size) else np.zeros(1, np.int64)
+        n_groups = np.diff(last)
+        counts = np.zeros((len(new), 4), np.int64)
+        n_a, n_b = (np.array([len(ids) for ids, ok in zip(side, same, strict=True) if ok], np.int64) for side in (ids_a, ids_b))
+        counts[np.array(same)] = np.column_stack((n_a, n_b, n_groups, n_a + n_b - n_groups))
         base = len(self.number)
         self.number.update((s, base + k) for k, s in enumerate(new))
-        found = np.array(counts, np.int64)
-        self.counts.extend(found)
-        self.first.extend(self.links.size + np.cumsum(found[:, 3]) - found[:, 3])
-        self.links.extend(self.linked(np.array(good_a, np.int64), np.array(good_b, np.int64)))
+        spans = iter(zip(last[:-1].tolist(), last[1:].tolist(), strict=True))
+        self.groups += [";".join(groups[slice(*next(spans))]) if ok else None for ok in same]
+        self.held += sum(map(len, new))
+        self.counts.extend(counts)
+        self.first.extend(self.links.size + np.cumsum(counts[:, 3]) - counts[:, 3])
+        self.seen.extend(np.zeros(len(new), np.int64))
+        self.links.extend(self.linked(a, b))
+
+    def _sizes_agree(self, bodies: list[bytes], sides: tuple, flat: list[list[int]]) -> bool:
+        """Whether each segment's tokens have as many bytes as the segment, on either side."""
+        want = np.cumsum(list(map(len, bodies)))
+        for lengths, side, ids in zip((self.len_a, self.len_b), sides, flat, strict=True):
+            ends = np.cumsum(lengths[np.array(ids, np.int64)])
+            n = np.array(list(map(len, side)))
+            if not n.all() or (ends[np.cumsum(n) - 1] != want).any():
+                return False
+        return True
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs of tokens of the same bytes that have a byte in common, as a * 2^32 + b: one for each stretch between ends of either side."""
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
         return a[np.searchsorted(ends_a, ends)].astype(np.uint64) << np.uint64(32) | b[np.searchsorted(ends_b, ends)].astype(np.uint64)
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple]:
@@ -171,9 +221,9 @@ class Segments:
         cut = [self.cut(t) if t else [] for t in texts]
         distinct = set().union(*cut) if cut else set()
         if len(self.number) + len(distinct) > KEPT_SEGMENTS or self.held > KEPT_CHARACTERS:
-            self.clear()
+            self.make_room()
         self.learn(distinct)
-        get = self.number.__getitem__
+        get, places = self.number.__getitem__, []
         for segments in cut:
             if not segments:
                 yield none
@@ -183,21 +233,30 @@ class Segments:
             if not counts[:, 0].all():
                 yield none
                 continue
-            n = counts[:, 3]
-            ends = np.cumsum(n)
-            links = self.links.data[np.arange(ends[-1]) + np.repeat(self.first.data[at] - ends + n, n)]
-            pairs, times = np.unique(links, return_counts=True)
-            yield (*map(int, counts.sum(axis=0)), ";".join([self.groups[i] for i in at.tolist()]), pairs.tobytes(), times.astype("<u4").tobytes())
+            links = np.sort(self.links.data[spread(self.first.data[at], counts[:, 3])])
+            first = np.flatnonzero(np.concatenate(([True], links[1:] != links[:-1])))
+            times = np.diff(np.append(first, len(links)))
+            places.append(at)
+            yield (*map(int, counts.sum(axis=0)), ";".join([self.groups[i] for i in at.tolist()]), links[first].tobytes(), times.astype("<u4").tobytes())
+        if places:
+            self.seen.data[: self.seen.size] += np.bincount(np.concatenate(places), minlength=self.seen.size)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, … of each of the runs, n long, one run after the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)
 
 
-def grouped(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
-    """Groups of two encodings of the same bytes, as a1,a2|b1;a3|b2,b3."""
+def grouped(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
+    """Groups as a1,a2|b1: the ids of either side up to each of the given places."""
+    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
     out, i, j = [], 0, 0
-    for cut in shared_cuts(ends_a, ends_b):
-        i2, j2 = bisect_left(ends_a, cut, i) + 1, bisect_left(ends_b, cut, j) + 1
-        out.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
+    for i2, j2 in zip(to_a.tolist(), to_b.tolist(), strict=True):
+        left = a[i] if i2 == i + 1 else ",".join(a[i:i2])
+        out.append(f"{left}|{b[j] if j2 == j + 1 else ','.join(b[j:j2])}")
         i, j = i2, j2
-    return ";".join(out)
+    return out
 
 
 def default_tokenizers() -> tuple[str, str]:

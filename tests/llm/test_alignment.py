@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,7 +88,9 @@ def test_empty_table(spark):
 @given(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60)))
 def test_cuts_are_all_shared_ends(a, b):
     a, b = sorted(a | {61}), sorted(b | {61})
-    assert alignment.shared_cuts(a, b) == sorted(set(a) & set(b))
+    shared = sorted(set(a) & set(b))
+    assert alignment.shared_cuts(np.array(a), np.array(b)).tolist() == shared
+    assert alignment.shared_cuts(np.array(a), np.array(b), np.array(shared[::3])).tolist() == shared
 
 
 @settings(max_examples=150, deadline=None)
