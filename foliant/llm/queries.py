@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import alignment, chat, decontaminate, langid, mixing, quality, sharding, simhash, substrings, suffix_tree, tokenfiles
+from foliant.llm import alignment, chat, decontaminate, langid, maintext, mixing, quality, sharding, simhash, substrings, suffix_tree, tokenfiles, whitening
 from foliant.llm.common import crc_mod, keyed, scratch, shared_dir, table, text_bytes
 
 QUERIES: dict = {}
@@ -173,6 +173,22 @@ from doc d left join words h using (doc_id) left join items t using (doc_id)
 """
 
 
+@query
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    spread = whitening.whiten(vectors, model).select("vec_id", "whitening.deviation", F.posexplode("whitening.values").alias("k", "whitened"))
+    explained = F.element_at(F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>"), F.col("component"))
+    named = spread.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened")
+    return named.withColumns({"explained": explained, "identity_error": F.lit(model.identity_error)})
+
+
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = maintext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), to="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op13_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = alignment.align(table(spark, sf_dir, "documents"))
