@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.operators import history
+from foliant.operators.history import move_class  # noqa: F401
+
 
 def signature(mtime: str = "mtime", size: str = "size_bytes", inode: str = "inode") -> Column:
     return F.concat_ws(":", F.col(mtime).cast("long"), F.col(size), F.col(inode))
@@ -96,63 +99,22 @@ def latest_per_path(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("_e")).select("path", "_e.*")
 
 
-def _moves(last: DataFrame) -> DataFrame:
-    """(old_path, new_path, ts, event_id): where the file at each old path went, moves in a row followed to their end."""
-    later = lambda a, b: F.struct(f"{a}.ts", f"{a}.event_id") > F.struct(f"{b}.ts", f"{b}.event_id")
-    hops = last.where((F.col("event") == "MOVE") & F.col("old_path").isNotNull())
-    hops = hops.groupBy("old_path").agg(F.max_by(F.struct(F.col("path").alias("new_path"), "ts", "event_id"), F.struct("ts", "event_id")).alias("m")).select("old_path", "m.*")
-    while True:
-        joined = hops.alias("a").join(hops.alias("b"), (F.col("a.new_path") == F.col("b.old_path")) & later("b", "a"), "left")
-        if joined.where("b.new_path is not null").isEmpty():
-            return hops
-        hops = joined.select("a.old_path", *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("new_path", "ts", "event_id")])
-
-
 def apply_events(files: DataFrame, events: DataFrame) -> DataFrame:
     """Inventory after a batch: upserts by path, deletions are marks, a later upsert takes the mark away.
 
     A MOVE takes the row of an active old path to a path that had no row; if that had one, the old path is marked as
-    deleted and the other updated. Events on the old path before the move are void, later ones meet a free path. Adds
-    mutation: CREATED, RESTORED, MODIFIED, DELETED, RENAMED, MOVED, or null where nothing happened, and old_path of moved rows.
-    A deletion of an unknown path adds nothing. Rows need no file_id: those that a batch creates have none yet.
+    deleted and the other updated. Events count one by one in order of time, so moves in a row, forks and returns end where
+    the last one leads. Adds mutation, the batch's net effect on a row: CREATED, RESTORED, MODIFIED, DELETED, RENAMED, MOVED, or null where
+    nothing happened, and old_path of moved rows. A deletion of an unknown path adds nothing. Rows need no file_id: those that a batch creates
+    have none yet.
     """
-    if "old_path" not in events.columns:
-        events = events.withColumn("old_path", F.lit(None).cast("string"))
-    last = latest_per_path(events).select("path", "event", "ts", "event_id", "old_path", F.col("size_bytes").alias("_size"), F.col("mtime").alias("_mtime"))
-    known = files.select("path", "file_id", "size_bytes", "modified_at_fs", "deleted_epoch")
-    moves = _moves(last).where("old_path <> new_path")
-    moves = moves.join(known.select(F.col("path").alias("new_path"), F.lit(True).alias("_there")), "new_path", "left")
-    moves = moves.join(known.where("deleted_epoch is null").select(F.col("path").alias("old_path"), F.lit(True).alias("_here")), "old_path", "left")
-    taken = moves.where("_here and _there is null").select(F.col("old_path").alias("path"), "new_path")
-    rows = known.join(taken, "path", "left").select(
-        F.coalesce("new_path", "path").alias("path"), "file_id", "size_bytes", "modified_at_fs", "deleted_epoch", F.when(F.col("new_path").isNotNull(), F.col("path")).alias("_from"), F.lit(True).alias("_known")
-    )
-    left = moves.select(F.col("old_path").alias("path"), F.col("ts").alias("_left"), F.col("event_id").alias("_left_id"))
-    void = F.col("_left").isNotNull() & (F.struct("ts", "event_id") <= F.struct("_left", "_left_id"))
-    live = last.join(left, "path", "left").where(~void).drop("_left", "_left_id", "old_path", "event_id")
-    gone_now = moves.where("_here and _there").join(live.select(F.col("path").alias("old_path")), "old_path", "left_anti")
-    live = live.unionByName(gone_now.select(F.col("old_path").alias("path"), F.lit("DELETE").alias("event"), "ts", F.lit(None).cast("long").alias("_size"), F.lit(None).cast("long").alias("_mtime")))
-    both = rows.join(live, "path", "full_outer")
-    gone, hit = F.col("event") == "DELETE", F.col("event").isNotNull()
-    present = F.col("_known").isNotNull()
-    mutation = (
-        F.when(~hit, F.lit(None)).when(gone, F.when(present, F.lit("DELETED"))).when(~present, F.lit("CREATED")).when(F.col("_from").isNotNull(), move_class("_from", "path")).when(F.col("deleted_epoch").isNotNull(), F.lit("RESTORED")).otherwise(F.lit("MODIFIED"))
-    )
-    upsert = hit & ~gone
-    return both.where(present | upsert).select(
-        "path",
-        "file_id",
-        F.when(upsert, F.coalesce("_size", "size_bytes")).otherwise(F.col("size_bytes")).alias("size_bytes"),
-        F.when(upsert, F.coalesce("_mtime", "modified_at_fs")).otherwise(F.col("modified_at_fs")).alias("modified_at_fs"),
-        F.when(upsert, F.lit(None)).when(hit & gone, F.coalesce("deleted_epoch", "ts")).otherwise(F.col("deleted_epoch")).cast("long").alias("deleted_epoch"),
-        mutation.alias("mutation"),
-        F.col("_from").alias("old_path"),
-    )
-
-
-def move_class(old: str = "old_path", new: str = "path") -> Column:
-    folder = lambda c: F.regexp_replace(F.col(c), "/[^/]*$", "")
-    return F.when(folder(old) == folder(new), "RENAMED").otherwise("MOVED")
+    changed = history.net_rows(history.fold(files, events))
+    named = events.select("path")
+    if "old_path" in events.columns:
+        named = named.union(events.where("event = 'MOVE'").select("old_path"))
+    kept = files.join(named.where("path is not null").distinct(), "path", "left_anti")
+    same = kept.select("path", "file_id", *[F.col(c).cast("long").alias(c) for c in ("size_bytes", "modified_at_fs", "deleted_epoch")])
+    return same.withColumns({"mutation": F.lit(None).cast("string"), "old_path": F.lit(None).cast("string")}).unionByName(changed)
 
 
 def identity_match(arrivals: DataFrame, files: DataFrame, snapshot: DataFrame) -> DataFrame:
