@@ -170,27 +170,31 @@ def _traced(rows: DataFrame, origins: DataFrame | None) -> DataFrame:
     return here.unionByName(moved)
 
 
-def net_rows(folded: Fold) -> DataFrame:
+def net_rows(folded: Fold, gone: bool = False) -> DataFrame:
     """The rows that the batch leaves at the paths it names: (path, file_id, size_bytes, modified_at_fs, deleted_epoch, mutation, old_path).
 
+    With ``gone`` paths that had a row and have none any more come too, with alive false (true for all others).
+
     mutation compares with the inventory before the batch: CREATED, RESTORED, MODIFIED, DELETED, RENAMED, MOVED, or null where nothing
     happened. A row that ends as deleted keeps its values and its first mark from before; one that the batch created and deleted leaves none.
     """
     columns = [c for c in folded.touches.columns if c not in ("path", "ts", "event_id")]
     acted = F.bool_or(F.col("kind").isin("U", "I") | ((F.col("kind") == "D") & (F.col("before") != "none")) | ((F.col("kind") == "O") & (F.col("before") == "active")))
     order = F.struct(F.col("kind") != "S", "ts", "event_id")
-    last = folded.touches.groupBy("path").agg(F.max_by(F.struct(*columns), order).alias("t"), acted.alias("acted")).select("path", "acted", "t.*").where("after <> 'none'")
-    rows = _traced(last, folded.origins).where("after = 'active' or not created")
-    gone, moved = F.col("after") == "deleted", ~F.coalesce(F.col("from_path") == F.col("path"), F.lit(True))
-    mutation = F.when(~F.col("acted"), F.lit(None)).when(gone, F.lit("DELETED")).when(F.col("created"), F.lit("CREATED")).when(moved, move_class("from_path", "path")).when(F.col("known_deleted").isNotNull(), F.lit("RESTORED")).otherwise(F.lit("MODIFIED"))
+    last = folded.touches.groupBy("path").agg(F.max_by(F.struct(*columns), order).alias("t"), acted.alias("acted"), F.bool_or(F.col("kind") == "S").alias("had")).select("path", "acted", "had", "t.*")
+    rows = _traced(last, folded.origins).withColumn("alive", (F.col("after") == "active") | ((F.col("after") == "deleted") & ~F.col("created")))
+    rows = rows.where(F.col("alive") | (F.col("had") if gone else F.lit(False)))
+    marked, moved = F.col("after") == "deleted", ~F.coalesce(F.col("from_path") == F.col("path"), F.lit(True))
+    mutation = F.when(~F.col("acted") | ~F.col("alive"), F.lit(None)).when(marked, F.lit("DELETED")).when(F.col("created"), F.lit("CREATED")).when(moved, move_class("from_path", "path")).when(F.col("known_deleted").isNotNull(), F.lit("RESTORED")).otherwise(F.lit("MODIFIED"))
     return rows.select(
         "path",
         "file_id",
-        F.when(gone, F.col("known_size")).otherwise(F.col("size")).alias("size_bytes"),
-        F.when(gone, F.col("known_mtime")).otherwise(F.col("mtime")).alias("modified_at_fs"),
-        F.when(gone, F.coalesce("known_deleted", "ended")).alias("deleted_epoch"),
+        F.when(marked, F.col("known_size")).otherwise(F.col("size")).alias("size_bytes"),
+        F.when(marked, F.col("known_mtime")).otherwise(F.col("mtime")).alias("modified_at_fs"),
+        F.when(marked, F.coalesce("known_deleted", "ended")).alias("deleted_epoch"),
         mutation.alias("mutation"),
         F.when(moved, F.col("from_path")).alias("old_path"),
+        *(["alive"] if gone else []),
     )
 
 
@@ -209,3 +213,22 @@ def mutations(folded: Fold) -> DataFrame:
     told = _traced(folded.touches.withColumn("mutation", kind).where("mutation is not null"), folded.origins)
     key = F.sha2(F.concat_ws("|", "path", "mutation", "ts", "event_id"), 256)
     return told.select(key.alias("event_key"), "event_id", "ts", "path", F.when(F.col("comes"), F.col("other")).alias("old_path"), "file_id", "mutation")
+
+
+def audit_log(changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One log of both kinds: what events did (``mutations``) and how arrivals were told from known files (``identity_match``).
+
+    event_key is that of the change, or of the arrival and its decision, so a replay adds nothing that add_if_absent would keep.
+    """
+    linked = F.col("event") == "IDENTITY_MATCHED"
+    reason = F.when(F.col("event") == "HARDLINK_DETECTED", "a path of the same inode is still there").when(F.col("event") == "IDENTITY_AMBIGUOUS", "several missing candidates").when(linked, "one candidate, high score").otherwise("one candidate, score too low")
+    told = decisions.select(
+        F.sha2(F.concat_ws("|", "path", "event", "candidate_id"), 256).alias("event_key"), "path", F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("long").alias("file_id"), F.col("event").alias("event_type"),
+        F.col("candidate_id").alias("candidate_file_id"), F.col("score").cast("int").alias("score"), "level", F.when(linked, "auto_linked").otherwise("created_separate").alias("decision"), reason.alias("reason"),
+    )
+    along = F.col("mutation").isin("RENAMED", "MOVED")
+    done = changes.select(
+        "event_key", "path", "old_path", "file_id", F.col("mutation").alias("event_type"), F.when(along, F.col("file_id")).alias("candidate_file_id"), F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("level"),
+        F.when(along, "auto_linked").otherwise("state_updated").alias("decision"), F.lit(None).cast("string").alias("reason"),
+    )
+    return done.unionByName(told)

@@ -99,6 +99,19 @@ def latest_per_path(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("_e")).select("path", "_e.*")
 
 
+#: Columns of an inventory.
+ROW = ["path", "file_id", "size_bytes", "modified_at_fs", "deleted_epoch"]
+
+
+def untouched(files: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows whose path no event names."""
+    named = events.select("path")
+    if "old_path" in events.columns:
+        named = named.union(events.where("event = 'MOVE'").select("old_path"))
+    kept = files.join(named.where("path is not null").distinct(), "path", "left_anti")
+    return kept.select("path", "file_id", *[F.col(c).cast("long").alias(c) for c in ROW[2:]])
+
+
 def apply_events(files: DataFrame, events: DataFrame) -> DataFrame:
     """Inventory after a batch: upserts by path, deletions are marks, a later upsert takes the mark away.
 
@@ -109,12 +122,8 @@ def apply_events(files: DataFrame, events: DataFrame) -> DataFrame:
     have none yet.
     """
     changed = history.net_rows(history.fold(files, events))
-    named = events.select("path")
-    if "old_path" in events.columns:
-        named = named.union(events.where("event = 'MOVE'").select("old_path"))
-    kept = files.join(named.where("path is not null").distinct(), "path", "left_anti")
-    same = kept.select("path", "file_id", *[F.col(c).cast("long").alias(c) for c in ("size_bytes", "modified_at_fs", "deleted_epoch")])
-    return same.withColumns({"mutation": F.lit(None).cast("string"), "old_path": F.lit(None).cast("string")}).unionByName(changed)
+    nothing = {"mutation": F.lit(None).cast("string"), "old_path": F.lit(None).cast("string")}
+    return untouched(files, events).withColumns(nothing).unionByName(changed)
 
 
 def identity_match(arrivals: DataFrame, files: DataFrame, snapshot: DataFrame) -> DataFrame:

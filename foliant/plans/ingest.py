@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from foliant.operators import history
 from foliant.operators import ingest as ops
 from foliant.plans.registry import query
 from foliant.sources import listing
+from foliant.sources.scratch import shared_dir
+from foliant.streaming.inventory_log import InventoryLog, apply_batch
 
 SIG = "concat_ws(':', mtime::varchar, size_bytes::varchar, inode::varchar)"
 LAST = "last as (select path, arg_max(struct_pack(event := event, ts := ts, size := size_bytes, mtime := mtime), ts) as e from stream group by 1)"
@@ -123,18 +128,35 @@ def _batches(v):
 
 
 # Ids and paths are unique, and no move's target is an old path of another, so each move stands for itself.
-@query("t08b_two_batches", f"""with ev as ({BATCHES}), e0 as (select * from ev where batch = 0), e1 as (select * from ev where batch = 1),
+TWO_BATCHES = f"""with ev as ({BATCHES}), e0 as (select * from ev where batch = 0), e1 as (select * from ev where batch = 1),
 mv as (select k.path as old_path, e.path as new_path from e0 e join known_files k on k.path = e.old_path where e.event = 'MOVE' and k.deleted_epoch is null),
 k1 as (select coalesce(m.new_path, k.path) as path, k.file_id, k.size_bytes, k.modified_at_fs, k.deleted_epoch, m.old_path, true as known from known_files k left join mv m on m.old_path = k.path),
 a0 as (select coalesce(k.path, e.path) as path, k.file_id, case when e.event <> 'DELETE' then e.size_bytes else k.size_bytes end as s, k.size_bytes as s0, case when e.event <> 'DELETE' then e.mtime else k.modified_at_fs end as m, k.modified_at_fs as m0, e.event, case when e.event is null then k.deleted_epoch when e.event = 'DELETE' then coalesce(k.deleted_epoch, e.ts) end as deleted_epoch, k.known from k1 k full join e0 e on e.path = k.path),
 b0 as (select path, file_id, coalesce(s, s0) as size_bytes, coalesce(m, m0) as modified_at_fs, deleted_epoch, true as known from a0 where known or event <> 'DELETE'),
 a1 as (select coalesce(k.path, e.path) as path, k.file_id, case when e.event <> 'DELETE' then coalesce(e.size_bytes, k.size_bytes) else k.size_bytes end as size_bytes, case when e.event <> 'DELETE' then coalesce(e.mtime, k.modified_at_fs) else k.modified_at_fs end as modified_at_fs, case when e.event is null then k.deleted_epoch when e.event = 'DELETE' then coalesce(k.deleted_epoch, e.ts) end as deleted_epoch,
-  case when e.event is null then null when e.event = 'DELETE' then 'DELETED' when k.known is null then 'CREATED' when k.deleted_epoch is not null then 'RESTORED' else 'MODIFIED' end as mutation, k.known, e.event from b0 k full join e1 e on e.path = k.path)
-select path, file_id, size_bytes, modified_at_fs, deleted_epoch, mutation from a1 where known or event <> 'DELETE'""")
+  case when e.event is null then null when e.event = 'DELETE' then 'DELETED' when k.known is null then 'CREATED' when k.deleted_epoch is not null then 'RESTORED' else 'MODIFIED' end as mutation, k.known, e.event from b0 k full join e1 e on e.path = k.path)"""
+
+
+@query("t08b_two_batches", f"{TWO_BATCHES} select path, file_id, size_bytes, modified_at_fs, deleted_epoch, mutation from a1 where known or event <> 'DELETE'")
 def _(v):
     return _batches(v).drop("old_path")
 
 
+# The third batch is the stream, folded into what the two before left.
+@query("t08c_inventory_log", f"""{TWO_BATCHES}, b1 as (select path, file_id, size_bytes, modified_at_fs, deleted_epoch, true as known from a1 where known or event <> 'DELETE'),
+e2 as (select path, arg_max(event, ts) as event, max(ts) filter (event = 'DELETE') as gone_at, arg_max(size_bytes, ts) filter (event <> 'DELETE' and size_bytes is not null) as s, arg_max(mtime, ts) filter (event <> 'DELETE' and mtime is not null) as m from stream group by 1),
+a2 as (select coalesce(k.path, e.path) as path, k.file_id, k.known, e.event, case when e.event <> 'DELETE' then coalesce(e.s, k.size_bytes) else k.size_bytes end as size_bytes, case when e.event <> 'DELETE' then coalesce(e.m, k.modified_at_fs) else k.modified_at_fs end as modified_at_fs,
+  case when e.event is null then k.deleted_epoch when e.event = 'DELETE' then coalesce(k.deleted_epoch, e.gone_at) end as deleted_epoch from b1 k full join e2 e on e.path = k.path)
+select path, file_id, size_bytes, modified_at_fs, deleted_epoch from a2 where known or event <> 'DELETE'""")
+def _(v):
+    log = InventoryLog(v.spark, f"{shared_dir(v.spark)}/foliant-{uuid.uuid4().hex}/inventory", buckets=16)
+    log.create(v.known_files)
+    both = v.spark.sql(BATCHES.replace("from files", "from {files}"), files=v.files)
+    for k, events in enumerate((both.where("batch = 0"), both.where("batch = 1"), v.stream)):
+        apply_batch(log, events.select("event_id", "ts", "path", "old_path", "event", "size_bytes", "mtime"), k)
+    return log.read()
+
+
 @query("t09_mutations", f"with {APPLIED} select mutation, count(*) as n from applied group by 1")
 def _(v):
     return ops.apply_events(v.known_files, v.stream).groupBy("mutation").agg(F.count("*").alias("n"))
@@ -148,16 +170,23 @@ def _(v):
 ARRIVALS = "select concat('/data/new/', filename, cast(file_id as varchar(20))) as path, filesystem_device, inode, size_bytes, modified_at_fs + case when file_id % 6 = 0 then 5 else 0 end as modified_at_fs, case when file_id % 4 = 0 then 'other' else hash_content end as hash_content from files"
 
 
-@query("t11_identity", f"""with a as ({ARRIVALS}), p as (select a.path, f.file_id, s.path is null as missing, 50 + case when a.size_bytes = f.size_bytes then 10 else 0 end + case when a.modified_at_fs = f.modified_at_fs then 10 else 0 end + case when a.hash_content = f.hash_content then 30 else 0 end as points
+IDENTITY = f"""a as ({ARRIVALS}), p as (select a.path, f.file_id, s.path is null as missing, 50 + case when a.size_bytes = f.size_bytes then 10 else 0 end + case when a.modified_at_fs = f.modified_at_fs then 10 else 0 end + case when a.hash_content = f.hash_content then 30 else 0 end as points
   from a join files f on f.filesystem_device = a.filesystem_device and f.inode = a.inode and f.path <> a.path and f.deleted_epoch is null left join (select path from scan_now where inode % 2 = 0) s on s.path = f.path),
-g as (select path, count(*) as candidates, count(*) filter (not missing) as present, count(*) filter (missing) as gone, max(points) filter (missing) as points, coalesce(min(file_id) filter (not missing), min(file_id) filter (missing)) as candidate_id from p group by 1)
-select path, candidates, case when present > 0 then 'HARDLINK_DETECTED' when gone > 1 then 'IDENTITY_AMBIGUOUS' when points >= 90 then 'IDENTITY_MATCHED' else 'IDENTITY_REJECTED' end as event,
-  case when present > 0 or gone > 1 then 'ambiguous' when points >= 90 then 'high' when points >= 65 then 'medium' else 'low' end as level, case when present = 0 and gone = 1 then points end as score, candidate_id from g""")
-def _(v):
+g as (select path, count(*) as candidates, count(*) filter (not missing) as present, count(*) filter (missing) as gone, max(points) filter (missing) as points, coalesce(min(file_id) filter (not missing), min(file_id) filter (missing)) as candidate_id from p group by 1),
+decisions as (select path, candidates, case when present > 0 then 'HARDLINK_DETECTED' when gone > 1 then 'IDENTITY_AMBIGUOUS' when points >= 90 then 'IDENTITY_MATCHED' else 'IDENTITY_REJECTED' end as event,
+  case when present > 0 or gone > 1 then 'ambiguous' when points >= 90 then 'high' when points >= 65 then 'medium' else 'low' end as level, case when present = 0 and gone = 1 then points end as score, candidate_id from g)"""
+
+
+def _decisions(v):
     arrivals = v.spark.sql(ARRIVALS.replace("from files", "from {files}"), files=v.files)
     return ops.identity_match(arrivals, v.files, v.scan_now.where("inode % 2 = 0"))
 
 
+@query("t11_identity", f"with {IDENTITY} select path, candidates, event, level, score, candidate_id from decisions")
+def _(v):
+    return _decisions(v)
+
+
 @query("t12_folder_closure", """with p as (select distinct string_split(folder_path, '/')[2:] as p from files), f as (select distinct '/' || array_to_string(p[1:i], '/') as path from (select p, unnest(generate_series(1, len(p))) as i from p))
 select path, nullif(regexp_replace(path, '/[^/]+$', ''), '') as parent from f""")
 def _(v):
@@ -169,6 +198,46 @@ def _(v):
     return ops.audit_rows(ops.apply_events(v.known_files, v.stream))
 
 
+#: The stream's events, then those of both batches: known and new files, moves, deletions and returns in one batch.
+EVENTS = f"""select event_id, ts, path, old_path, event, size_bytes, mtime from stream
+union all select event_id + 100000000, ts + 100000000, path, old_path, event, size_bytes, mtime from ({BATCHES}) b"""
+# Moves of the batches go from known places to new ones, each its own; those of the stream come from nowhere. So old places fold by themselves, and then the new ones.
+STEP = "case when n.kind = 'D' then case s.state when 'none' then 'none' else 'deleted' end when n.kind = 'O' then case s.state when 'active' then 'none' else s.state end else 'active' end"
+DONE = "case when n.kind = 'D' then case when s.state <> 'none' then 'DELETED' end when n.kind = 'U' then case s.state when 'none' then 'CREATED' when 'deleted' then 'RESTORED' else 'MODIFIED' end end"
+HISTORY = f"""with recursive ev as ({EVENTS}),
+touch as (select event_id, ts, path, case event when 'DELETE' then 'D' else 'U' end as kind, old_path, event = 'MOVE' and event_id >= 100000000 as lands from ev
+  union all select event_id, ts, old_path, 'O', null, false from ev where event = 'MOVE' and old_path is not null),
+landing as (select distinct path from touch where lands),
+num as (select t.*, row_number() over (partition by path order by ts, event_id) as k from touch t where path not in (select path from landing)),
+old_(path, k, event_id, ts, was, state, file_id, mutation) as (
+  select p.path, 0, cast(null as bigint), cast(null as bigint), '', case when f.path is null then 'none' when f.deleted_epoch is null then 'active' else 'deleted' end, f.file_id, cast(null as varchar) from (select distinct path from num) p left join known_files f on f.path = p.path
+  union all select s.path, s.k + 1, n.event_id, n.ts, s.state, {STEP}, case when s.state <> 'none' then s.file_id end, {DONE} from old_ s join num n on n.path = s.path and n.k = s.k + 1),
+landed as (select t.*, row_number() over (partition by t.path order by t.ts, t.event_id) as k, o.was = 'active' as comes, o.file_id from touch t left join old_ o on t.lands and o.path = t.old_path and o.event_id = t.event_id where t.path in (select path from landing)),
+new_(path, k, event_id, ts, state, file_id, mutation, old_path) as (
+  select path, 0, cast(null as bigint), cast(null as bigint), 'none', cast(null as bigint), cast(null as varchar), cast(null as varchar) from landing
+  union all select s.path, s.k + 1, n.event_id, n.ts, {STEP}, case when n.comes then n.file_id when s.state <> 'none' then s.file_id end,
+    case when n.comes then case when regexp_replace(n.old_path, '/[^/]*$', '') = regexp_replace(n.path, '/[^/]*$', '') then 'RENAMED' else 'MOVED' end else {DONE} end, case when n.comes then n.old_path end from new_ s join landed n on n.path = s.path and n.k = s.k + 1),
+history as (select path, cast(null as varchar) as old_path, event_id, ts, file_id, mutation from old_ where mutation is not null union all select path, old_path, event_id, ts, file_id, mutation from new_ where mutation is not null)"""
+KEY = "sha256(concat_ws('|', path, mutation, ts::varchar, event_id::varchar)) as event_key"
+
+
+def _events(v):
+    return v.spark.sql(EVENTS.replace("from stream", "from {stream}").replace("from files", "from {files}"), stream=v.stream, files=v.files)
+
+
+@query("t13b_history", f"{HISTORY} select {KEY}, event_id, ts, path, old_path, file_id, mutation from history")
+def _(v):
+    return history.mutations(history.fold(v.known_files, _events(v)))
+
+
+@query("t13c_audit_log", f"""{HISTORY}, {IDENTITY}
+select {KEY}, path, old_path, file_id, mutation as event_type, case when mutation in ('RENAMED', 'MOVED') then file_id end as candidate_file_id, cast(null as int) as score, cast(null as varchar) as level, case when mutation in ('RENAMED', 'MOVED') then 'auto_linked' else 'state_updated' end as decision, cast(null as varchar) as reason from history
+union all select sha256(concat_ws('|', path, event, candidate_id::varchar)), path, null, null, event, candidate_id, score, level, case event when 'IDENTITY_MATCHED' then 'auto_linked' else 'created_separate' end,
+  case event when 'HARDLINK_DETECTED' then 'a path of the same inode is still there' when 'IDENTITY_AMBIGUOUS' then 'several missing candidates' when 'IDENTITY_MATCHED' then 'one candidate, high score' else 'one candidate, score too low' end from decisions""")
+def _(v):
+    return history.audit_log(history.mutations(history.fold(v.known_files, _events(v))), _decisions(v))
+
+
 @query("t14_sessions", "select session_id, count(*) as discovered, count(size_bytes) as enqueued, count(size_bytes) filter (event <> 'DELETE') as processed, case when count(size_bytes) filter (event <> 'DELETE') >= count(size_bytes) then 'finished' else 'running' end as status from stream group by 1")
 def _(v):
     return ops.session_accounts(v.stream)

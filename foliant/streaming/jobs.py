@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from foliant.operators import ingest
+from foliant.operators import history, ingest
 from foliant.sources.scratch import drop_folder
 
 EVENTS = T.StructType(
@@ -140,7 +140,8 @@ def ingest_batches(inventory: str, dead: str, audit: str, keep: int = 3) -> Call
     """foreachBatch function: applies a batch to the inventory, logs mutations, sets bad records aside.
 
     Version n + 1 of the inventory is written from version n under the batch's number, so a replayed batch writes the
-    same files again. Parquet has no MERGE; a version is a snapshot folder ``inventory/v=<n>``, and the last ``keep`` stay.
+    same files again. A version is a snapshot folder ``inventory/v=<n>``, and the last ``keep`` stay: for inventories that
+    are small against their batches. ``inventory_log.ingest_into_log`` writes what a batch changed only.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -148,9 +149,10 @@ def ingest_batches(inventory: str, dead: str, audit: str, keep: int = 3) -> Call
         valid, bad = split_valid(batch)
         bad.write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
         before = spark.read.parquet(f"{inventory}/v={batch_id}")
-        after = ingest.apply_events(before, valid)
-        ingest.audit_rows(after).write.mode("overwrite").parquet(f"{audit}/batch={batch_id}")
-        after.select("path", "file_id", "size_bytes", "modified_at_fs", "deleted_epoch").write.mode("overwrite").parquet(f"{inventory}/v={batch_id + 1}")
+        folded = history.fold(before, valid)
+        history.mutations(folded).write.mode("overwrite").parquet(f"{audit}/batch={batch_id}")
+        after = ingest.untouched(before, valid).unionByName(history.net_rows(folded).select(*ingest.ROW))
+        after.write.mode("overwrite").parquet(f"{inventory}/v={batch_id + 1}")
         if batch_id + 1 >= keep:
             drop_folder(spark, f"{inventory}/v={batch_id + 1 - keep}")
 
