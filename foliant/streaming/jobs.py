@@ -50,7 +50,7 @@ class Debouncer(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("ts", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = sorted(int(t) for frame in rows for t in frame["ts"])
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
@@ -63,8 +63,8 @@ class Debouncer(StatefulProcessor):
             self.handle.registerTimer((last + self.seconds) * 1000)
             yield pd.DataFrame({"event": key[0], "path": key[1], "ts": kept})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and (self.last.get()[0] + self.seconds) * 1000 <= expired.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and (self.last.get()[0] + self.seconds) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
         return iter([])
 
@@ -93,7 +93,7 @@ class MissingCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.missed = handle.getValueState("missed", T.StructType([T.StructField("n", T.IntegerType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sweeps = pd.concat(list(rows)).sort_values("sweep")
         missed = self.missed.get()[0] if self.missed.exists() else 0
         gone = []

@@ -51,3 +51,13 @@ def test_windowed_and_session_counts(spark, tmp_path):
     assert counts and set(counts) == {2}
     batch = spark.read.schema(jobs.EVENTS).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/src")
     assert sorted((r.session_id, r.discovered, r.enqueued) for r in jobs.session_counts(batch).collect()) == [(0, 4, 3), (1, 4, 4), (2, 2, 2)]
+
+
+def test_debounce_forgets_a_key_once_the_watermark_has_passed(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    for k, times in enumerate(((1000, 1001), (9000,), (20000,))):
+        write(spark, src, f"b{k}", [(t, "UPSERT", f"/p{k}", None, "s", 1, 1, t, 1) for t in times])
+        stream = spark.readStream.schema(jobs.EVENTS).option("recursiveFileLookup", "true").parquet(src)
+        run(spark, jobs.debounced(stream, 2, "10 seconds"), out, cp)
+    assert sorted(r.ts for r in spark.read.parquet(out).collect()) == [1000, 9000, 20000]
+    assert spark.read.format("statestore").option("stateVarName", "last").load(cp).count() == 1
