@@ -40,6 +40,17 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def unnamed(rows: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """``rows`` under names of our own, the place of each name, and the columns that give the caller's names back.
+
+    Whatever a caller's columns are called, none can clash with what an operator adds on its way. ``added``: names that the operator's
+    results replace.
+    """
+    names = [c for c in rows.columns if c not in added]
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    return rows.select([F.col(f"`{c}`").alias(at[c]) for c in names]), at, [F.col(at[c]).alias(c) for c in names]
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of a value as text, modulo n; a null value counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

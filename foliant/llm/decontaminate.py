@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import text_bytes
+from foliant.llm.common import text_bytes, unnamed
 
 WINDOW = 13
 BLOCK = 2
@@ -155,8 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     Repeated rows are judged alike. An empty table gives an empty table; a column ``overlap`` is replaced.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != "overlap"]
-    found = docs.select(*[f"`{c}`" for c in names])
+    found, at, back = unnamed(docs, ("overlap",))
+    text = at[text]
     n = 0
     for rows in _blocks(benchmark, item, item_text):
         found = found.withColumn(f"_found{n}", _searcher(_Items(spark, rows))(text_bytes(text)))
@@ -180,4 +180,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     total = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
     found = found.withColumn("_m", merged).withColumn("_hit", total(F.col("_m.ends")) - total(F.col("_m.starts")))
     overlap = F.struct(*[F.col(f"_m.{c}").alias(c) for c in ("n_words", "starts", "ends", "items")], F.col("_hit").alias("n_hit"), ((F.col("_hit") > 0) & (100 * F.col("_hit") >= percent * F.col("_m.n_words"))).alias("contaminated"))
-    return found.select(*[f"`{c}`" for c in names], overlap.alias("overlap"))
+    return found.select(*back, overlap.alias("overlap"))

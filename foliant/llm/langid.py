@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliant.llm.common import batches, pack, scratch, text_bytes
+from foliant.llm.common import batches, pack, scratch, text_bytes, unnamed
 
 BUCKETS = 1 << 12
 DIM = 16
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang": langs, "score": np.concatenate(scores)})
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = [c for c in docs.columns if c != "language"]
-    found = docs.select(*[f"`{c}`" for c in names], F.pandas_udf(named, schema)(text_bytes(text)).alias("_l"))
+    docs, at, back = unnamed(docs, ("language",))
+    found = docs.withColumn("_l", F.pandas_udf(named, schema)(text_bytes(at[text])))
     rejected = (F.col("_l.lang") == NO_LANGUAGE) | (F.col("_l.score") < F.lit(model.threshold))
-    return found.select(*[f"`{c}`" for c in names], F.struct(F.col("_l.lang").alias("lang"), F.col("_l.score").alias("score"), rejected.alias("rejected")).alias("language"))
+    return found.select(*back, F.struct(F.col("_l.lang").alias("lang"), F.col("_l.score").alias("score"), rejected.alias("rejected")).alias("language"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import scratch
+from foliant.llm.common import scratch, unnamed
 
 SEED = "mix-1"
 #: Largest mean that is inverted in one go.
@@ -111,15 +111,16 @@ def replicate(docs: DataFrame, weights: dict | None = None, key: str = "doc_id",
     rows draw a count and a place for each row (see ``identified``). An empty table gives an empty table. Columns named like the results
     are replaced.
     """
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    docs, at, back = unnamed(docs, ("copy", "shuffle_key"))
+    key, source = at[key], at[source]
     rated = scratch(rates(docs, weights, source, size), "rates")
     few = rated.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rated = rated.select("_source", "rate", "pieces")
-    keyed = identified(docs.select(*[f"`{c}`" for c in names]), key).withColumn("_source", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
+    keyed = identified(docs, key).withColumn("_source", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
     joined = keyed.join(F.broadcast(rated) if few else rated, "_source")
     count = F.pandas_udf(_counts, T.LongType())
     single = joined.where("pieces = 1").withColumn("_n", count(uniform(F.col("_id"), seed), F.col("rate")))
-    names_n = [*[f"`{c}`" for c in names], "_id", "_n"]
+    names_n = [*docs.columns, "_id", "_n"]
     # The draw of each piece is made on the row's id alone; texts don't travel with the pieces.
     many = joined.where("pieces > 1").select("_id", "rate", "pieces")
     pieces = many.select("_id", "rate", "pieces", F.explode(F.sequence(F.lit(1), F.col("pieces"))).alias("_piece"))
@@ -130,4 +131,4 @@ def replicate(docs: DataFrame, weights: dict | None = None, key: str = "doc_id",
     copies = counted.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
     order = F.conv(F.substring(F.md5(F.concat_ws("|", "_id", F.col("copy").cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long")
     shuffled = copies.withColumn("shuffle_key", order).drop("_id")
-    return shuffled.repartitionByRange("shuffle_key", "copy").sortWithinPartitions("shuffle_key", "copy")
+    return shuffled.repartitionByRange("shuffle_key", "copy").sortWithinPartitions("shuffle_key", "copy").select(*back, "copy", "shuffle_key")

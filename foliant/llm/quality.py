@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import BYTE_CODE, ODD, U64, batches, mix64, pack, text_bytes, word_bounds
+from foliant.llm.common import BYTE_CODE, ODD, U64, batches, mix64, pack, text_bytes, unnamed, word_bounds
 
 #: Percent of word characters that may lie in repeated n-grams, by n, and in repeated lines.
 LIMITS = {5: 15, 7: 13, 10: 10}
@@ -138,11 +138,11 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
     equal one stands earlier in the same text; repeated rows are judged alike. An empty table gives an empty
     table; a column ``quality`` is replaced.
     """
-    names = [c for c in docs.columns if c != "quality"]
-    found = docs.select(*[f"`{c}`" for c in names], F.pandas_udf(_measured, MEASURED)(text_bytes(text)).alias("_m"))
+    docs, at, back = unnamed(docs, ("quality",))
+    found = docs.withColumn("_m", F.pandas_udf(_measured, MEASURED)(text_bytes(at[text])))
     m = lambda c: F.col(f"_m.{c}")
     failed = (m("n_words") < MIN_WORDS) | (100 * m("n_repeat_words") > REPEAT_PERCENT * m("n_words"))
     passed = 100 * m("dup_line_chars") <= LINE_LIMIT * m("word_chars")
     for n, limit in LIMITS.items():
         passed = passed & (100 * m(f"dup_{n}gram_chars") <= limit * m("word_chars"))
-    return found.select(*[f"`{c}`" for c in names], F.struct(*[m(c).alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & passed).alias("kept")).alias("quality"))
+    return found.select(*back, F.struct(*[m(c).alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & passed).alias("kept")).alias("quality"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliant.llm.common import text_bytes
+from foliant.llm.common import text_bytes, unnamed
 
 VNODES = 64
 #: Slices of an arc in which rows are ranked, so that a rank window holds a small share of the rows.
@@ -79,14 +79,15 @@ def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id", order: tuple[s
     spark = rows.sparkSession
     points = ring_points(shards, vnodes)
     edges = np.array([p for p, _ in points], np.int64)
-    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows, at, back = unnamed(rows, ("shard", "slot"))
+    key, order = at[key], tuple(at[c] for c in order)
     spare = F.concat(F.lit("null:"), F.xxhash64(*[F.col(f"`{c}`") for c in order]).cast("string")) if order else F.lit("null:")
     spot = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), spare)), 1, 8), 16, 10).cast("long")
 
     def arcs(spots: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(edges, spots.to_numpy(), side="left") % len(edges)).astype("int32"))
 
-    placed = rows.select(*[f"`{c}`" for c in names], spot.alias("_spot"))
+    placed = rows.withColumn("_spot", spot)
     placed = placed.withColumn("_arc", F.pandas_udf(arcs, T.IntegerType())("_spot"))
     # Rows of one key share an arc, but not a cell unless they are equal in the ``order`` columns too.
     placed = placed.withColumn("_cell", F.pmod(F.xxhash64("_spot", *[F.col(f"`{c}`") for c in order]), F.lit(CELLS)).cast("int"))
@@ -119,7 +120,7 @@ def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id", order: tuple[s
     ranked = placed.withColumn("_rank", F.row_number().over(in_cell).cast("long") - 1)
     # Bounded by the ring: one run for each cell, and one more wherever a shard fills up.
     joined = ranked.join(F.broadcast(runs_df), ["_arc", "_cell"]).where("_low <= _rank and _rank < _high")
-    return joined.select(*[f"`{c}`" for c in names], "shard", (F.col("_slot") + F.col("_rank") - F.col("_low")).alias("slot"))
+    return joined.select(*back, "shard", (F.col("_slot") + F.col("_rank") - F.col("_low")).alias("slot"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
