@@ -7,9 +7,10 @@ differ in about 15 % of all bits; they meet in one of eight segments with a prob
 What meets is held against the distance of the 64-bit words, and what passes against the exact similarity of
 the shingle sets (hashed to 32 bits each).
 
-Equal sets are one entry of the tables. A code with more than ``BUCKET`` entries doesn't pair them all: each entry meets the
-most central one (nearest to the majority of each bit) of the most crowded of its codes of each segment, and those of all its codes
-if no pair holds. So a large group costs a few pairs for each of its members.
+Equal sets are one entry of the tables. A code with more than ``BUCKET`` entries doesn't pair them all: each entry first meets the
+most central one (nearest to the majority of each bit) of the most crowded of its codes of each segment. So a large group costs a few pairs for
+each of its members. Then all rows of crowded codes that lie in different groups still are joined by their rarest shingles: with these first,
+two sets of enough similarity share one among so many at the front that either may lack. That is exact, whatever the texts have in common.
 """
 
 from __future__ import annotations
@@ -150,11 +151,11 @@ def _far(x: str, y: str):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, word, segments) of distinct sets -> (a, b, far) pairs, crowded rows (code, row, word), centres (code, centre, centre_word).
+def candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, word, segments) of distinct sets -> (a, b, far) pairs, and the rows (row) of crowded codes.
 
     Pairs share a code and differ in ``RADIUS`` bits of the word at most. A row meets the centre of the most crowded of its
-    codes of each segment; ``near_links`` takes it to the centres of its other codes if none of its pairs holds.
+    codes of each segment; ``prefix_pairs`` has what else there is among rows of crowded codes.
     """
     spark = entries.sparkSession
     counts = _listed(entries).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
@@ -176,7 +177,10 @@ def candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     centres = scratch(centres.select("code", F.col("c.row").alias("centre"), F.col("c.word").alias("centre_word")), "centres")
     main = crowded.groupBy("row", "segment").agg(F.max_by(F.struct("code", "word"), F.struct("n", "code")).alias("m")).select("row", "m.*")
     both = pairs.unionByName(starred(main, centres)).groupBy("a", "b").agg(F.min("far").alias("far"))
-    return scratch(both, "candidates"), crowded.select("code", "row", "word"), centres
+    both, rows = scratch(both, "candidates"), scratch(crowded.select("row").distinct(), "crowded_rows")
+    drop_scratch(crowded)
+    drop_scratch(centres)
+    return both, rows
 
 
 def starred(rows: DataFrame, centres: DataFrame) -> DataFrame:
@@ -203,11 +207,11 @@ def near_links(entries: DataFrame, texts: DataFrame, width: int = WORDS, similar
     of its partners that has most candidates; then all pairs that lie in different groups still.
     """
     spark = entries.sparkSession
-    pairs, crowded, centres = candidates(entries)
+    pairs, crowded = candidates(entries)
     release(spark)
     ends = pairs.select(F.col("a").alias("row"), F.col("b").alias("other"), "far").unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("other"), "far"))
     degree = ends.groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
-    wanted = degree.select("row").unionByName(crowded.select("row")).distinct()
+    wanted = degree.select("row").unionByName(crowded).distinct()
     # Sorted and merged whatever the size, as texts and sets aren't bounded.
     sets = scratch(texts.join(wanted.hint("merge"), "row").select("row", _sets(width)("body").alias("set")), "sets")
     release(spark)
@@ -216,16 +220,44 @@ def near_links(entries: DataFrame, texts: DataFrame, width: int = WORDS, similar
     # The partner with most candidates is the first end, so that its set is what is copied.
     links = scratch(verified(hung.select(F.col("other").alias("a"), F.col("row").alias("b")), sets, similarity), "links")
     release(spark)
-    more = scratch(verified(between(pairs, links), sets, similarity), "more_links")
-    links = links.unionByName(more)
-    # Rows of crowded codes without any link go to the centres of all their codes.
-    held = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).distinct()
-    alone = starred(crowded.join(held, "row", "left_anti"), centres)
-    last = scratch(verified(alone.select("a", "b"), sets, similarity), "last_links")
-    for table in (sets, pairs, crowded, centres):
+    links = links.unionByName(scratch(verified(between(pairs, links), sets, similarity), "more_links"))
+    if not crowded.isEmpty():
+        last = scratch(verified(prefix_pairs(sets.join(crowded.hint("merge"), "row"), links, similarity), sets, similarity), "last_links")
+        links = links.unionByName(last)
+    for table in (sets, pairs, crowded):
         drop_scratch(table)
     release(spark)
-    return links.unionByName(last)
+    return links
+
+
+def prefix_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """All (a, b) of sets (row, set) that may be similar enough and that links don't connect yet. Exact.
+
+    Shingles are ordered by how many sets have them, the rarest first. The first shingle that two sets share bounds how many they share; sets meet
+    there if that is enough for their sizes. Of the rows that meet at a shingle the largest group isn't compared within itself.
+    """
+    listed = sets.select("row", F.size("set").alias("n"), F.explode("set").alias("s"))
+    shared = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = listed.join(shared, "s").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c"))
+    # Shingles that no other set has come before these.
+    before = F.col("n") - F.size("c")
+    front = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    first = ordered.select("row", "n", before.alias("u"), F.slice("c", F.lit(1), F.greatest(F.lit(0), front - before).cast("int")).alias("c"))
+    roots = connected_components(links)
+    rooted = first.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    entries = scratch(rooted.select("row", "root", "n", "u", F.posexplode("c").alias("at", "c")).select("row", "root", "n", (F.col("u") + F.col("at")).alias("at"), "c.s"), "prefixes")
+    release(sets.sparkSession)
+    groups = entries.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("s", "largest")
+    met = scratch(entries.join(groups, "s"), "met")
+    x, y = met.where("root <> largest").alias("x"), met.alias("y")
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-9))
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
+    once = (F.col("y.root") == F.col("y.largest")) | (F.col("x.row") < F.col("y.row"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & once & enough)
+    found = scratch(pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct(), "prefix_pairs")
+    drop_scratch(entries)
+    drop_scratch(met)
+    return found
 
 
 def between(pairs: DataFrame, links: DataFrame) -> DataFrame:

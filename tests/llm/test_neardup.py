@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from foliant.llm import neardup
 
@@ -94,3 +95,26 @@ def test_fingerprints_bit_by_bit():
         for k in (0, 1, 63, 64, 200, 255):
             ones = sum((int(x[k // 64]) >> (k % 64)) & 1 for x in wide[a:b])
             assert got[i, k] == (2 * ones > b - a)
+
+
+def template(n, edits, words=400):
+    """n / 2 pairs of near copies, all made from one template of which each pair replaced ``edits`` words."""
+    base = [RND.choice(VOCABULARY) for _ in range(words)]
+    rows = []
+    for k in range(n // 2):
+        own = edited(base, edits)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(own, 1)))]
+    return rows
+
+
+@pytest.mark.parametrize(("bucket", "edits"), [(32, 5), (2, 5), (2, 9), (32, 14)])
+def test_templates_lose_nothing_at_crowded_codes(spark, monkeypatch, bucket, edits):
+    """Texts that all have about as much in common as the limit, or less: 5 words of 400 on either side leave a similarity of 0.78."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    rows = template(160, edits)
+    got = sorted(r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_first(rows)
+    if bucket == 2 or edits == 5:
+        assert got == want
+    # Codes that aren't crowded find a pair of 0.97 almost surely.
+    assert len(set(want) - set(got)) == 0 and len(got) - len(want) <= 0.02 * len(want)
