@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.common import contains_any, first_of, latest, round_robin, squeezed, top_per
 from foliant.operators.migration import safe_name
+from foliant.sources.scratch import scratch
 
 
 
@@ -227,21 +228,72 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Length of the character runs by which similar names meet.
+GRAM = 2
+
+
+def _counted(items: Column) -> Column:
+    """Items of an array, each with its number among equal ones: equal items of two arrays pair off as in multisets."""
+    return F.transform(items, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(items, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def _fronts(names: DataFrame, threshold: float) -> DataFrame:
+    """(name, token) for the rarest runs of each name: so many that any name of enough similarity shares one of them.
+
+    Of two names with la and lb characters at least M = threshold / 2 * (la + lb) match in order. A character of the one that doesn't match spoils GRAM of its
+    runs at most, one of the other GRAM - 1. So a least number of runs is shared, and of the rarest ones no more than that many may be missing.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.length("name") - (GRAM - 1)), lambda i: F.substring(F.col("name"), i, F.lit(GRAM)))
+    one = names.withColumn("tokens", F.when(F.length("name") >= GRAM, _counted(grams)).otherwise(F.array().cast("array<string>")))
+    listed = one.select("name", F.explode("tokens").alias("token"))
+    often = listed.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    la, least, most = F.length("name"), threshold / (2 - threshold), (2 - threshold) / threshold
+    share = lambda lb: F.ceil(F.lit(threshold / 2) * (la + lb) - F.lit(1e-9))
+    partners = F.filter(F.sequence(F.greatest(F.lit(1), F.floor(la * F.lit(least))).cast("int"), F.ceil(la * F.lit(most)).cast("int")), lambda lb: share(lb) <= F.least(la, lb))
+    shared = F.array_min(F.transform(partners, lambda lb: la - (GRAM - 1) - GRAM * (la - share(lb)) - (GRAM - 1) * (lb - share(lb))))
+    ordered = listed.join(often, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    front = F.size("t") - F.greatest(F.lit(1), F.coalesce(shared, F.lit(1))) + 1
+    rare = ordered.select("name", F.explode(F.slice("t", F.lit(1), front.cast("int"))["token"]).alias("token"))
+    # Names of two or three characters needn't share a run; they meet by their characters.
+    short = names.where(F.length("name") <= 4).select("name", F.explode(F.array_distinct(F.filter(F.split("name", ""), lambda x: x != ""))).alias("token"))
+    return rare.unionByName(short)
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(name, other) of left and right names (place, name) in the same place that may be similar enough, as distinct pairs. Exact.
+
+    Names meet by their rarest runs, and stay if their lengths and their counts of each character allow the similarity. One
+    below 0.8 raises: names needn't share a run then.
+    """
+    if threshold < 0.8:
+        raise ValueError("names of a similarity below 0.8 can't be found by their character runs")
+    fronts = scratch(_fronts(left.select("name").unionByName(right.select("name")).distinct(), threshold), "fronts")
+    mine, theirs = left.distinct().join(fronts, "name"), right.distinct().join(fronts, "name").withColumnRenamed("name", "other")
+    long_enough = 2 * F.least(F.length("name"), F.length("other")) >= F.lit(threshold) * (F.length("name") + F.length("other")) - F.lit(1e-9)
+    met = mine.join(theirs, ["place", "token"]).where((F.col("name") != F.col("other")) & long_enough).select("name", "other").distinct()
+    letters = lambda c: _counted(F.filter(F.split(F.col(c), ""), lambda x: x != ""))
+    same = F.size(F.array_intersect(letters("name"), letters("other")))
+    return met.where(2 * same >= F.lit(threshold) * (F.length("name") + F.length("other")) - F.lit(1e-9))
+
+
 def close_paths(entered: DataFrame, known: DataFrame, threshold: float = 0.84) -> DataFrame:
     """(file_id, path, suggestion, similarity): the known path that differs in exactly one segment and is most alike.
 
-    Candidates meet on the path with one segment blanked, so each pair that differs there meets once; only such pairs are compared.
+    Candidates meet on the path with one segment blanked and on a rare run of characters of that segment, so a folder of many names doesn't
+    meet itself; only what lengths and character counts allow is compared, once for each pair of names. Names that differ in case alone
+    come first.
     """
     def blanked(df: DataFrame, c: str) -> DataFrame:
-        one = F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.concat(F.slice("_p", F.lit(1), i), F.array(F.lit("*")), F.slice("_p", i + 2, F.size("_p"))), "/").alias("key"), F.element_at("_p", i + 1).alias("segment"))))
-        return df.withColumn("_p", F.split(c, "/")).where(F.size("_p") > 1).withColumn("_b", one).select("*", "_b.*").drop("_b", "_p")
-
-    left = blanked(entered.select("file_id", "path"), "path")
-    right = blanked(known.select(F.col("path").alias("suggestion")).distinct(), "suggestion").withColumnRenamed("segment", "other")
-    pairs = left.join(right, ["i", "key"]).where("segment <> other")
-    similarity = F.when(F.lower("segment") == F.lower("other"), F.lit(2.0)).otherwise(F.pandas_udf(_ratio, T.DoubleType())(F.lower("segment"), F.lower("other")))
-    scored = pairs.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("file_id", "path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "suggestion")).alias("b"))
+        one = F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.struct(F.concat_ws("|", i.cast("string"), F.array_join(F.concat(F.slice("_p", F.lit(1), i), F.array(F.lit("*")), F.slice("_p", i + 2, F.size("_p"))), "/")).alias("place"), F.element_at("_p", i + 1).alias("segment"))))
+        return df.withColumn("_p", F.split(c, "/")).where(F.size("_p") > 1).withColumn("_b", one).select("*", "_b.*").drop("_b", "_p").withColumn("name", F.lower("segment"))
+
+    left = scratch(blanked(entered.select("file_id", "path"), "path"), "entered")
+    right = scratch(blanked(known.select(F.col("path").alias("suggestion")).distinct(), "suggestion").withColumnsRenamed({"segment": "_other", "name": "other"}), "known")
+    alike = similar_names(left.select("place", "name"), right.select("place", F.col("other").alias("name")), threshold)
+    compared = alike.withColumn("similarity", F.pandas_udf(_ratio, T.DoubleType())("name", "other")).where(F.col("similarity") >= threshold)
+    differing = left.join(compared, "name").join(right, ["place", "other"]).where("segment <> _other").select("file_id", "path", "suggestion", "similarity")
+    by_case = left.join(right.withColumn("name", F.col("other")), ["place", "name"]).where("segment <> _other").select("file_id", "path", "suggestion", F.lit(2.0).alias("similarity"))
+    best = differing.unionByName(by_case).groupBy("file_id", "path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "suggestion")).alias("b"))
     return best.select("file_id", "path", "b.suggestion", F.least(F.lit(1.0), -F.col("b.s")).alias("similarity"))
 
 

@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.common import uuid5
@@ -320,3 +321,19 @@ def test_close_paths_equal_brute_force(spark):
             want[i] = (min(found)[1], min(1.0, -min(found)[0]))
     got = classify.close_paths(spark.createDataFrame(entered, "file_id long, path string"), spark.createDataFrame([(k,) for k in known], "path string"))
     assert {r.file_id: (r.suggestion, r.similarity) for r in got.collect()} == want and len(want) > 5
+
+
+@pytest.mark.parametrize("limit", [0.8, 0.84])
+def test_similar_names_of_a_large_folder(spark, limit):
+    """All pairs that the ratio lets pass are among those that are compared, and these are few."""
+    rnd = random.Random(8)
+    parts = ["ber", "icht", "vor", "trag", "re", "ch", "nung", "plan", "ung", "no", "tiz", "jahr", "ab", "schluss", "an", "ge", "bot", "q", "x", "yz"]
+    names = {"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6))) for _ in range(900)}
+    names |= {n[:k] + rnd.choice(["", "a", "bc"]) + n[k + 1 :] for n in sorted(names)[:200] for k in [rnd.randrange(len(n))]} | {"a", "ab", "ba", "abc", "abd", "aa" * 60, "aa" * 59 + "b"}
+    rows = spark.createDataFrame([("p", n) for n in names], "place string, name string")
+    found = {(r.name, r.other) for r in classify.similar_names(rows, rows, limit).collect()}
+    def bound(a, b):
+        m = difflib.SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= limit and m.quick_ratio() >= limit and m.ratio() >= limit
+    want = {(a, b) for a in names for b in names if a != b and bound(a, b)}
+    assert len(want) > 300 and want <= found and len(found) < 10 * len(names)
