@@ -13,7 +13,7 @@ LISTED = """select file_id, concat(case file_id % 23 when 1 then '/werk' when 2
   case when file_id % 19 = 0 then null else modified_at_fs end as modified_at_fs, case when file_id % 17 = 0 then null else coalesce(content_sha256, 'none') end as content_group_id, case when file_id % 11 = 0 then file_id + 1 else file_id end as golden_file_id, file_id % 13 = 0 as twice
 from files"""
 ROWS = f"select file_id, path, extension, size_bytes, content_sha256, modified_at_fs, content_group_id, golden_file_id from ({LISTED}) a union all select file_id, concat(path, '.again'), extension, size_bytes, content_sha256, modified_at_fs, content_group_id, golden_file_id from ({LISTED}) b where twice"
-CUTOFF, N = 1735689600, 40
+CUTOFF, N = 1706067200, 40
 
 WORDS = r"trim(regexp_replace(lower(path), '[^\pL\pN]+', ' ', 'g'))"
 STEM = r"regexp_replace(regexp_extract(lower(path), '([^/]*)/*$', 1), '^(.+)\.[^.]+$', '\1')"

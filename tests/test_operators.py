@@ -337,3 +337,33 @@ def test_similar_names_of_a_large_folder(spark, limit):
         return m.real_quick_ratio() >= limit and m.quick_ratio() >= limit and m.ratio() >= limit
     want = {(a, b) for a in names for b in names if a != b and bound(a, b)}
     assert len(want) > 300 and want <= found and len(found) < 10 * len(names)
+
+
+def test_a_hundred_thousand_queries_are_one_scan(spark):
+    queries = spark.range(100_000).selectExpr("id as query_id", "transform(sequence(1, 8), i -> cast(sin(id * i) as float)) as embedding")
+    chunks = spark.range(40).selectExpr("cast(id / 2 as long) as file_id", "id % 2 as ordinal", "transform(sequence(1, 8), i -> cast(cos(id * i) as float)) as embedding")
+    found = retrieval.top_files(queries, chunks, 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 40") == 1
+    assert found.groupBy("query_id").count().where("count = 2").count() == 99_999  # the first query has no direction
+
+
+def test_scans_and_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    rnd = random.Random(2)
+    vectors = [[rnd.choice([-1.0, 0.5, 0.0, 1.0]) for _ in range(3)] for _ in range(300)]
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vectors[:50])], "query_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(i // 4, i % 4, v) for i, v in enumerate(vectors)], "file_id long, ordinal long, embedding array<double>")
+    want = sorted(map(tuple, retrieval.top_files(queries, chunks, 5).collect()))
+    units = [np.array(v) / np.linalg.norm(v) if any(v) else None for v in vectors]
+    for q in range(50):
+        if units[q] is None:
+            continue
+        best = {}
+        for i, u in enumerate(units):
+            if u is not None:
+                s = round(float(u @ units[q]), 6)
+                best[i // 4] = min(best.get(i // 4, (9, 9)), (-s, i % 4))
+        top = sorted((s, f, o) for f, (s, o) in best.items())[:5]
+        assert [(f, o, -s, k + 1) for k, (s, f, o) in enumerate(top)] == [t[1:] for t in sorted((t for t in want if t[0] == q), key=lambda t: t[4])]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SENT_BYTES", 200)
+    assert sorted(map(tuple, retrieval.top_files(queries, chunks, 5).collect())) == want
