@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from foliant.plans import classify, golden, ingest, intake, inventory, learning, migration, retrieval, selection, sources, temporal, workset  # noqa: E402, F401
+from foliant.plans import classify, golden, ingest, intake, inventory, learning, migration, retrieval, runplans, selection, sources, temporal, workset  # noqa: E402, F401
