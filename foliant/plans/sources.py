@@ -6,6 +6,7 @@ What they read was written by the query itself from the tables, to a folder of t
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from foliant.plans.registry import query
-from foliant.sources import extract, listing
+from foliant.sources import extract, listing, scan
 from foliant.sources.scratch import shared_dir
 from foliant.streaming import jobs
 
@@ -32,6 +33,45 @@ def _(v):
     return found.groupBy(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
 
 
+def _written(v) -> str:
+    """A file for each text, empty ones too, below a folder for each source: the tree that the scans below read."""
+    root = f"{_folder(v)}/tree".removeprefix("file://")
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, doc_id, text in zip(batch["source"], batch["doc_id"], batch["text"], strict=True):
+                os.makedirs(f"{root}/{source}", exist_ok=True)
+                with open(f"{root}/{source}/{doc_id}{'.txt' if doc_id % 3 else '.bin'}", "wb") as f:
+                    f.write(text.encode())
+            yield batch[["doc_id"]]
+
+    rows = v.documents.select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    rows.mapInPandas(written, "doc_id long").agg(F.count("*")).collect()
+    return root
+
+
+#: Below the tree's root, whose place differs from run to run.
+BELOW = "select coalesce(source, 'none') || '/' || doc_id || case when doc_id % 3 = 0 then '.bin' else '.txt' end as path, case when doc_id % 50 = 0 then '' else coalesce(text, '') end as body, doc_id from documents"
+
+
+@query("s01b_scan", f"select path, strlen(body) as size_bytes, true as readable, least(strlen(body), 1024) as head_bytes, 1 as links from ({BELOW})")
+def _(v):
+    root = _written(v)
+    found = scan.listed(scan.scan(v.spark, root), root)
+    inodes = found.groupBy("filesystem_device", "inode").agg(F.count("*").cast("int").alias("links"))
+    here = found.join(inodes, ["filesystem_device", "inode"])
+    return here.select(F.substring("path", len(root) + 2, 1000).alias("path"), "size_bytes", "readable", F.length("head").cast("long").alias("head_bytes"), "links")
+
+
+@query("s08b_file_fingerprints", f"""select path, sha256(encode(body)[1:1024]) as hash_head, case when path like '%.txt' and body <> '' then case when doc_id % 4 = 1 then 'known' else sha256(body) end end as content_sha256 from ({BELOW})""")
+def _(v):
+    root = _written(v)
+    found = scan.scan(v.spark, root)
+    number = F.regexp_extract("path", "/([0-9]+)[.][a-z]+$", 1).cast("long")
+    prior = found.where(number % 4 == 1).select("path", "size_bytes", "modified_at_fs", F.lit("known").alias("content_sha256"))
+    return scan.file_fingerprints(found, prior).select(F.substring("path", len(root) + 2, 1000).alias("path"), "hash_head", "content_sha256")
+
+
 @query("s04_event_stream", "select event, stream, count(*) as events, count(distinct path) as paths, sum(event_id)::bigint as ids from stream group by 1, 2")
 def _(v):
     base = _folder(v)
