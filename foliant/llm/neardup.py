@@ -140,33 +140,36 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _listed(entries: DataFrame) -> DataFrame:
-    """(code, segment, row, word): every entry under all codes of its balls, made in all tasks."""
-    spread = entries.repartition(_parts(entries), "row").select("row", "word", F.posexplode("segments").alias("segment", "code"))
+def _listed(entries: DataFrame, *more: str) -> DataFrame:
+    """(code, segment, row, word, and more columns): every entry under all codes of its balls, made in all tasks."""
+    spread = entries.repartition(_parts(entries), "row").select("row", "word", *more, F.posexplode("segments").alias("segment", "code"))
     ball = F.expr(f"transform(sequence(-1, {SEGMENT_BITS - 1}), i -> (segment << {SEGMENT_BITS}) | if(i < 0, code, code ^ (1 << i)))")
-    return spread.select(F.explode(ball).alias("code"), "segment", "row", "word")
+    return spread.select(F.explode(ball).alias("code"), "segment", "row", "word", *more)
 
 
 def _far(x: str, y: str):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(entries: DataFrame, among_crowded: bool = True) -> tuple[DataFrame, DataFrame]:
     """(row, word, segments) of distinct sets -> (a, b, far) pairs, and the rows (row) of crowded codes.
 
-    Pairs share a code and differ in ``RADIUS`` bits of the word at most. A row meets the centre of the most crowded of its
-    codes of each segment; ``prefix_pairs`` has what else there is among rows of crowded codes.
+    Pairs share a code and differ in ``RADIUS`` bits of the word at most. A row of crowded codes meets the centre of the most crowded of its
+    codes of each segment; ``prefix_pairs`` has what else there is among such rows, so that they needn't be paired with each other
+    under their other codes (``among_crowded``).
     """
     spark = entries.sparkSession
     counts = _listed(entries).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
     counts = scratch(counts, "crowded_codes")
     release(spark)
-    few = _listed(entries).select("code", "row", "word").join(counts, "code", "left_anti")
-    near = (F.col("x.code") == F.col("y.code")) & (F.col("x.row") < F.col("y.row")) & (_far("x.word", "y.word") <= RADIUS)
+    crowded = scratch(_listed(entries).join(counts, "code"), "crowded")
+    rows = scratch(crowded.select("row").distinct(), "crowded_rows")
+    flagged = entries.join(rows.withColumn("many", F.lit(True)).hint("merge"), "row", "left").withColumn("many", F.col("many").isNotNull())
+    few = _listed(flagged, "many").select("code", "row", "word", "many").join(counts, "code", "left_anti")
+    near = (F.col("x.code") == F.col("y.code")) & (F.col("x.row") < F.col("y.row")) & (F.lit(among_crowded) | ~(F.col("x.many") & F.col("y.many"))) & (_far("x.word", "y.word") <= RADIUS)
     pairs = few.alias("x").join(few.alias("y"), near).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), _far("x.word", "y.word").alias("far")).distinct()
     pairs = scratch(pairs, "pairs")
     release(spark)
-    crowded = scratch(_listed(entries).join(counts, "code"), "crowded")
     bits = [F.sum(F.shiftrightunsigned("word", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
     major = crowded.groupBy("code").agg(F.count(F.lit(1)).alias("of"), *bits)
     middle = F.lit(0).cast("long")
@@ -177,7 +180,7 @@ def candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     centres = scratch(centres.select("code", F.col("c.row").alias("centre"), F.col("c.word").alias("centre_word")), "centres")
     main = crowded.groupBy("row", "segment").agg(F.max_by(F.struct("code", "word"), F.struct("n", "code")).alias("m")).select("row", "m.*")
     both = pairs.unionByName(starred(main, centres)).groupBy("a", "b").agg(F.min("far").alias("far"))
-    both, rows = scratch(both, "candidates"), scratch(crowded.select("row").distinct(), "crowded_rows")
+    both = scratch(both, "candidates")
     drop_scratch(crowded)
     drop_scratch(centres)
     return both, rows
@@ -207,7 +210,7 @@ def near_links(entries: DataFrame, texts: DataFrame, width: int = WORDS, similar
     of its partners that has most candidates; then all pairs that lie in different groups still.
     """
     spark = entries.sparkSession
-    pairs, crowded = candidates(entries)
+    pairs, crowded = candidates(entries, among_crowded=False)
     release(spark)
     ends = pairs.select(F.col("a").alias("row"), F.col("b").alias("other"), "far").unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("other"), "far"))
     degree = ends.groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
