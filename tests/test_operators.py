@@ -369,6 +369,15 @@ def test_scans_and_blocks_of_any_size_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.top_files(queries, chunks, 5).collect())) == want
 
 
+def test_a_task_compares_few_vectors_at_once(spark, monkeypatch):
+    vectors = [(i // 3, i % 3, [float(i % 7), 1.0, float(i % 5)]) for i in range(400)]
+    queries = spark.createDataFrame([(i, v[2]) for i, v in enumerate(vectors[:20])], "query_id long, embedding array<double>")
+    chunks = spark.createDataFrame(vectors, "file_id long, ordinal long, embedding array<double>").coalesce(1)
+    want = sorted(map(tuple, retrieval.top_files(queries, chunks, 4).collect()))
+    monkeypatch.setattr(retrieval, "SCORES", 100)
+    assert sorted(map(tuple, retrieval.top_files(queries, chunks, 4).collect())) == want
+
+
 def test_private_patterns_have_plain_word_ends(spark):
     texts = ["hypotheek 5381 ueñta", "rente édhr x", "énl12abcd0123456789", "rente 2135\x0bnj", "bsn nr  123456789", "bsn\n123456789", "rente adhr x"]
     rows = spark.createDataFrame(list(enumerate(texts)), "file_id int, text string")
