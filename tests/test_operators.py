@@ -419,3 +419,15 @@ def test_close_paths_near_and_far_equal_brute_force(spark):
             want[i] = (min(found)[1], min(1.0, -min(found)[0]))
     got = classify.close_paths(spark.createDataFrame(entered, "file_id long, path string"), spark.createDataFrame([(k,) for k in known], "path string"))
     assert {r.file_id: (r.suggestion, r.similarity) for r in got.collect()} == want and len(want) > 20
+
+
+def test_judgments_of_one_family_are_several_tasks(spark):
+    families = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1), ("b", 2), ("b", 2)], "family string, file_id long")
+    grades = spark.createDataFrame([(q, "a", 2) for q in range(4)] + [(0, "b", 1), (1, "b", 2)], "query_id long, family string, grade int")
+    over = spark.createDataFrame([(0, 2, 0, 1), (0, 2, 3, 2), (9, 5, 1, 1), (3, 7, None, 1)], "query_id long, file_id long, grade int, place long")
+    good, conflicts = retrieval.expand_judgments(families, grades, over)
+    want = {(q, f, 2, False) for q in range(4) for f in range(300)} - {(0, 1, 2, False), (0, 2, 2, False)} | {(0, 2, 3, True), (9, 5, 1, True)}
+    assert sorted(map(tuple, good.collect())) == sorted(want) and [tuple(r) for r in conflicts.collect()] == [(0, 1)]
+    files, of = retrieval.classes(families.where("family = 'a'"), "family")
+    pairs = retrieval.each_file(files, of.join(grades, "family").drop("family"))
+    assert pairs.groupBy(F.spark_partition_id()).count().count() > 1
