@@ -422,6 +422,7 @@ def test_close_paths_near_and_far_equal_brute_force(spark):
 
 
 def test_judgments_of_one_family_are_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables this small would be one task
     families = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1), ("b", 2), ("b", 2)], "family string, file_id long")
     grades = spark.createDataFrame([(q, "a", 2) for q in range(4)] + [(0, "b", 1), (1, "b", 2)], "query_id long, family string, grade int")
     over = spark.createDataFrame([(0, 2, 0, 1), (0, 2, 3, 2), (9, 5, 1, 1), (3, 7, None, 1)], "query_id long, file_id long, grade int, place long")
@@ -430,4 +431,21 @@ def test_judgments_of_one_family_are_several_tasks(spark):
     assert sorted(map(tuple, good.collect())) == sorted(want) and [tuple(r) for r in conflicts.collect()] == [(0, 1)]
     files, of = retrieval.classes(families.where("family = 'a'"), "family")
     pairs = retrieval.each_file(files, of.join(grades, "family").drop("family"))
-    assert pairs.groupBy(F.spark_partition_id()).count().count() > 1
+    tasks = pairs.select(F.spark_partition_id().alias("t")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+
+
+def test_evaluation_by_classes_makes_no_pairs_and_equals_that_by_pairs(spark):
+    rnd = random.Random(4)
+    members = {(f, rnd.randint(0, 4)) for f in range(60) for _ in range(2)}
+    grades = {(q, (q + k) % 5, 2 - k) for q in range(6) for k in (0, 1)}
+    pairs = {}
+    for q, label, grade in grades:
+        for f, own in members:
+            if own == label:
+                pairs[q, f] = max(grade, pairs.get((q, f), 0))
+    results = spark.createDataFrame([(r, q, f, k + 1) for r in ("x", "y") for q in range(7) for k, f in enumerate(rnd.sample(range(70), 10))], "ranking string, query_id long, file_id long, rank int")
+    by_pairs = retrieval.evaluate(results, spark.createDataFrame([(*k, g) for k, g in pairs.items()], "query_id long, file_id long, grade int"))
+    by_class = retrieval.evaluate_classes(results, spark.createDataFrame(sorted(members), "file_id long, label int"), spark.createDataFrame(sorted(grades), "query_id long, label int, grade int"), "label")
+    assert sorted(map(tuple, by_class.collect())) == sorted(map(tuple, by_pairs.collect())) and by_class.count() == 2
