@@ -47,13 +47,19 @@ def text_of(path: str, content: bytes) -> tuple[str | None, str]:
     return text, "extracted" if text.strip() else "no_text"
 
 
+def _counts(path: str, content: bytes) -> tuple[str, int, int, int, str]:
+    text, status = text_of(path, content)
+    return path, len(content), len(text or ""), len((text or "").split()), status
+
+
 def text_stats(files: DataFrame) -> DataFrame:
     """(path, content) -> characters, words and status of each file."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [text_of(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "size_bytes": [len(c) for c in batch["content"]], "characters": [len(t or "") for t, _ in found], "words": [len((t or "").split()) for t, _ in found], "status": [s for _, s in found]})
+            # One text is held at a time.
+            rows = [_counts(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "characters", "words", "status"])
 
     return files.select("path", "content").mapInPandas(read, STATS)
 

@@ -449,3 +449,8 @@ def test_evaluation_by_classes_makes_no_pairs_and_equals_that_by_pairs(spark):
     by_pairs = retrieval.evaluate(results, spark.createDataFrame([(*k, g) for k, g in pairs.items()], "query_id long, file_id long, grade int"))
     by_class = retrieval.evaluate_classes(results, spark.createDataFrame(sorted(members), "file_id long, label int"), spark.createDataFrame(sorted(grades), "query_id long, label int, grade int"), "label")
     assert sorted(map(tuple, by_class.collect())) == sorted(map(tuple, by_pairs.collect())) and by_class.count() == 2
+
+
+def test_counts_of_a_file_hold_no_text():
+    assert extract._counts("/a.txt", "één\x1ctwee\xa0 x".encode()) == ("/a.txt", 14, 11, 3, "extracted")
+    assert extract._counts("/a.txt", b" ") == ("/a.txt", 1, 1, 0, "no_text") and extract._counts("/a.pdf", b"%") == ("/a.pdf", 1, 0, 0, "needs_ocr")
