@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.common import first_of, top_per
+from foliant.functions.common import first_of
 
 DAY = 86400
 #: Ranks of sources, one for the profile and another for the canonical choice.
@@ -44,31 +44,47 @@ def evidence_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("evidence_key", F.sha2(F.concat_ws("|", subject, "date_type", "source_type", F.coalesce(F.col("value_epoch").cast("string"), F.lit(""))), 256))
 
 
-def current_evidence(files: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence of each active file: by equal content for content evidence, by id and content for file evidence.
+def _observed() -> dict[str, Column]:
+    """What profile and resolution need of observations, as sums, bounds and greatest rows, so that sums of parts add up (``_ADDED``)."""
+    newest = lambda source: F.max(F.when(F.col("source_type") == source, F.struct("observed_epoch", "evidence_id", "value_epoch", "timezone_status")))
+    order = [F.col("value_epoch").isNotNull().alias("known"), confidence_rank().alias("c"), _rank("source_type", PROFILE_RANK, 1).alias("s"), "observed_epoch", "evidence_id"]
+    return {
+        "n": F.count(F.lit(1)), "least": F.min("value_epoch"), "most": F.max("value_epoch"), "pdf_only": F.bool_and(F.col("source_type").startswith("pdf")), "info": newest("pdf_info"), "xmp": newest("pdf_xmp"),
+        "best": F.max(F.struct(*order, "value_epoch", "source_type", "confidence")),
+    }
 
-    Two equality joins, as their branches exclude each other.
+
+_ADDED = {"n": F.sum, "least": F.min, "most": F.max, "pdf_only": F.bool_and, "info": F.max, "xmp": F.max, "best": F.max}
+
+
+def observed(files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(for_file, date_type, and what is observed): evidence of each active file, by equal content for content evidence, by id and content for file evidence.
+
+    Evidence of a content is summed up before it meets the files that have that content: copies times their evidence are never made.
     """
-    active = files.where("deleted_epoch is null").select(F.col("file_id").alias("for_file"), F.col("content_sha256").alias("_sha"))
-    content = evidence.where("scope = 'content'").join(active, F.col("content_sha256") == F.col("_sha"))
-    own = evidence.where("scope = 'file'").join(active, (F.col("file_id") == F.col("for_file")) & (F.col("content_sha256") == F.col("_sha")))
-    return content.unionByName(own).drop("_sha")
+    active = files.where("deleted_epoch is null and content_sha256 is not null").select(F.col("file_id").alias("for_file"), "content_sha256")
+    state = [c.alias(k) for k, c in _observed().items()]
+    content = evidence.where("scope = 'content' and content_sha256 is not null").groupBy("content_sha256", "date_type").agg(*state).join(active, "content_sha256")
+    own = evidence.where("scope = 'file'").join(active.withColumnRenamed("for_file", "file_id"), ["file_id", "content_sha256"]).groupBy(F.col("file_id").alias("for_file"), "date_type").agg(*state)
+    # Dealt by file, so that what sums up by file next needs neither another shuffle nor another sort.
+    both = content.drop("content_sha256").unionByName(own).repartition("for_file")
+    return both.groupBy("for_file", "date_type").agg(*[f(k).alias(k) for k, f in _ADDED.items()]).withColumn("several", F.coalesce(F.col("least") < F.col("most"), F.lit(False)))
 
 
-def resolution(files: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Status of each (file, date type): consistent, equivalent (PDF info and XMP within 2 s or on one day), or in conflict."""
-    rows = current_evidence(files, evidence)
-    newest = lambda source: F.max_by(F.struct("value_epoch", "timezone_status"), F.when(F.col("source_type") == source, F.struct("observed_epoch", "evidence_id")))
-    inputs = rows.groupBy("for_file", "date_type").agg(
-        F.count("*").alias("n"), (F.countDistinct("value_epoch") > 1).alias("raw_conflict"), F.bool_and(F.col("source_type").startswith("pdf")).alias("pdf_only"), newest("pdf_info").alias("info"), newest("pdf_xmp").alias("xmp")
-    )
+def _resolved(rows: DataFrame) -> DataFrame:
+    """Rows of ``observed`` with status and reason."""
     usable = F.col("pdf_only") & F.col("info.value_epoch").isNotNull() & F.col("info.timezone_status").isin("utc", "explicit_offset") & F.col("xmp.value_epoch").isNotNull()
     close = usable & (F.abs(F.col("info.value_epoch") - F.col("xmp.value_epoch")) <= 2)
     same_day = usable & (F.col("xmp.value_epoch") % DAY == 0) & (F.floor(F.col("xmp.value_epoch") / DAY) == F.floor(F.col("info.value_epoch") / DAY))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    reason = first_of((~F.col("raw_conflict"), "consistent_single_value"), (yes(close), "equivalent_instant"), (yes(same_day), "equivalent_day"), default="materially_different")
-    status = first_of((~F.col("raw_conflict"), "consistent"), (yes(close | same_day), "equivalent"), default="material_conflict")
-    return inputs.select("for_file", "date_type", "n", status.alias("status"), reason.alias("reason"))
+    reason = first_of((~F.col("several"), "consistent_single_value"), (yes(close), "equivalent_instant"), (yes(same_day), "equivalent_day"), default="materially_different")
+    status = first_of((~F.col("several"), "consistent"), (yes(close | same_day), "equivalent"), default="material_conflict")
+    return rows.withColumns({"status": status, "reason": reason})
+
+
+def resolution(files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Status of each (file, date type): consistent, equivalent (PDF info and XMP within 2 s or on one day), or in conflict."""
+    return _resolved(observed(files, evidence)).select("for_file", "date_type", "n", "status", "reason")
 
 
 def profile(files: DataFrame, evidence: DataFrame, conflict_mode: str = "resolution") -> DataFrame:
@@ -76,18 +92,11 @@ def profile(files: DataFrame, evidence: DataFrame, conflict_mode: str = "resolut
 
     conflict_mode: by ``resolution``, or ``distinct``: more than one distinct value.
     """
-    rows = current_evidence(files, evidence).withColumns({"_c": confidence_rank(), "_s": _rank("source_type", PROFILE_RANK, 1)})
-    best = rows.groupBy("for_file", "date_type").agg(
-        F.max_by(F.struct("value_epoch", "source_type", "confidence"), F.struct(F.col("value_epoch").isNotNull(), "_c", "_s", "observed_epoch", "evidence_id")).alias("b"), F.count("*").alias("n"), (F.countDistinct("value_epoch") > 1).alias("several")
-    )
-    if conflict_mode == "resolution":
-        found = resolution(files, evidence).select("for_file", "date_type", (F.col("status") == "material_conflict").alias("conflict"))
-        best = best.join(found, ["for_file", "date_type"])
-    else:
-        best = best.withColumn("conflict", F.col("several"))
+    rows = _resolved(observed(files, evidence))
+    rows = rows.withColumn("conflict", F.col("status") == "material_conflict" if conflict_mode == "resolution" else F.col("several"))
     pick = lambda kind, c: F.max(F.when(F.col("date_type") == kind, F.col(c)))
-    columns = [a for kind in ("created", "modified") for a in (pick(kind, "b.value_epoch").alias(f"{kind}_epoch"), pick(kind, "b.source_type").alias(f"{kind}_source"), pick(kind, "b.confidence").alias(f"{kind}_confidence"), F.coalesce(F.bool_or(F.when(F.col("date_type") == kind, F.col("conflict"))), F.lit(False)).alias(f"{kind}_conflict"))]
-    return best.groupBy("for_file").agg(F.sum("n").alias("evidence_count"), *columns)
+    columns = [a for kind in ("created", "modified") for a in (pick(kind, "best.value_epoch").alias(f"{kind}_epoch"), pick(kind, "best.source_type").alias(f"{kind}_source"), pick(kind, "best.confidence").alias(f"{kind}_confidence"), F.coalesce(F.bool_or(F.when(F.col("date_type") == kind, F.col("conflict"))), F.lit(False)).alias(f"{kind}_conflict"))]
+    return rows.groupBy("for_file").agg(F.sum("n").alias("evidence_count"), *columns)
 
 
 def judged(evidence: DataFrame, as_of: int) -> DataFrame:
@@ -99,11 +108,18 @@ def judged(evidence: DataFrame, as_of: int) -> DataFrame:
     return evidence.withColumns({"excluded": reason.cast("string"), "day": F.floor(v / DAY), "zoned": zoned, "date_only": ~zoned & (v % DAY == 0)})
 
 
+def _canonical_order() -> Column:
+    """What the canonical row is least in, and the row's values."""
+    sign = F.when(F.col("date_type") == "created", 1).otherwise(-1)
+    order = [sign * F.col("day"), F.col("date_only").cast("int"), (~F.col("zoned")).cast("int"), -confidence_rank(), -_rank("source_type", CANONICAL_RANK, 0), sign * F.col("value_epoch"), F.col("evidence_id")]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "evidence_id", "value_epoch", "source_type", "date_only", "zoned")
+
+
 def canonical(evidence: DataFrame, as_of: int) -> DataFrame:
     """Canonical evidence of each (file, date type): earliest created, latest modified day, then the more precise and certain."""
-    rows = judged(evidence, as_of).where("excluded is null").withColumns({"_c": confidence_rank(), "_s": _rank("source_type", CANONICAL_RANK, 0), "_sign": F.when(F.col("date_type") == "created", 1).otherwise(-1)})
-    order = [F.col("_sign") * F.col("day"), F.col("date_only").cast("int"), (~F.col("zoned")).cast("int"), -F.col("_c"), -F.col("_s"), F.col("_sign") * F.col("value_epoch"), F.col("evidence_id")]
-    return top_per(rows, ["file_id", "date_type"], order, 1).select("file_id", "date_type", "evidence_id", "value_epoch", "source_type", "date_only", "zoned")
+    rows = judged(evidence, as_of).where("excluded is null")
+    best = rows.groupBy("file_id", "date_type").agg(F.min(_canonical_order()).alias("b"))
+    return best.select("file_id", "date_type", *[f"b.{c}" for c in ("evidence_id", "value_epoch", "source_type", "date_only", "zoned")])
 
 
 def impact(files: DataFrame, evidence: DataFrame, as_of: int, months: int) -> DataFrame:
@@ -113,12 +129,15 @@ def impact(files: DataFrame, evidence: DataFrame, as_of: int, months: int) -> Da
     credible dates lie before and within the window of ``months`` and the file system's date isn't within it itself; only then, or with a
     created date after the modified one, is the file to review. created_changed and modified_changed: the canonical value isn't the profile's.
     """
-    pick = lambda kind, c, name: F.max(F.when(F.col("date_type") == kind, F.col(c))).alias(name)
-    chosen = canonical(evidence, as_of).groupBy("file_id").agg(pick("created", "value_epoch", "new_created"), pick("modified", "value_epoch", "new_modified"), pick("created", "zoned", "_cz"), pick("modified", "zoned", "_mz"))
     cut = F.unix_timestamp(F.timestamp_seconds(F.lit(as_of)) - F.make_ym_interval(F.lit(0), F.lit(months)))
-    credible = judged(evidence, as_of).where("excluded is null").groupBy("file_id").agg(F.bool_or(F.col("value_epoch") < cut).alias("_before"), F.bool_or((F.col("value_epoch") >= cut) & (F.col("value_epoch") <= as_of)).alias("_within"))
+    pick = lambda kind: F.min(F.when(F.col("date_type") == kind, _canonical_order())).alias(kind)
+    before, within = F.col("value_epoch") < cut, (F.col("value_epoch") >= cut) & (F.col("value_epoch") <= as_of)
+    # The canonical choices (as by ``canonical``) and the credible dates in one aggregate.
+    chosen = judged(evidence, as_of).where("excluded is null").groupBy("file_id").agg(pick("created"), pick("modified"), F.bool_or(before).alias("_before"), F.bool_or(within).alias("_within"))
+    named = [("created.value_epoch", "new_created"), ("modified.value_epoch", "new_modified"), ("created.zoned", "_cz"), ("modified.zoned", "_mz")]
+    chosen = chosen.select("file_id", *[F.col(c).alias(name) for c, name in named], "_before", "_within")
     old = profile(files, evidence).select(F.col("for_file").alias("file_id"), "created_epoch", "modified_epoch", "created_conflict", "modified_conflict")
-    rows = files.where("deleted_epoch is null").select("file_id", "modified_at_fs").join(chosen, "file_id", "left").join(credible, "file_id", "left").join(old, "file_id", "left")
+    rows = files.where("deleted_epoch is null").select("file_id", "modified_at_fs").join(chosen, "file_id", "left").join(old, "file_id", "left")
     past = lambda c: F.when(F.col(c) <= as_of, F.col(c))
     conflict = F.coalesce(F.col("created_conflict") | F.col("modified_conflict"), F.lit(False))
     recent = F.coalesce((F.col("modified_at_fs") >= cut) & (F.col("modified_at_fs") <= as_of), F.lit(False))
