@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,8 @@ BUCKET = 32
 #: Links of a text that meet in one task.
 HUB = 1024
 GROUP_BYTES = 1 << 19
+#: Row numbers that are sent to all tasks, so that texts needn't be shuffled to meet them; more are sorted and merged.
+SENT = 3_000_000
 _SALTS = [mix64(np.array([i + 1], np.uint64) * ODD)[0] for i in range(4)]
 
 
@@ -147,6 +149,11 @@ def _listed(entries: DataFrame, *more: str) -> DataFrame:
     return spread.select(F.explode(ball).alias("code"), "segment", "row", "word", *more)
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """A stored table of row numbers alone, as the right side of a join with texts."""
+    return rows.hint("broadcast" if rows.count() <= SENT else "merge")
+
+
 def _far(x: str, y: str):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
@@ -214,9 +221,8 @@ def near_links(entries: DataFrame, texts: DataFrame, width: int = WORDS, similar
     release(spark)
     ends = pairs.select(F.col("a").alias("row"), F.col("b").alias("other"), "far").unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("other"), "far"))
     degree = ends.groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
-    wanted = degree.select("row").unionByName(crowded).distinct()
-    # Sorted and merged whatever the size, as texts and sets aren't bounded.
-    sets = scratch(texts.join(wanted.hint("merge"), "row").select("row", _sets(width)("body").alias("set")), "sets")
+    wanted = scratch(degree.select("row").unionByName(crowded).distinct(), "wanted")
+    sets = scratch(texts.join(_sent(wanted), "row").select("row", _sets(width)("body").alias("set")), "sets")
     release(spark)
     best = F.max_by("other", F.struct("degree", -F.col("far"), -F.col("other")))
     hung = ends.join(degree.withColumnRenamed("row", "other"), "other").groupBy("row").agg(best.alias("other"))
@@ -227,7 +233,7 @@ def near_links(entries: DataFrame, texts: DataFrame, width: int = WORDS, similar
     if not crowded.isEmpty():
         last = scratch(verified(prefix_pairs(sets.join(crowded.hint("merge"), "row"), links, similarity), sets, similarity), "last_links")
         links = links.unionByName(last)
-    for table in (sets, pairs, crowded):
+    for table in (sets, pairs, crowded, wanted):
         drop_scratch(table)
     release(spark)
     return links
@@ -240,8 +246,9 @@ def prefix_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFr
     there if that is enough for their sizes. Of the rows that meet at a shingle the largest group isn't compared within itself.
     """
     listed = sets.select("row", F.size("set").alias("n"), F.explode("set").alias("s"))
-    shared = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = listed.join(shared, "s").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c"))
+    # Counted beside the rows, which a join with the counts would shuffle twice.
+    counted = listed.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("df > 1")
+    ordered = counted.groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c"))
     # Shingles that no other set has come before these.
     before = F.col("n") - F.size("c")
     front = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
@@ -298,8 +305,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     roots = connected_components(links)
     rooted = sets.select("none", "key", "row").join(roots.withColumnRenamed("node", "row"), "row", "left")
     kept = rooted.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min(F.struct("none", "key", "row")).alias("first"))
-    kept = scratch(kept.select(F.col("first.row").alias("_row")), "kept")
+    # Mostly fewer than the rows to keep.
+    left_out = scratch(prints.select(F.col("row").alias("_row")).join(kept.select(F.col("first.row").alias("_row")), "_row", "left_anti"), "left_out")
     drop_scratch(prints)
     drop_scratch(sets)
     release(docs.sparkSession)
-    return rows.join(kept, "_row", "left_semi").select([F.col(f"doc.`{c}`").alias(c) for c in names])
+    return rows.join(_sent(left_out), "_row", "left_anti").select([F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -118,3 +118,17 @@ def test_templates_lose_nothing_at_crowded_codes(spark, monkeypatch, bucket, edi
         assert got == want
     # Codes that aren't crowded find a pair of 0.97 almost surely.
     assert len(set(want) - set(got)) == 0 and len(got) - len(want) <= 0.02 * len(want)
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_texts_are_shuffled_only_beyond_the_limit_of_sent_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "SENT", sent)
+    rows = corpus()[:24]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == brute_first(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("BroadcastHashJoin" in plan) == (sent > 0) and ("SortMergeJoin" in plan) == (sent == 0)
