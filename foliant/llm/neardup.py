@@ -8,7 +8,7 @@ What meets is held against the distance of the 64-bit words, and what passes aga
 the shingle sets (hashed to 32 bits each).
 
 Equal sets are one entry of the tables. A code with more than ``BUCKET`` entries doesn't pair them all: each entry first meets the
-most central one (nearest to the majority of each bit) of the most crowded of its codes of each segment. So a large group costs a few pairs for
+most central one (nearest to the majority of each bit) of those whose most crowded code of a segment is the same. So a large group costs a few pairs for
 each of its members. Then all rows of crowded codes that lie in different groups still are joined by their rarest shingles: with these first,
 two sets of enough similarity share one among so many at the front that either may lack. That is exact, whatever the texts have in common.
 """
@@ -142,11 +142,15 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A segment's code as one number for all segments, and that with those one bit from it.
+OWN = f"(segment << {SEGMENT_BITS}) | code"
+BALL = f"transform(sequence(-1, {SEGMENT_BITS - 1}), i -> own ^ if(i < 0, 0, 1 << i))"
+
+
 def _listed(entries: DataFrame, *more: str) -> DataFrame:
-    """(code, segment, row, word, and more columns): every entry under all codes of its balls, made in all tasks."""
+    """(code, row, word, and more columns): every entry under all codes of its balls, made in all tasks."""
     spread = entries.repartition(_parts(entries), "row").select("row", "word", *more, F.posexplode("segments").alias("segment", "code"))
-    ball = F.expr(f"transform(sequence(-1, {SEGMENT_BITS - 1}), i -> (segment << {SEGMENT_BITS}) | if(i < 0, code, code ^ (1 << i)))")
-    return spread.select(F.explode(ball).alias("code"), "segment", "row", "word", *more)
+    return spread.selectExpr("row", "word", *more, f"{OWN} as own").select(F.explode(F.expr(BALL)).alias("code"), "row", "word", *more)
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -158,6 +162,23 @@ def _far(x: str, y: str):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
+def crowded_codes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Codes with more than ``BUCKET`` entries (code, n), and the most crowded one (own, code) in each ball that has any.
+
+    own: the code that a ball is around. Entries of equal codes are counted first, so a ball is listed once for each different
+    code, however many entries have it.
+    """
+    own = entries.select(F.posexplode("segments").alias("segment", "code")).groupBy(F.expr(OWN).alias("own")).agg(F.count(F.lit(1)).alias("e"))
+    own = scratch(own, "own_codes")
+    # In all tasks, so that none counts a large share of all codes.
+    balls = own.repartition(_parts(entries), "own").select("own", "e", F.explode(F.expr(BALL)).alias("code"))
+    counts = scratch(balls.groupBy("code").agg(F.sum("e").alias("n")).where(F.col("n") > BUCKET), "crowded_codes")
+    release(entries.sparkSession)
+    main = scratch(balls.join(counts, "code").groupBy("own").agg(F.max_by("code", F.struct("n", "code")).alias("code")), "main_codes")
+    drop_scratch(own)
+    return counts, main
+
+
 def candidates(entries: DataFrame, among_crowded: bool = True) -> tuple[DataFrame, DataFrame]:
     """(row, word, segments) of distinct sets -> (a, b, far) pairs, and the rows (row) of crowded codes.
 
@@ -166,10 +187,10 @@ def candidates(entries: DataFrame, among_crowded: bool = True) -> tuple[DataFram
     under their other codes (``among_crowded``).
     """
     spark = entries.sparkSession
-    counts = _listed(entries).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
-    counts = scratch(counts, "crowded_codes")
-    release(spark)
-    crowded = scratch(_listed(entries).join(counts, "code"), "crowded")
+    counts, main = crowded_codes(entries)
+    # Eight rows of an entry at most; the other codes of its balls aren't needed to find its centres.
+    spread = entries.select("row", "word", F.posexplode("segments").alias("segment", "code")).selectExpr("row", "word", f"{OWN} as own")
+    crowded = scratch(spread.join(main, "own").select("row", "word", "code"), "crowded")
     rows = scratch(crowded.select("row").distinct(), "crowded_rows")
     flagged = entries.join(rows.withColumn("many", F.lit(True)).hint("merge"), "row", "left").withColumn("many", F.col("many").isNotNull())
     few = _listed(flagged, "many").select("code", "row", "word", "many").join(counts, "code", "left_anti")
@@ -185,11 +206,10 @@ def candidates(entries: DataFrame, among_crowded: bool = True) -> tuple[DataFram
     nearest = F.min_by(F.struct("row", "word"), F.struct(_far("word", "middle"), "row")).alias("c")
     centres = crowded.join(major.select("code", middle.alias("middle")), "code").groupBy("code").agg(nearest)
     centres = scratch(centres.select("code", F.col("c.row").alias("centre"), F.col("c.word").alias("centre_word")), "centres")
-    main = crowded.groupBy("row", "segment").agg(F.max_by(F.struct("code", "word"), F.struct("n", "code")).alias("m")).select("row", "m.*")
-    both = pairs.unionByName(starred(main, centres)).groupBy("a", "b").agg(F.min("far").alias("far"))
+    both = pairs.unionByName(starred(crowded, centres)).groupBy("a", "b").agg(F.min("far").alias("far"))
     both = scratch(both, "candidates")
-    drop_scratch(crowded)
-    drop_scratch(centres)
+    for table in (main, crowded, centres):
+        drop_scratch(table)
     return both, rows
 
 

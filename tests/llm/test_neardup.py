@@ -128,3 +128,28 @@ def test_texts_are_shuffled_only_beyond_the_limit_of_sent_rows(spark, monkeypatc
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in out.collect()) == brute_first(rows)
     assert ("BroadcastHashJoin" in plan) == (sent > 0) and ("SortMergeJoin" in plan) == (sent == 0)
+
+
+def test_a_group_is_listed_by_its_different_codes(spark, monkeypatch):
+    """Of a large group, crowded codes and their centres are found with 8 rows of a text at most, not 200."""
+    n = 400
+    segments = [[17 + s if i % 4 else 17 + s + (1 << (i % 24)) for s in range(neardup.SEGMENTS)] for i in range(n)]
+    entries = spark.createDataFrame([(i, i % 7, segments[i]) for i in range(n)], "row long, word long, segments array<int>")
+    balls = {(s << neardup.SEGMENT_BITS) | c: 0 for row in segments for s, c in enumerate(row)}
+    count = defaultdict(int)
+    ball = lambda own: [own, *(own ^ (1 << i) for i in range(neardup.SEGMENT_BITS))]
+    for row in segments:
+        for s, c in enumerate(row):
+            for code in ball((s << neardup.SEGMENT_BITS) | c):
+                count[code] += 1
+    want = {c: k for c, k in count.items() if k > neardup.BUCKET}
+    kept, scratch = {}, neardup.scratch
+    monkeypatch.setattr(neardup, "scratch", lambda df, name: kept.setdefault(name, scratch(df, name)))
+    monkeypatch.setattr(neardup, "drop_scratch", lambda table: None)
+    pairs, rows = neardup.candidates(entries, among_crowded=False)
+    assert {r.code: r.n for r in kept["crowded_codes"].collect()} == want
+    most = {own: max((k for k in ball(own) if k in want), key=lambda k: (want[k], k), default=None) for own in balls}
+    assert {r.own: r.code for r in kept["main_codes"].collect()} == {own: code for own, code in most.items() if code is not None}
+    assert rows.count() == n and kept["crowded"].count() <= neardup.SEGMENTS * n
+    # Every row hangs on a centre.
+    assert {x for r in pairs.collect() for x in (r.a, r.b)} == set(range(n))
