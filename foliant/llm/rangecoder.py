@@ -2,13 +2,15 @@
 
 Ids are coded in blocks that are reset and checksummed on their own. In a block, the id before (order 1)
 and the two ids before (order 2) each predict the id that followed them last. One of the two is proposed;
-whether it is right is coded with a probability that a logistic mixer draws from the confidence of the
-order-2 prediction, that of the order-1 prediction, and the recent hits. If it is wrong, the id is coded
-by adaptive order-0 frequencies of its high and low byte, each by itself: order 0 stands behind the mixer, not in it. All arithmetic is on integers, so a block decodes
-alike on every machine.
+whether it is right is coded with a probability from a logistic mixer: the confidence of the order-2 prediction,
+that of the order-1 prediction and the recent hits each choose a weight, the weights add up, and all three
+learn from the error of the mixed probability. If it is wrong, the id is coded by adaptive order-0 frequencies
+of its high and low byte, each by itself: order 0 stands behind the mixer, not in it. All numbers are integers (those of the
+coder are below 2^53 and held in doubles, where they are exact), so a block decodes alike on every machine.
 
 Blocks don't depend on each other, so many are coded side by side: a numpy array holds one number for
-each block, and step t codes the id at place t of all of them.
+each block, and step t codes the id at place t of all of them. A step takes all blocks through the same operations,
+whatever was right in which, and the frequencies are drawn up anew at the places ``RENEWED`` only.
 """
 
 from __future__ import annotations
@@ -18,171 +20,119 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-MAGIC = b"CMR1"
-SLOTS = 4096
-REBUILD = 64
-U = np.uint64
-TOP, BOTTOM = U(1) << U(48), U(1) << U(32)
-SIDE = 12  # bits of a byte's frequencies
-#: log(p / (1 - p)) of 12-bit probabilities in 1/256, and its inverse over -2047..2047: made by rule, the same everywhere.
-_SQUASH = np.array([round(4096 / (1 + 2.718281828459045 ** (-x / 256))) for x in range(-2047, 2048)], np.int64).clip(1, 4095)
-_STRETCH = (np.searchsorted(_SQUASH, np.arange(4096)) - 2047).clip(-2047, 2047).astype(np.int64)
+BLOCK = 2048
+MAGIC = b"CMR2"
+#: Slots of the order-1 contexts; the order-2 contexts have twice as many.
+SLOTS = 512
+#: What the frequencies of a byte add up to, and the probability that a proposal is right and that it is not.
+TOTAL = 1 << 11
+SURE = 1 << 12
+#: A range is below 2^48 and, between ids, not below this.
+LEAST = 2.0**32
+WORD = 65536.0
+#: Places before which a block's frequencies are drawn up from the ids so far; beyond the last, every 1,024.
+RENEWED = (32, 128, 384)
+#: Entries of a block's frequencies: of 256 bytes, and of the whole. An entry is a start times 65,536, and a width.
+ROW, WHOLE = 257, 256
+#: 12-bit probability of log(p / (1 - p)) in 1/256 from -2048 to 2047; made by rule, the same everywhere. Neither outcome costs more than seven bits.
+_SQUASH = np.array([round(4096 / (1 + 2.718281828459045 ** (-x / 256))) for x in range(-2048, 2048)], np.int32).clip(32, 4064)
+#: How often in a row an id has followed, by how its entry differs from that of the id that comes: 0 to 15 where the id is the same.
+_SURE = np.array([*range(1, 16), 15, 1], np.int32)
+#: Slot of an id as the last one, and what it adds to that as the one before the last (order 2).
+_LAST = (np.arange(1 << 16, dtype=np.int64) * 0x2F0B4C47 >> 7) & (SLOTS - 1)
+_BEFORE = (np.arange(1 << 16, dtype=np.int64) * 0x6C8E9CF5 >> 9) & (SLOTS - 1)
+
+
+def _renewed(t: int) -> bool:
+    return t in RENEWED or (t > 0 and t % 1024 == 0)
 
 
 class _Model:
-    """Predictions and probabilities of n blocks."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.rows = np.arange(n)
-        self.id = [np.full(n * SLOTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(n * SLOTS, np.int8) for _ in range(2)]
-        self.p = [np.full(n * 16, 1024, np.int64), np.full(n * 32, 512, np.int64), np.full(n * 64, 512, np.int64)]
-        self.weight = np.full((3, n), 22000, np.int64)
+    """Predictions and frequencies of n blocks. With ``inverse`` also the byte at each place of the frequencies."""
+
+    def __init__(self, n: int, inverse: bool = False):
+        rows = np.arange(n)
+        self.at_row, self.at_place = rows * ROW, rows * TOTAL
+        self.at_slot = [rows * SLOTS, rows * (2 * SLOTS)]
+        self.at_weight = [rows * 16, rows * 32, rows * 64]
+        # The id that followed a context last, times 16, and how often in a row (0: never seen).
+        self.seen = [np.zeros(n * SLOTS * (order + 1), np.int32) for order in range(2)]
+        # In 1/65,536; the middle of _SQUASH is part of the last.
+        self.weight = [np.zeros(n * w, np.int32) for w in (16, 32, 64)]
+        self.weight[0][::16] = -(1 << 17)
+        self.weight[2][:] = 1 << 19
         self.hits = np.zeros(n, np.int64)
-        self.last = np.zeros((2, n), np.int64)
-        self.count = [np.ones((n, 256), np.int64) for _ in range(2)]
-        self.cum = [np.empty((n, 257), np.int64) for _ in range(2)]
-        self.flat_cum = [c.reshape(-1) for c in self.cum]
-        self.flat_count = [c.reshape(-1) for c in self.count]
-        for side in range(2):
-            self.rebuild(side)
-
-    def rebuild(self, side: int) -> None:
-        """Frequencies of all bytes, at least 1 each, that add up to 2^SIDE."""
-        sums = np.cumsum(self.count[side], axis=1)
-        self.cum[side][:, 0] = 0
-        self.cum[side][:, 1:] = np.arange(1, 257) + sums * ((1 << SIDE) - 256) // sums[:, -1:]
+        self.slot = self.at_slot
+        self.before = np.zeros(n, np.int64)
+        even = np.append((np.arange(256, dtype=np.int32) * (TOTAL // 256) << 16) + TOTAL // 256, np.int32(TOTAL)).astype(np.int32)
+        self.count = [np.zeros((n, 256), np.int32) for _ in range(2)]
+        self.row = [np.tile(even, n) for _ in range(2)]
+        self.inverse = [np.tile(np.repeat(np.arange(256, dtype=np.uint8), TOTAL // 256), n) for _ in range(2)] if inverse else []
+
+    def renew(self, ids: np.ndarray) -> None:
+        """Frequencies of all bytes, at least 1 each, that add up to TOTAL; ``ids`` (places, blocks) are those since the last time."""
+        k = ids.shape[1]
+        base = np.arange(k) * 256
+        for side, byte in enumerate((ids >> 8, ids & 255)):
+            count = self.count[side][:k]
+            count += np.bincount((byte + base).ravel(), minlength=k * 256).reshape(k, 256)
+            sums = np.cumsum(count, axis=1, dtype=np.int32)
+            # Quotients of integers below 2^24 are rounded to no integer that they don't reach.
+            scaled = sums * (TOTAL - 256.0)
+            scaled /= sums[:, -1:]
+            ends = scaled.astype(np.int32)
+            ends += np.arange(1, 257, dtype=np.int32)
+            widths = np.diff(ends, axis=1, prepend=np.int32(0))
+            self.row[side].reshape(-1, ROW)[:k, :256] = ((ends - widths) << 16) + widths
+            if self.inverse:
+                self.inverse[side][: k * TOTAL] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), k), widths.ravel())
 
     def propose(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The id proposed in the first k blocks (-1 for none), and the 12-bit probability that it is right."""
-        rows = self.rows[:k]
-        one, two = self.last[0, :k], self.last[1, :k]
-        self.at = [rows * SLOTS + (((one * 0x2F0B4C47) >> 7) & (SLOTS - 1)), rows * SLOTS + (((one * 0x2F0B4C47 + two * 0x6C8E9CF5) >> 9) & (SLOTS - 1))]
-        by1, by2 = self.id[0][self.at[0]], self.id[1][self.at[1]]
-        sure1, sure2 = self.sure[0][self.at[0]], self.sure[1][self.at[1]]
-        guess = np.where(by2 >= 0, by2, by1)
-        self.by = (by1, by2)
-        self.cell = [rows * 16 + sure2, rows * 32 + sure1 * 2 + (by1 == guess), rows * 64 + (self.hits[:k] & 63)]
-        self.stretched = [_STRETCH[p[c]] for p, c in zip(self.p, self.cell, strict=True)]
-        dot = (self.stretched[0] * self.weight[0, :k] + self.stretched[1] * self.weight[1, :k] + self.stretched[2] * self.weight[2, :k]) >> 16
-        self.chance = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        """Entry of the id proposed in the first k blocks, and the 12-bit probability that it is right."""
+        self.by = [seen.take(slot[:k], mode="clip") for seen, slot in zip(self.seen, self.slot, strict=True)]
+        by1, by2 = self.by
+        sure2 = by2 & 15
+        guess = by1.copy()
+        np.copyto(guess, by2, where=sure2 > 0)
+        cell1 = by1 & 15
+        cell1 += cell1
+        cell1 += (by1 ^ guess) < 16
+        self.cell = [self.at_weight[0][:k] + sure2, self.at_weight[1][:k] + cell1, self.at_weight[2][:k] + self.hits[:k]]
+        self.held = [w.take(c, mode="clip") for w, c in zip(self.weight, self.cell, strict=True)]
+        mixed = self.held[0] + self.held[1]
+        mixed += self.held[2]
+        mixed >>= 8
+        self.chance = _SQUASH.take(mixed, mode="clip")
         return guess, self.chance
 
-    def learn(self, k: int, ids: np.ndarray, guess: np.ndarray, hit: np.ndarray) -> None:
-        had = guess >= 0
-        aim = np.where(hit, 4095, 0)
-        wrong = np.where(had, aim - self.chance, 0)
-        for i in range(3):
-            self.weight[i, :k] += (self.stretched[i] * wrong) >> 10
-            cell = self.cell[i]
-            now = self.p[i][cell]
-            self.p[i][cell] = np.where(had, now + ((aim - now) >> 4), now).clip(16, 4079)
-        self.hits[:k] = (self.hits[:k] << 1) | hit
-        for i in range(2):
-            right = self.by[i] == ids
-            sure = self.sure[i][self.at[i]]
-            self.id[i][self.at[i]] = ids
-            self.sure[i][self.at[i]] = np.where(right, np.minimum(sure + 1, 15), 0)
-        self.last[1, :k] = self.last[0, :k]
-        self.last[0, :k] = ids
-
-    def literal(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of ids within 2^(2 * SIDE)."""
-        high, low = rows * 257 + (ids >> 8), rows * 257 + (ids & 255)
-        start_h, start_l = self.flat_cum[0][high], self.flat_cum[1][low]
-        width_h, width_l = self.flat_cum[0][high + 1] - start_h, self.flat_cum[1][low + 1] - start_l
-        return (start_h << SIDE) + width_h * start_l, width_h * width_l
-
-    def find_literal(self, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Ids whose range holds ``value``."""
-        high = self._search(0, rows, value >> SIDE)
-        start = self.flat_cum[0][rows * 257 + high]
-        width = self.flat_cum[0][rows * 257 + high + 1] - start
-        return (high << 8) | self._search(1, rows, (value - (start << SIDE)) // width)
-
-    def _search(self, side: int, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(rows), np.int64)
-        base, cum = rows * 257, self.flat_cum[side]
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            found += step * (cum[base + found + step] <= value)
-        return found
-
-    def learn_literal(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        self.flat_count[0][rows * 256 + (ids >> 8)] += 24
-        self.flat_count[1][rows * 256 + (ids & 255)] += 24
-
-    def step(self, t: int) -> None:
-        if t % REBUILD == REBUILD - 1:
-            self.rebuild(0)
-            self.rebuild(1)
-
-
-class _Encoder:
-    def __init__(self, n: int, longest: int):
-        self.low, self.range = np.zeros(n, U), np.full(n, ~U(0), U)
-        self.out, self.at = np.zeros((n, 2 * longest + 64), ">u2"), np.zeros(n, np.int64)
-
-    def put(self, rows, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        r = self.range[rows] >> U(bits)
-        low, span = self.low[rows] + r * start.astype(U), r * width.astype(U)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            short = ~settled & (span < BOTTOM)
-            going = settled | short
-            if not going.any():
-                break
-            if short.any():
-                span = np.where(short, (U(0) - low) & (BOTTOM - U(1)), span)
-            to = np.flatnonzero(going)
-            lanes = rows[to]
-            self.out[lanes, self.at[lanes]] = (low[to] >> U(48)).astype(np.uint16)
-            self.at[lanes] += 1
-            low[to] <<= U(16)
-            span[to] <<= U(16)
-        self.low[rows], self.range[rows] = low, span
-
-    def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.low)), self.at] = (self.low >> U(48)).astype(np.uint16)
-            self.at += 1
-            self.low <<= U(16)
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at.tolist(), strict=True)]
-
-
-class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        n = len(payloads)
-        self.low, self.range, self.code = np.zeros(n, U), np.full(n, ~U(0), U), np.zeros(n, U)
-        self.words = np.zeros((n, max(len(p) for p in payloads) // 2 + 4), np.uint16)
-        for i, p in enumerate(payloads):
-            self.words[i, : len(p) // 2] = np.frombuffer(p, ">u2")
-        for k in range(4):
-            self.code = (self.code << U(16)) | self.words[:, k]
-        self.at = np.full(n, 4, np.int64)
-
-    def peek(self, rows, bits: int) -> np.ndarray:
-        self.r = self.range[rows] >> U(bits)
-        return np.minimum((self.code[rows] - self.low[rows]) // self.r, (U(1) << U(bits)) - U(1)).astype(np.int64)
-
-    def take(self, rows, start: np.ndarray, width: np.ndarray) -> None:
-        low, span = self.low[rows] + self.r * start.astype(U), self.r * width.astype(U)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            short = ~settled & (span < BOTTOM)
-            going = settled | short
-            if not going.any():
-                break
-            if short.any():
-                span = np.where(short, (U(0) - low) & (BOTTOM - U(1)), span)
-            to = np.flatnonzero(going)
-            lanes = rows[to]
-            self.code[lanes] = (self.code[lanes] << U(16)) | self.words[lanes, self.at[lanes]]
-            self.at[lanes] += 1
-            low[to] <<= U(16)
-            span[to] <<= U(16)
-        self.low[rows], self.range[rows] = low, span
+    def learn(self, k: int, ids: np.ndarray, hit: np.ndarray) -> None:
+        wrong = hit.astype(np.int32)
+        hits = self.hits[:k]
+        hits += hits
+        hits += hit
+        hits &= 63
+        wrong <<= 12
+        wrong -= self.chance
+        for weight, cell, held in zip(self.weight, self.cell, self.held, strict=True):
+            held += wrong
+            weight[cell] = held
+        now = ids << 4
+        for seen, slot, by in zip(self.seen, self.slot, self.by, strict=True):
+            by ^= now
+            by = _SURE.take(by, mode="clip")
+            by += now
+            seen[slot[:k]] = by
+        last = _LAST.take(ids, mode="clip")
+        self.slot = [last + self.at_slot[0][:k], self.before[:k] + self.at_slot[1][:k]]
+        self.slot[1] += last
+        self.before = _BEFORE.take(ids, mode="clip")
+
+
+def _laid_out(lengths: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Blocks by falling length, their lengths, and the number of blocks that have an id at each place."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    sizes = np.array([lengths[i] for i in order])
+    return order, sizes, np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -191,64 +141,152 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     if max(int(b.max()) for b in blocks) >= 1 << 16:
         raise ValueError("the range coder takes ids below 65,536")
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((sizes[0], len(blocks)), np.int64)
+    n = len(blocks)
+    order, sizes, active = _laid_out([len(b) for b in blocks])
+    longest = int(sizes[0])
+    ids = np.zeros((n, longest), np.int32)
     for lane, i in enumerate(order):
-        ids[: sizes[lane], lane] = blocks[i]
-    model, coder = _Model(len(blocks)), _Encoder(len(blocks), int(sizes[0]))
-    for t in range(int(sizes[0])):
-        k = int(np.searchsorted(-sizes, -t, side="left"))
+        ids[lane, : sizes[lane]] = blocks[i]
+    ids = np.ascontiguousarray(ids.T)
+    model = _Model(n)
+    low, span = np.zeros(n), np.full(n, 2.0**48)
+    # Words of 16 bits and a carry. An id ends at most two, and the last state is three.
+    out = np.zeros(n * (2 * longest + 4), np.uint32)
+    at = np.arange(n)
+    since = 0
+    for t, k in enumerate(active.tolist()):
+        if _renewed(t):
+            model.renew(ids[since:t, :k])
+            since = t
         x = ids[t, :k]
         guess, chance = model.propose(k)
-        hit = guess == x
-        asked = np.flatnonzero(guess >= 0)
-        right = hit[asked]
-        start, width = np.where(right, 0, chance[asked]), np.where(right, chance[asked], 4096 - chance[asked])
-        if len(asked):
-            coder.put(asked, start, width, 12)
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            coder.put(missed, *model.literal(missed, x[missed]), 2 * SIDE)
-            model.learn_literal(missed, x[missed])
-        model.learn(k, x, guess, hit)
-        model.step(t)
-    out: list[bytes] = [b""] * len(blocks)
-    for i, payload in zip(order, coder.finish(), strict=True):
-        out[i] = payload
-    return out
+        hit = (guess >> 4) == x
+        # Whether the proposal is right, ...
+        lo, r, pos = low[:k], span[:k], at[:k]
+        split = r * (1 / SURE)
+        np.floor(split, out=split)
+        split *= chance
+        r -= split
+        right = np.flatnonzero(hit)
+        r[right] = split[right]
+        split[right] = 0.0
+        lo += split
+        # ... then the high and the low byte; those of a right proposal have the whole width.
+        for row, byte in zip(model.row, (x >> 8, x & 255), strict=True):
+            byte[right] = WHOLE
+            entry = row.take(byte + model.at_row[:k], mode="clip")
+            r *= 1 / TOTAL
+            np.floor(r, out=r)
+            lo += r * (entry >> 16)
+            entry &= 0xFFFF
+            r *= entry
+        model.learn(k, x, hit)
+        # The topmost words of ranges that have become narrow are done.
+        for _ in range(2):
+            to = np.flatnonzero(r < LEAST)
+            if not len(to):
+                break
+            held, place = lo.take(to), pos.take(to)
+            word = np.floor(held * (1 / LEAST))
+            out[place] = word
+            place += n
+            pos[to] = place
+            word *= LEAST
+            held -= word
+            held *= WORD
+            lo[to] = held
+            r[to] = r.take(to) * WORD
+    for _ in range(3):
+        word = np.floor(low * (1 / LEAST))
+        out[at] = word
+        at += n
+        low = (low - word * LEAST) * WORD
+    counts = at // n
+    by_block = np.ascontiguousarray(out[: int(counts.max()) * n].reshape(-1, n).T)
+    words = by_block[np.arange(by_block.shape[1]) < counts[:, None]]
+    while len(over := np.flatnonzero(words > 0xFFFF)):  # a block's first word has no carry
+        words[over] &= 0xFFFF
+        words[over - 1] += 1
+    coded, ends = words.astype(">u2").tobytes(), np.cumsum(counts) * 2
+    payloads: list[bytes] = [b""] * n
+    for lane, i in enumerate(order):
+        payloads[i] = coded[ends[lane] - 2 * counts[lane] : ends[lane]]
+    return payloads
 
 
+@np.errstate(over="ignore")
 def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """Ids of each payload, as uint32."""
+    """Ids of each payload, as uint32; those of a damaged one are any ids."""
     if not payloads:
         return []
-    order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
-    sizes = np.array([lengths[i] for i in order])
-    ids = np.zeros((sizes[0], len(payloads)), np.int64)
-    model, coder = _Model(len(payloads)), _Decoder([payloads[i] for i in order])
-    for t in range(int(sizes[0])):
-        k = int(np.searchsorted(-sizes, -t, side="left"))
+    n = len(payloads)
+    order, sizes, active = _laid_out(lengths)
+    ids = np.zeros((int(sizes[0]), n), np.int32)
+    # Each block's words, and zeros behind the last for those that a damaged block may ask for.
+    sources = [payloads[i][: len(payloads[i]) // 2 * 2] for i in order]
+    ends = np.cumsum([len(p) // 2 + 4 for p in sources])
+    words = np.frombuffer(b"".join(p + bytes(8) for p in sources), ">u2").astype(np.uint16)
+    at, last = np.append(0, ends[:-1]), ends - 1
+    model = _Model(n, inverse=True)
+    code, span = np.zeros(n), np.full(n, 2.0**48)
+    for _ in range(3):
+        code *= WORD
+        code += words[at]
+        at += 1
+    since = 0
+    for t, k in enumerate(active.tolist()):
+        if _renewed(t):
+            model.renew(ids[since:t, :k])
+            since = t
         guess, chance = model.propose(k)
-        x = guess.astype(np.int64)
-        hit = np.zeros(k, bool)
-        asked = np.flatnonzero(guess >= 0)
-        if len(asked):
-            c = chance[asked]
-            right = coder.peek(asked, 12) < c
-            coder.take(asked, np.where(right, 0, c), np.where(right, c, 4096 - c))
-            hit[asked] = right
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            x[missed] = model.find_literal(missed, coder.peek(missed, 2 * SIDE))
-            coder.take(missed, *model.literal(missed, x[missed]))
-            model.learn_literal(missed, x[missed])
-        model.learn(k, x, guess, hit)
-        model.step(t)
+        c, r, pos = code[:k], span[:k], at[:k]
+        split = r * (1 / SURE)
+        np.floor(split, out=split)
+        split *= chance
+        hit = c < split
+        r -= split
+        right = np.flatnonzero(hit)
+        r[right] = split[right]
+        split[right] = 0.0
+        c -= split
+        found = []
+        for row, inverse in zip(model.row, model.inverse, strict=True):
+            r *= 1 / TOTAL
+            np.floor(r, out=r)
+            # A quotient of integers below 2^48 is rounded to no integer that it doesn't reach. Only damaged blocks have one beyond TOTAL.
+            value = c / r
+            value = np.minimum(value, TOTAL - 1, out=value).astype(np.int64)
+            value += model.at_place[:k]
+            place = inverse.take(value, mode="clip").astype(np.int64)
+            found.append(place.astype(np.int32))
+            place[right] = WHOLE
+            place += model.at_row[:k]
+            entry = row.take(place, mode="clip")
+            c -= r * (entry >> 16)
+            entry &= 0xFFFF
+            r *= entry
+        x = found[0]
+        x <<= 8
+        x |= found[1]
+        x[right] = guess[right] >> 4
         ids[t, :k] = x
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(payloads)
+        model.learn(k, x, hit)
+        for _ in range(2):
+            to = np.flatnonzero(r < LEAST)
+            if not len(to):
+                break
+            place = pos.take(to)
+            np.minimum(place, last.take(to), out=place)
+            held = c.take(to)
+            held *= WORD
+            held += words.take(place, mode="clip")
+            c[to] = held
+            pos[to] = place + 1
+            r[to] = r.take(to) * WORD
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * n
+    by_block = ids.T.astype(np.uint32, order="C")
     for lane, i in enumerate(order):
-        out[i] = ids[: sizes[lane], lane].astype(np.uint32)
+        out[i] = by_block[lane, : sizes[lane]]
     return out
 
 

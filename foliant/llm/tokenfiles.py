@@ -5,12 +5,16 @@ in order within a part), its place in the part, the coded blocks, and ids and le
 Any run decodes by itself, and each of its blocks too.
 
 Texts are cut at white space, which the tokenizer drops, and each distinct piece is encoded once in a
-worker; so ids are those of the whole text (special strings in texts included).
+worker; so ids are those of the whole text (special strings in texts included). Where the tokenizer itself goes on to
+cut into letters, digits and marks, pieces of nothing else are cut likewise and each distinct word is encoded once.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +30,18 @@ from foliant.llm.substrings import _columns
 
 END_ID = 2
 #: Ids of a run, at least; its last document may go beyond.
-RUN_IDS = 32 * BLOCK
+RUN_IDS = 64 * BLOCK
 #: Ids that a task codes side by side.
-SIDE_BY_SIDE = 512 * BLOCK
-#: Pieces whose ids a worker keeps.
-KEPT_PIECES = 400_000
+SIDE_BY_SIDE = 4096 * BLOCK
+#: Pieces, and words in them, whose ids a worker keeps, before it begins anew.
+KEPT_PIECES = 800_000
+#: Words that are encoded as one text.
+JOINED = 64
+#: How a tokenizer whose words are known from the text alone takes it apart, and the words of letters that no normalization joins, single digits
+#: and marks of ASCII. An apostrophe may begin a word of letters, and U+0130 becomes a letter and a mark; pieces with those are encoded as they are.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+ONLY_WORDS = re.compile("[0-9a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f!-&(-/:-@\\[-`{-~]+")
 SCHEMA = "part int, place int, first_id long, n_ids long, run binary, doc_ids array<long>, lengths array<long>"
 
 
@@ -40,8 +51,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Numbers(dict):
+    """Numbers of keys from 0, in order of their first use; ``new`` has those that came since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Ids:
+    """Ids of numbered keys, laid end to end."""
+
+    def __init__(self):
+        self.of, self.ids = _Numbers(), np.empty(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+        self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
+        self.of.new.clear()
+
+    def take(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the keys with these numbers, and how many ids each group of ``counts`` keys has."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        n = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(n) + np.repeat(self.first[at] - ends + size, size)]
+        return ids, np.diff(np.append(0, ends)[np.cumsum(counts)], prepend=0)
+
+
+def _flat(lists: list[list]) -> tuple[Iterator, np.ndarray]:
+    return itertools.chain.from_iterable(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 class PieceEncoder:
-    """Ids of texts, by way of a bounded store of the ids of their pieces."""
+    """Ids of texts, by way of bounded stores of the ids of their pieces and of the words of those."""
 
     _of: dict[str, PieceEncoder] = {}
 
@@ -50,8 +99,26 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.last = self._last_of_words(json.load(f))
         self.clear()
 
+    @staticmethod
+    def _last_of_words(made: dict) -> np.ndarray | None:
+        """For each id whether it ends a word, if words are those of ``WORDS`` and the ids of joined words can be told apart; else None."""
+        if [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or made["normalizer"]["normalizers"][1]["pattern"] != {"Regex": "\\s+"}:
+            return None
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [p.get("type") for p in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": CUT} or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True):
+            return None
+        if steps[1]["add_prefix_space"] or steps[1]["use_regex"] or made["model"].get("end_of_word_suffix") != "</w>" or made["model"].get("dropout"):
+            return None
+        vocab = made["model"]["vocab"]
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # A word whose last byte had no id would lose its end.
+        return last if all(token + "</w>" in vocab for token in vocab if len(token) == 1) and all(t["content"].startswith("<|") for t in made["added_tokens"]) else None
+
     @classmethod
     def at(cls, path: str) -> PieceEncoder:
         if path not in cls._of:
@@ -59,34 +126,55 @@ class PieceEncoder:
         return cls._of[path]
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.first, self.size = [np.empty(0, np.uint32)], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.total = 0
+        self.pieces, self.words = _Ids(), _Ids()
+
+    def _one_by_one(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add_words(self) -> None:
+        """Ids of the new words; those of each end with the first that ends a word."""
+        new = self.words.of.new
+        joined = [" ".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
+        ids = np.fromiter(itertools.chain.from_iterable(self._one_by_one(joined)), np.uint32)
+        size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(size) != len(new) or size.sum() != len(ids):
+            raise ValueError("the tokenizer doesn't end each word")
+        self.words.add(ids, size)
+
+    def _add_pieces(self) -> None:
+        new = [p.decode("utf-8", "replace") for p in self.pieces.of.new]
+        cut, whole = [], []
+        for i, piece in enumerate(new):
+            # The tokenizer lowers letters as well, after it has joined marks to them; pieces with marks aren't cut.
+            lower = piece.lower()
+            if self.last is not None and ONLY_WORDS.fullmatch(lower) and "<|" not in piece:
+                cut.append(WORDS.findall(lower))
+            else:
+                cut.append([])
+                whole.append(i)
+        if len(self.words.of) > KEPT_PIECES:
+            self.words = _Ids()
+        words, counts = _flat(cut)
+        at = np.fromiter(map(self.words.of.__getitem__, words), np.int64, int(counts.sum()))
+        if self.words.of.new:
+            self._add_words()
+        ids, size = self.words.take(at, counts)
+        if whole:
+            others, n = _flat(self._one_by_one([new[i] for i in whole]))
+            ids = np.insert(ids, np.repeat(np.cumsum(size)[whole], n), np.fromiter(others, np.uint32, int(n.sum())))
+            size[whole] = n
+        self.pieces.add(ids, size)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        distinct = set().union(*pieces) if pieces else set()
-        if len(self.number) + len(distinct) > KEPT_PIECES:
-            self.clear()
-        new = [p for p in distinct if p not in self.number]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)]
-            sizes = np.array([len(f) for f in found], np.int64)
-            base = len(self.number)
-            self.number.update((p, base + i) for i, p in enumerate(new))
-            self.first = np.concatenate((self.first, self.total + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.ids = [np.concatenate((*self.ids, np.array([i for f in found for i in f], np.uint32)))]
-            self.total += int(sizes.sum())
-        out, get = [], self.number.__getitem__
-        ids = self.ids[0]
-        for words in pieces:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            first, size = self.first[at], self.size[at]
-            ends = np.cumsum(size)
-            n = int(ends[-1]) if len(ends) else 0
-            out.append(ids[np.arange(n) + np.repeat(first - ends + size, size)])
-        return out
+        if len(self.pieces.of) > KEPT_PIECES:
+            self.pieces = _Ids()
+        # The tokenizer lowers letters; in texts of ASCII without special strings there is nothing that this could join otherwise.
+        pieces, counts = _flat([(t.lower() if self.last is not None and t.isascii() and b"<|" not in t else t).split() for t in texts])
+        at = np.fromiter(map(self.pieces.of.__getitem__, pieces), np.int64, int(counts.sum()))
+        if self.pieces.of.new:
+            self._add_pieces()
+        ids, size = self.pieces.take(at, counts)
+        return np.split(ids, np.cumsum(size)[:-1]) if len(texts) else []
 
 
 def _encoded_runs(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
