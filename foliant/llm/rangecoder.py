@@ -31,7 +31,7 @@ SURE = 1 << 12
 LEAST = 2.0**32
 WORD = 65536.0
 #: Places before which a block's frequencies are drawn up from the ids so far; beyond the last, every 1,024.
-RENEWED = (32, 128, 384)
+RENEWED = (40, 256)
 #: Entries of a block's frequencies: of 256 bytes, and of the whole. An entry is a start times 65,536, and a width.
 ROW, WHOLE = 257, 256
 #: 12-bit probability of log(p / (1 - p)) in 1/256 from -2048 to 2047; made by rule, the same everywhere. Neither outcome costs more than seven bits.
@@ -92,8 +92,8 @@ class _Model:
         self.by = [seen.take(slot[:k], mode="clip") for seen, slot in zip(self.seen, self.slot, strict=True)]
         by1, by2 = self.by
         sure2 = by2 & 15
-        guess = by1.copy()
-        np.copyto(guess, by2, where=sure2 > 0)
+        guess = by1 * (by2 == 0)
+        guess += by2
         cell1 = by1 & 15
         cell1 += cell1
         cell1 += (by1 ^ guess) < 16
@@ -144,7 +144,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     n = len(blocks)
     order, sizes, active = _laid_out([len(b) for b in blocks])
     longest = int(sizes[0])
-    ids = np.zeros((n, longest), np.int32)
+    ids = np.zeros((n, longest), np.uint16)
     for lane, i in enumerate(order):
         ids[lane, : sizes[lane]] = blocks[i]
     ids = np.ascontiguousarray(ids.T)
@@ -158,7 +158,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if _renewed(t):
             model.renew(ids[since:t, :k])
             since = t
-        x = ids[t, :k]
+        x = ids[t, :k].astype(np.int32)
         guess, chance = model.propose(k)
         hit = (guess >> 4) == x
         # Whether the proposal is right, ...
@@ -221,7 +221,7 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
         return []
     n = len(payloads)
     order, sizes, active = _laid_out(lengths)
-    ids = np.zeros((int(sizes[0]), n), np.int32)
+    ids = np.zeros((int(sizes[0]), n), np.uint16)
     # Each block's words, and zeros behind the last for those that a damaged block may ask for.
     sources = [payloads[i][: len(payloads[i]) // 2 * 2] for i in order]
     ends = np.cumsum([len(p) // 2 + 4 for p in sources])

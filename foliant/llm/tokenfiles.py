@@ -33,15 +33,14 @@ END_ID = 2
 RUN_IDS = 64 * BLOCK
 #: Ids that a task codes side by side.
 SIDE_BY_SIDE = 4096 * BLOCK
-#: Pieces, and words in them, whose ids a worker keeps, before it begins anew.
-KEPT_PIECES = 800_000
+#: Pieces, and words in them, whose ids a worker keeps before it begins anew.
+KEPT_PIECES, KEPT_WORDS = 700_000, 800_000
 #: Words that are encoded as one text.
 JOINED = 64
 #: How a tokenizer whose words are known from the text alone takes it apart, and the words of letters that no normalization joins, single digits
 #: and marks of ASCII. An apostrophe may begin a word of letters, and U+0130 becomes a letter and a mark; pieces with those are encoded as they are.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
-ONLY_WORDS = re.compile("[0-9a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f!-&(-/:-@\\[-`{-~]+")
 SCHEMA = "part int, place int, first_id long, n_ids long, run binary, doc_ids array<long>, lengths array<long>"
 
 
@@ -96,9 +95,12 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that are lowered and cut already.
+        self.of_words = Tokenizer(self.tokenizer.model)
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as f:
             self.last = self._last_of_words(json.load(f))
         self.clear()
@@ -128,14 +130,14 @@ class PieceEncoder:
     def clear(self) -> None:
         self.pieces, self.words = _Ids(), _Ids()
 
-    def _one_by_one(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _one_by_one(self, texts: list[str], words: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.of_words if words else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add_words(self) -> None:
         """Ids of the new words; those of each end with the first that ends a word."""
         new = self.words.of.new
         joined = [" ".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
-        ids = np.fromiter(itertools.chain.from_iterable(self._one_by_one(joined)), np.uint32)
+        ids = np.fromiter(itertools.chain.from_iterable(self._one_by_one(joined, words=True)), np.uint32)
         size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
         if len(size) != len(new) or size.sum() != len(ids):
             raise ValueError("the tokenizer doesn't end each word")
@@ -143,19 +145,23 @@ class PieceEncoder:
 
     def _add_pieces(self) -> None:
         new = [p.decode("utf-8", "replace") for p in self.pieces.of.new]
-        cut, whole = [], []
+        if len(self.words.of) > KEPT_WORDS:
+            self.words = _Ids()
+        at, counts, whole, number = [], [], [], self.words.of.__getitem__
         for i, piece in enumerate(new):
             # The tokenizer lowers letters as well, after it has joined marks to them; pieces with marks aren't cut.
             lower = piece.lower()
-            if self.last is not None and ONLY_WORDS.fullmatch(lower) and "<|" not in piece:
-                cut.append(WORDS.findall(lower))
-            else:
-                cut.append([])
+            if self.last is not None and lower.isalpha() and lower.isascii():
+                at.append(number(lower))
+                counts.append(1)
+                continue
+            words = WORDS.findall(lower) if self.last is not None and "<|" not in piece else []
+            if "".join(words) != lower:
                 whole.append(i)
-        if len(self.words.of) > KEPT_PIECES:
-            self.words = _Ids()
-        words, counts = _flat(cut)
-        at = np.fromiter(map(self.words.of.__getitem__, words), np.int64, int(counts.sum()))
+                words = []
+            at.extend(map(number, words))
+            counts.append(len(words))
+        at, counts = np.array(at, np.int64), np.array(counts, np.int64)
         if self.words.of.new:
             self._add_words()
         ids, size = self.words.take(at, counts)
@@ -193,7 +199,9 @@ def _encoded_runs(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
                 size = 0
             groups[-1].append(doc)
             size += len(doc[1])
+        docs.clear()
         ids = [np.concatenate([d[1] for d in g]) for g in groups]
+        groups = [[(doc_id, len(own)) for doc_id, own in g] for g in groups]
         blocks = [[x[i : i + BLOCK] for i in range(0, len(x), BLOCK)] for x in ids]
         payloads = iter(encode_blocks([b for run in blocks for b in run]))
         coded = [pack_blocks([next(payloads) for _ in run], run) for run in blocks]
@@ -206,7 +214,7 @@ def _encoded_runs(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array(coded, pa.binary()),
                 pa.array([[d[0] for d in g] for g in groups], pa.list_(pa.int64())),
-                pa.array([[len(d[1]) for d in g] for g in groups], pa.list_(pa.int64())),
+                pa.array([[d[1] for d in g] for g in groups], pa.list_(pa.int64())),
             ],
             names=["part", "place", "first_id", "n_ids", "run", "doc_ids", "lengths"],
         )
@@ -215,14 +223,12 @@ def _encoded_runs(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
 
     for batch in rows:
         key, body = _columns(batch, "doc_id", "body")
-        key, body = key.to_pylist(), body.to_pylist()
         for i in range(0, len(key), 256):
-            for doc_id, ids in zip(key[i : i + 256], encoder.encode(body[i : i + 256]), strict=True):
+            for doc_id, ids in zip(key[i : i + 256].to_pylist(), encoder.encode(body[i : i + 256].to_pylist()), strict=True):
                 docs.append((doc_id, np.append(ids, np.uint32(END_ID))))
                 held += len(ids) + 1
             if held >= SIDE_BY_SIDE:
                 yield runs()
-                docs.clear()
                 held = 0
     if docs:
         yield runs()

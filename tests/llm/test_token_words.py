@@ -24,8 +24,9 @@ def test_cut_words_have_the_ids_of_whole_texts():
 def test_words_of_different_pieces_are_encoded_once(monkeypatch):
     encoder = tokenfiles.PieceEncoder(tokenfiles.default_tokenizer())
     sent, encode = [], encoder._one_by_one
-    monkeypatch.setattr(encoder, "_one_by_one", lambda texts: [sent.extend(t.split()) for t in texts] and encode(texts))
+    monkeypatch.setattr(encoder, "_one_by_one", lambda texts, words=False: [sent.extend(t.split()) for t in texts] and encode(texts, words))
     monkeypatch.setattr(tokenfiles, "KEPT_PIECES", 3)
+    monkeypatch.setattr(tokenfiles, "KEPT_WORDS", 3)
     encoder.encode([b"Word*** word### (word) WORD, word12", "Größe größe***".encode()])
     assert sorted(sent) == ["###", "(", ")", "***", ",", "1", "2", "größe", "word"]
     again = [ids.tolist() for ids in encoder.encode([b"Word*** other", b""])]
