@@ -78,8 +78,12 @@ def _ball(code: Column, bits: int) -> list[Column]:
     return [code] + [code.bitwiseXOR(F.lit((1 << b) if b < 63 else -(1 << 63))) for b in range(bits)]
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """(fp) distinct fingerprints -> links (a, b) that connect whatever differs in 1 or 2 bits, directly or in a star."""
+def _found(fps: DataFrame) -> DataFrame:
+    """(fp) distinct fingerprints -> (fp, other) that share a bucket, ``other`` null for a crowded one.
+
+    Spark takes exploded rows for as few bytes as what they were made from and would broadcast 66 probes of each fingerprint, so
+    the join asks for a merge.
+    """
     fp = F.col("fp")
     listed = fps.select("fp", F.posexplode(F.array(*_segments(fp))).alias("seg", "code"))
     counts = listed.groupBy("seg", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -90,11 +94,20 @@ def near_links(fps: DataFrame) -> DataFrame:
     # The 66 probes of a fingerprint are made in all tasks, however few hold the fingerprints.
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     probed = fps.select("fp", F.explode(F.array(*probes)).alias("p")).select("fp", "p.seg", "p.code")
-    found = probed.join(table, ["seg", "code"]).select("fp", "other")
-    found = scratch(found.where("other is null or (fp < other and bit_count(fp ^ other) <= 2)").distinct(), "found")
-    met = found.where("other is null").select("fp").distinct().select("fp", F.explode(F.array(*_ball(fp, 64))).alias("code"))
+    return probed.join(table.hint("merge"), ["seg", "code"]).select("fp", "other")
+
+
+def _starred(fps: DataFrame) -> DataFrame:
+    """(fp) distinct fingerprints -> links (a, b) to the least one of each code of the balls around whole codes; joined as in ``_found``."""
+    met = fps.select("fp", F.explode(F.array(*_ball(F.col("fp"), 64))).alias("code"))
     least = met.groupBy("code").agg(F.min("fp").alias("least"))
-    starred = met.join(least, "code").where("fp > least and bit_count(fp ^ least) <= 2").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    return met.join(least.hint("merge"), "code").where("fp > least and bit_count(fp ^ least) <= 2").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+
+
+def near_links(fps: DataFrame) -> DataFrame:
+    """(fp) distinct fingerprints -> links (a, b) that connect whatever differs in 1 or 2 bits, directly or in a star."""
+    found = scratch(_found(fps).where("other is null or (fp < other and bit_count(fp ^ other) <= 2)").distinct(), "found")
+    starred = _starred(found.where("other is null").select("fp").distinct())
     return found.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(starred).distinct()
 
 
@@ -117,4 +130,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     prints = scratch(docs.select(F.col(key).cast("long").alias(key), fingerprint(text).alias("fp")), "prints")
     classed = near_classes(prints)
     least = classed.groupBy("fp_root").agg(F.min(key).alias("component_id"))
-    return classed.join(least, "fp_root").select(key, "fp", "component_id")
+    # Rows of copies are a few bytes in files and many in a broadcast: the table never goes through the driver.
+    return classed.join(least.hint("merge"), "fp_root").select(key, "fp", "component_id")

@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import queries, simhash
@@ -70,6 +71,22 @@ def test_crowded_buckets_lose_no_link(spark):
     assert [roots.get(c, c) for c in signed] == brute_components(rows)
 
 
+def test_no_exploded_row_or_document_is_broadcast(spark):
+    """Spark sizes exploded rows as what they were exploded from, far below its limit for broadcasts here as at 0.6 GB."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    links = simhash.near_links(spark.range(300).select((F.col("id") * 7919).alias("fp")).distinct())
+    links.collect()
+    plans = [links._jdf.queryExecution().executedPlan().toString()]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans += [p for p in (store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())) if "Generate" in p]
+    out = simhash.near_duplicates(spark.createDataFrame([(i, f"a b c {i % 9}", "") for i in range(40)], SCHEMA))
+    assert len(out.collect()) == 40
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 1
+    assert not [p for p in plans if re.search(r"BroadcastHashJoin[^\n]*Inner", p)]
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in connected_components(links).collect()}
